@@ -11,7 +11,9 @@ from ..session import cut_lineage
 LOCAL_BITS = 33  # low bits of monotonically_increasing_id count within a partition
 
 
-def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "rn") -> DataFrame:
+def number_rows(
+    df: DataFrame, order: Sequence[Column | str], name: str = "rn", total: str | None = None
+) -> DataFrame:
     """Add 1, 2, 3, … in ``order`` (which must be total), spread over all tasks.
 
     The rows are sorted by range and written to the checkpoint folder once, each with its partition
@@ -25,11 +27,16 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "rn")
     offsets = (
         placed.groupBy(part.alias("_part"))
         .agg(F.count("*").alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset"))
+        .select(
+            "_part",
+            F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset"),
+            F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_total"),
+        )
     )
-    return (
+    numbered = (
         placed.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + local + 1)
         .drop("_at", "_part", "_offset")
     )
+    return numbered.withColumnRenamed("_total", total) if total else numbered.drop("_total")
