@@ -26,7 +26,7 @@ def export_rows(rows: DataFrame, path: str, kind: str = "json", max_rows_per_fil
     if kind == "json":
         writer.json(path)
     elif kind == "csv":
-        writer.option("header", "true").csv(path)
+        writer.option("header", "true").option("escape", '"').csv(path)
     else:
         raise ValueError(f"kind must be json or csv, not {kind!r}")
 

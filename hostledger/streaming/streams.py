@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.diff import (
     fold_inventory,
@@ -25,35 +25,31 @@ def stream_dedupe_urls(urls: DataFrame, ts: str, delay: str = "1 hour", url: str
     return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["norm"])
 
 
-def pattern_cap(max_similar: int, ttl_ms: int | None) -> StatefulProcessor:
-    """Lets the first ``max_similar`` URLs of a pattern pass. State per pattern: the URLs that passed.
+def _pattern_cap(max_similar: int, ttl_ms: int | None):
+    """Lets the first ``max_similar`` URLs of a pattern pass; the state holds the URLs that passed.
 
-    The class is local, so that workers get it by value.
+    The function is local, so that workers get it by value.
     """
 
-    class PatternCap(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.passed = handle.getMapState("passed", "norm string", "pos bigint", ttlDurationMs=ttl_ms)
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            known = {row[0] for row in self.passed.keys()}
-            room = max_similar - len(known)
-            best = None
-            for pdf in rows:
-                if room <= 0:
-                    continue
+    def cap(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = list(state.get[0]) if state.exists else []
+        room = max_similar - len(known)
+        best = None
+        for pdf in batches:
+            if room > 0:
                 fresh = pdf[~pdf["norm"].isin(known)]
                 both = fresh if best is None else pd.concat([best, fresh])
                 best = both.sort_values("pos").drop_duplicates("norm").head(room)
-            if best is not None and len(best):
-                for norm, pos in zip(best["norm"], best["pos"]):
-                    self.passed.updateValue((norm,), (int(pos),))
-                yield best[["pattern", "norm", "pos"]]
-
-        def close(self) -> None:
-            pass
+        if best is not None and len(best):
+            state.update((known + best["norm"].tolist(),))
+            yield best[["pattern", "norm", "pos"]]
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
 
-    return PatternCap()
+    return cap
 
 
 def _thin_out(max_similar: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -83,11 +79,12 @@ def stream_cap_per_pattern(
     return (
         rows.mapInPandas(_thin_out(max_similar), schema)
         .groupBy("pattern")
-        .transformWithStateInPandas(
-            statefulProcessor=pattern_cap(max_similar, ttl_ms),
+        .applyInPandasWithState(
+            _pattern_cap(max_similar, ttl_ms),
             outputStructType=schema,
+            stateStructType="norms array<string>",
             outputMode="append",
-            timeMode="ProcessingTime" if ttl_ms else "None",
+            timeoutConf="ProcessingTimeTimeout" if ttl_ms else "NoTimeout",
         )
     )
 

@@ -28,7 +28,7 @@ from hostledger.streaming import streams
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
-SEED_SCOPE = {"disallowed_subdomains": ("blog",)}
+SEED_SCOPE = {"disallowed_subdomains": ("spam-farm", "blog.ththan")}
 
 
 # ---- sources and sinks -------------------------------------------------------------------------
@@ -200,13 +200,13 @@ def in_scope_host(spark, sf):
     return _host_scope(
         spark, sf,
         lambda seed: F.coalesce(
-            U.in_scope_host("host", None, ("blog.ththan.example.net", "example.org"), ("m", "blog")), F.lit(False)
+            U.in_scope_host("host", None, ("blog.ththan.example.net", "example.org"), ("m.therou", "spam-farm")), F.lit(False)
         ),
     )
 
 
 def in_scope(spark, sf):
-    return _host_scope(spark, sf, lambda seed: U.in_scope("url", seed, (), ("blog",)))
+    return _host_scope(spark, sf, lambda seed: U.in_scope("url", seed, (), ("blog.ththan",)))
 
 
 def seed_hosts(spark, sf):
@@ -550,7 +550,7 @@ def _stream_table(spark, sf, name):
 
 
 def stream_dedupe_urls(spark, sf):
-    pages = _stream_table(spark, sf, "pages").withColumn("seen_at", F.timestamp_seconds(F.col("page_id")))
+    pages = _stream_table(spark, sf, "pages").withColumn("seen_at", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")))
     return _run_to_table(spark, streams.stream_dedupe_urls(pages, "seen_at").select("norm"), "dedupe")
 
 
