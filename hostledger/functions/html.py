@@ -4,23 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .urlparts import as_column, has
+from .urlparts import as_column, sql_text
 
 # Elements whose content is text, not markup.
 RAW_TEXT = "script|style|textarea|title|xmp|iframe|noembed|noframes|noscript"
 
-# One attribute after the tag name. All repeats are possessive, so the regex engine loops rather
-# than recurses and a tag may be of any length.
-ATTRIBUTE = r"""[\s/]*+(=?+[^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|(?!["'>])[^\s>]++)?+)?+"""
-_ATTRIBUTES = r"""(?:[\s/]*+=?+[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'>])[^\s>]++)?+)?+)*+"""
+# All repeats below are possessive, so the regex engine loops rather than recurses and a tag may be
+# of any length.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|(?!["'>])[^\s>]++)"""
+
+
+def _attributes(but: str = "") -> str:
+    """Any number of attributes, up to the one called ``but``."""
+    stop = rf"(?!{but}[\s=/>])" if but else ""
+    return rf"(?:[\s/]*+{stop}=?+[^\s/>=]++(?:\s*+=\s*+{_VALUE}?+)?+)*+"
+
 
 # Comments, declarations and end tags are consumed without a group; group 1 is a start tag. Group 3
 # is empty and set only for raw-text elements, whose content is consumed together with the tag.
 START_TAGS = (
-    r"(?is)<!--(?:-?>|(?:[^-]++|-(?!-!?>))*+(?:--!?>|\z))"
+    r"(?is)(?=<)(?:<!--(?:-?>|(?:[^-]++|-(?!-!?>))*+(?:--!?>|\z))"
     r"|<[!?/][^>]*+(?:>|\z)"
-    rf"|(<(?:({RAW_TEXT})(?=[\s/>])()|[a-z][^\s/>]*+){_ATTRIBUTES}[\s/]*+>)"
-    r"(?:\3(?:[^<]++|<(?!/\2[\s/>]))*+|(?!\3))"
+    rf"|(<(?:({RAW_TEXT})(?=[\s/>])()|[a-z][^\s/>]*+){_attributes()}[\s/]*+>)"
+    r"(?:\3(?:[^<]++|<(?!/\2[\s/>]))*+|(?!\3)))"
 )
 
 # The character references an attribute of a URL commonly carries.
@@ -28,51 +34,41 @@ NAMED = {"lt;": "<", "gt;": ">", "quot;": '"', "apos;": "'", "nbsp;": "\xa0", "a
 
 
 def start_tags(html: Column | str) -> Column:
-    """All start tags in document order, outside comments and raw text."""
-    return F.filter(F.regexp_extract_all(as_column(html), F.lit(START_TAGS), F.lit(1)), lambda t: t != "")
+    """All start tags in document order, outside comments and raw text; other markup gives ''."""
+    return F.regexp_extract_all(as_column(html), F.lit(START_TAGS), F.lit(1))
 
 
-def tag_name(tag: Column) -> Column:
-    return F.lower(F.regexp_extract(tag, r"^<([A-Za-z][^\s/>]*)", 1))
+def tag_name_sql(tag: str) -> str:
+    return f"lower(regexp_extract({tag}, {sql_text(r'^<([A-Za-z][^\s/>]*)')}, 1))"
 
 
-def attribute(names: Column, values: Column, wanted: Column | str) -> Column:
-    """The value of the first attribute called ``wanted``; null where there is none."""
-    wanted = F.lit(wanted) if isinstance(wanted, str) else wanted
-    return F.get(values, F.array_position(names, wanted).cast("int") - 1)
+def attribute_sql(tag: str, name: str) -> str:
+    """SQL: the raw value of the first attribute called ``name``, unquoted; empty where there is none."""
+    value = rf"(?is)^<[a-z][^\s/>]*+{_attributes(but=name)}[\s/]*+{name}\s*+=\s*+({_VALUE})"
+    quotes = r"""(?s)^(["'])(.*)\1\z"""
+    return f"regexp_replace(regexp_extract({tag}, {sql_text(value)}, 1), {sql_text(quotes)}, '$2')"
 
 
-def attribute_names(tag: Column) -> Column:
-    return F.transform(F.regexp_extract_all(_inside(tag), F.lit(ATTRIBUTE), F.lit(1)), F.lower)
-
-
-def attribute_values(tag: Column) -> Column:
-    quoted = lambda v: v.rlike("""^["']""")
-    return F.transform(
-        F.regexp_extract_all(_inside(tag), F.lit(ATTRIBUTE), F.lit(2)),
-        lambda v: decode_references(F.when(quoted(v), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)),
+def _decoded_piece() -> str:
+    """SQL over ``p``, the text after an ampersand: the reference it starts with, decoded."""
+    digits = "regexp_extract(p, '^#([0-9]{1,7})', 1)"
+    hex_digits = "regexp_extract(p, '^#[xX]([0-9a-fA-F]{1,6})', 1)"
+    number = f"cast(conv(coalesce(nullif({hex_digits}, ''), conv({digits}, 10, 16)), 16, 10) AS int)"
+    char = f"decode(unhex(lpad(hex({number}), 8, '0')), 'UTF-32')"
+    rest = "regexp_replace(p, '^#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});?', '')"
+    named = " ".join(
+        f"WHEN startswith(p, '{name}') THEN concat({sql_text(value)}, substr(p, {len(name) + 1}))"
+        for name, value in NAMED.items()
+    )
+    return (
+        f"CASE {named} WHEN p RLIKE '^#([0-9]|[xX][0-9a-fA-F])' AND {number} BETWEEN 1 AND 1114111"
+        f" THEN concat({char}, {rest}) ELSE concat('&', p) END"
     )
 
 
-def _inside(tag: Column) -> Column:
-    return F.regexp_replace(tag, r"^<[A-Za-z][^\s/>]*+", "")
-
-
-def decode_references(text: Column) -> Column:
-    """Decode numeric references and the common named ones."""
-
-    def piece(p, i):
-        number = F.coalesce(
-            F.conv(F.nullif(F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]{1,6})", 1), F.lit("")), 16, 16),
-            F.conv(F.nullif(F.regexp_extract(p, r"^#([0-9]{1,7})", 1), F.lit("")), 10, 16),
-        )
-        char = F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
-        rest = F.regexp_replace(p, r"^#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});?", "")
-        decoded = F.when(F.conv(number, 16, 10).cast("int").between(1, 0x10FFFF), F.concat(char, rest))
-        for name, value in NAMED.items():
-            decoded = F.coalesce(
-                decoded, F.when(F.startswith(p, F.lit(name)), F.concat(F.lit(value), F.substr(p, F.lit(len(name) + 1))))
-            )
-        return F.when(i == 0, p).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), p)))
-
-    return F.when(has(text, "&"), F.array_join(F.transform(F.split(text, "&", -1), piece), "")).otherwise(text)
+def decode_references_sql(text: str) -> str:
+    """SQL: decode numeric references and the common named ones."""
+    return (
+        f"CASE WHEN contains({text}, '&') THEN array_join(transform(split({text}, '&', -1), "
+        f"(p, i) -> CASE WHEN i = 0 THEN p ELSE {_decoded_piece()} END), '') ELSE {text} END"
+    )

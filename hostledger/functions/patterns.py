@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from . import tables
-from .urlparts import UrlParts, as_column, cut_after, cut_before, has, let
+from .urlparts import UrlParts, as_column, each, keep, let, sql_list
 
 MODES = ("preprocess", "crawl")
 
@@ -21,6 +21,27 @@ def _lowered(codes: Sequence[str]) -> list[str]:
     return [c.lower() for c in codes]
 
 
+def locale_sql(
+    segment: str, mode: str, custom_codes: Sequence[str] = (), countries: Sequence[str] | None = None
+) -> str:
+    """SQL: the path segment is a locale code."""
+    custom = _lowered(custom_codes)
+    if mode == "preprocess":
+        languages = tables.LANGUAGES
+        nations = list(countries) if countries is not None else tables.iso_countries()
+        words = tables.COMMON_LOCALES + tables.LANGUAGES + nations + tables.SPECIAL_LOCALE_WORDS + custom
+        is_pair = f"{segment} LIKE '%-%'"
+    else:
+        languages, nations = tables.CRAWL_LANGUAGES, tables.CRAWL_COUNTRIES
+        words = languages + nations + tables.CRAWL_DASHED_LOCALES + tables.CRAWL_COMPOUND_LOCALES + custom
+        is_pair = f"{segment} LIKE '__-__'"
+    left, right = f"substring_index(lower({segment}), '-', 1)", f"substr(lower({segment}), instr({segment}, '-') + 1)"
+    return (
+        f"(lower({segment}) IN {sql_list(dict.fromkeys(words))} OR ({is_pair}"
+        f" AND {left} IN {sql_list(languages)} AND {right} IN {sql_list(nations)}))"
+    )
+
+
 def is_locale(
     segment: Column | str,
     mode: str = "crawl",
@@ -29,65 +50,38 @@ def is_locale(
 ) -> Column:
     """The path segment is a locale code. ``countries`` replaces the ISO table in preprocess mode."""
     _check(mode)
-    code = F.lower(as_column(segment))
-    custom = _lowered(custom_codes)
-    if mode == "preprocess":
-        nations = list(countries) if countries is not None else tables.iso_countries()
-        words = set(tables.COMMON_LOCALES + tables.LANGUAGES + nations + tables.SPECIAL_LOCALE_WORDS + custom)
-        pair = has(code, "-") & cut_before(code, "-").isin(tables.LANGUAGES) & cut_after(code, "-").isin(nations)
-        return code.isin(sorted(words)) | F.coalesce(pair, F.lit(False))
-    singles = sorted(set(tables.CRAWL_LANGUAGES + tables.CRAWL_COUNTRIES))
-    words = singles + tables.CRAWL_DASHED_LOCALES + tables.CRAWL_COMPOUND_LOCALES + custom
-    pair = (
-        code.rlike(r"^..-..\z")
-        & cut_before(code, "-").isin(tables.CRAWL_LANGUAGES)
-        & cut_after(code, "-").isin(tables.CRAWL_COUNTRIES)
-    )
-    return code.isin(words) | pair
+    return let(as_column(segment), locale_sql("x", mode, custom_codes, countries))
 
 
-def is_numeric(text: Column) -> Column:
-    """A whole number that fits 64 bits."""
-    return text.rlike(r"^[+-]?[0-9]+\z") & text.try_cast("bigint").isNotNull()
-
-
-def is_variable(text: Column | str, mode: str = "crawl") -> Column:
-    """The segment, value or fragment looks like an id rather than a name. Lengths are in bytes."""
-    _check(mode)
-    text = as_column(text)
-    size = F.octet_length(text)
+def variable_sql(text: str, mode: str) -> str:
+    """SQL: the segment, value or fragment looks like an id rather than a name. Lengths are in bytes."""
+    size = f"octet_length({text})"
     if mode == "preprocess":
-        lowered = F.lower(text)
-        session = F.lit(False)
-        for prefix in tables.SESSION_PREFIXES:
-            session = session | (F.startswith(lowered, F.lit(prefix)) & (size > len(prefix) + 4))
-        hex_like = (size >= 8) & (
-            text.rlike(r"^[+-]?0*([1-7][0-9a-fA-F]{15}|[0-9a-fA-F]{0,15})\z") | text.rlike(r"^-0*8000000000000000\z")
+        session = " OR ".join(
+            f"(lower({text}) LIKE '{p}%' AND {size} > {len(p) + 4})" for p in tables.SESSION_PREFIXES
         )
-        dashes = F.length(text) - F.length(F.replace(text, F.lit("-"), F.lit("")))
         return (
-            is_numeric(text)
-            | hex_like
-            | ((size == 36) & (dashes == 4))
-            | has(text, "%")
-            | ((size > 16) & text.rlike(r"^[A-Za-z0-9]+\z"))
-            | session
+            f"({text} <> '' AND ("
+            f"({text} RLIKE '^[+-]?[0-9]+$' AND try_cast({text} AS bigint) IS NOT NULL)"
+            f" OR ({size} >= 8 AND {text} RLIKE '^([+-]?0*([1-7][0-9a-fA-F]{{15}}|[0-9a-fA-F]{{0,15}})|-0*8000000000000000)$')"
+            f" OR ({size} = 36 AND length({text}) - length(replace({text}, '-', '')) = 4)"
+            f" OR contains({text}, '%') OR ({size} > 16 AND {text} RLIKE '^[A-Za-z0-9]+$') OR {session}))"
         )
-    key, value = cut_before(text, "="), cut_after(text, "=")
-    one_pair = F.coalesce(
-        ~has(value, "=")
-        & (
-            value.rlike(r"^[0-9]{1,6}\z")
-            | F.lower(key).isin(tables.VARIABLE_FRAGMENT_KEYS)
-            | (F.octet_length(value) <= 3)
-        ),
-        F.lit(False),
-    )
-    return (text != "") & (
-        (size <= 2) | F.startswith(text, F.lit("id=")) | one_pair | text.rlike(r"^([0-9]{1,6}|[0-9a-fA-F]{1,8})\z")
+    value = f"substr({text}, instr({text}, '=') + 1)"
+    return (
+        f"({text} <> '' AND ({size} <= 2 OR startswith({text}, 'id=') OR {text} RLIKE '^([0-9]{{1,6}}|[0-9a-fA-F]{{1,8}})$'"
+        f" OR (length({text}) - length(replace({text}, '=', '')) = 1 AND ({value} RLIKE '^[0-9]{{1,6}}$'"
+        f" OR lower(substring_index({text}, '=', 1)) IN {sql_list(tables.VARIABLE_FRAGMENT_KEYS)}"
+        f" OR octet_length({value}) <= 3))))"
     )
 
 
+def is_variable(text: Column | str, mode: str = "crawl") -> Column:
+    """The segment, value or fragment looks like an id rather than a name."""
+    _check(mode)
+    return let(as_column(text), variable_sql("x", mode))
+
+
 def is_ignored_param(name: Column | str, ignored: Sequence[str] = tuple(tables.IGNORED_PARAMS)) -> Column:
     return F.lower(as_column(name)).isin(_lowered(ignored)) if ignored else F.lit(False)
 
@@ -102,49 +96,32 @@ def pattern_text(
 ) -> Column:
     """``url_pattern`` over parts that are split already."""
     _check(mode)
-    locale = lambda s: is_locale(s, mode, custom_codes, countries)
-    kept = F.filter(parts.query_pairs(), lambda p: ~is_ignored_param(p["k"], ignored_params))
-    asked = lambda q: F.when(q == "", q).otherwise(F.concat(F.lit("?"), q))
+    locale = locale_sql("s", mode, custom_codes, countries) if detect_locales else "false"
+    pairs = parts.query_pairs()
+    if ignored_params:
+        pairs = keep(pairs, f"p -> lower(p.k) NOT IN {sql_list(_lowered(ignored_params))}")
+    varies = variable_sql("x", mode)
     if mode == "preprocess":
-
-        def shape(s):
-            word = F.when(is_variable(s, mode), F.lit("<variable>")).otherwise(s)
-            return F.when(locale(s), F.lit("<locale>")).otherwise(word) if detect_locales else word
-
-        def body(path):
-            segments = F.filter(F.split(path, "/", -1), lambda s: s != "")
-            return F.when(path == "", path).otherwise(
-                F.concat(F.lit("/"), F.array_join(F.transform(segments, shape), "/"))
-            )
-
-        # pairs sort by name, then by their place in the query
-        query = F.transform(
-            F.array_sort(kept),
-            lambda p: F.concat(
-                p["k"], F.lit("="), F.when(is_variable(p["v"], mode), F.lit("<variable>")).otherwise(p["v"])
-            ),
-        )
-        tail = lambda f: (
-            F.when(f == "", F.lit(""))
-            .when(is_variable(f, mode), F.lit("#<variable>"))
-            .otherwise(F.concat(F.lit("#"), f))
+        shape = f"CASE WHEN {locale} THEN '<locale>' WHEN {variable_sql('s', mode)} THEN '<variable>' ELSE s END"
+        body = (
+            "CASE WHEN x = '' THEN '' ELSE concat('/', array_join("
+            f"transform(filter(split(x, '/', -1), s -> s <> ''), s -> {shape}), '/')) END"
         )
+        # pairs sort by name, then by their place in the query
+        shown = f"concat(p.k, '=', CASE WHEN {variable_sql('p.v', mode)} THEN '<variable>' ELSE p.v END)"
+        query = each(F.array_sort(pairs), f"p -> {shown}")
+        tail = f"CASE WHEN x = '' THEN '' WHEN {varies} THEN '#<variable>' ELSE concat('#', x) END"
     else:
-
-        def body(path):
-            if not detect_locales:
-                return path
-            inner = F.btrim(path, F.lit("/"))
-            starred = F.transform(F.split(inner, "/", -1), lambda s: F.when(locale(s), F.lit("*")).otherwise(s))
-            closing = F.when(F.endswith(path, F.lit("/")), F.lit("/")).otherwise(F.lit(""))
-            return F.when(inner == "", F.lit("/")).otherwise(
-                F.concat(F.lit("/"), F.array_join(starred, "/"), closing)
-            )
-
-        query = F.array_sort(F.transform(kept, lambda p: F.concat(p["k"], F.lit("=*"))))
-        tail = lambda f: F.when((f == "") | is_variable(f, mode), F.lit("")).otherwise(
-            F.concat(F.lit("#"), f)
+        starred = f"transform(split(trim(BOTH '/' FROM x), '/', -1), s -> CASE WHEN {locale} THEN '*' ELSE s END)"
+        body = (
+            "CASE WHEN trim(BOTH '/' FROM x) = '' THEN '/' ELSE "
+            f"concat('/', array_join({starred}, '/'), CASE WHEN endswith(x, '/') THEN '/' ELSE '' END) END"
+            if detect_locales
+            else "x"
         )
+        query = F.array_sort(each(pairs, "p -> concat(p.k, '=*')"))
+        tail = f"CASE WHEN x = '' OR {varies} THEN '' ELSE concat('#', x) END"
+    asked = let(F.array_join(query, "&"), "CASE WHEN x = '' THEN '' ELSE concat('?', x) END")
     return F.when(
         parts.valid,
         F.concat(
@@ -152,7 +129,7 @@ def pattern_text(
             F.lit("//"),
             parts.host_port,
             let(parts.plain_path, body),
-            F.when(parts.query != "", let(F.array_join(query, "&"), asked)).otherwise(F.lit("")),
+            F.when(parts.query != "", asked).otherwise(F.lit("")),
             F.when(parts.fragment != "", let(parts.plain_fragment, tail)).otherwise(F.lit("")),
         ),
     )

@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import tables
-from .urlparts import as_column, let, trim_space
+from .urlparts import WHITESPACE, as_column, each, keep, sql_text, trim_space
 
 MAX_LINE = 150
 MAX_LINES = 8
 
 
+_FILES = sql_text(r"(?<![\w-])(?:[a-zA-Z0-9_-]+/)*([\w-]+\.(?:go|js|html|css|json))")
+_LONG_URL = sql_text(r"(?=https?://)(\S{30})\S{11,}(\S{20})")
+
+# SQL over ``s``, one line: file names for paths, short URLs, a bounded length.
+SHORTEN = (
+    f"transform(array(regexp_replace(regexp_replace(s, {_FILES}, '$1'), {_LONG_URL}, '$1...$2')), "
+    f"t -> CASE WHEN length(t) <= {MAX_LINE} THEN t ELSE concat(substr(t, 1, {MAX_LINE - 3}), '...') END)[0]"
+)
+
+
 def truncate(text: Column, size: int | Column) -> Column:
     """At most ``size`` characters, the last three being dots where text was cut."""
     size = F.lit(size) if isinstance(size, int) else size
@@ -20,15 +30,8 @@ def truncate(text: Column, size: int | Column) -> Column:
 def error_digest(message: Column | str) -> Column:
     """A message cut to its essence: file names for paths, short URLs, short lines, few lines."""
 
-    def shorten(line):
-        line = F.regexp_replace(
-            line, r"(?<![\w-])(?:[a-zA-Z0-9_-]+/)*([\w-]+\.(?:go|js|html|css|json))", "$1"
-        )
-        line = F.regexp_replace(line, r"(?=https?://)(\S{30})\S{11,}(\S{20})", "$1...$2")
-        return let(line, lambda text: truncate(text, MAX_LINE))
-
-    lines = F.filter(F.transform(F.split(as_column(message), "\n", -1), trim_space), lambda s: s != "")
-    return trim_space(F.array_join(F.transform(F.slice(lines, 1, MAX_LINES), shorten), "\n"))
+    lines = keep(each(F.split(as_column(message), "\n", -1), f"s -> btrim(s, {sql_text(WHITESPACE)})"), "s -> s <> ''")
+    return trim_space(F.array_join(each(F.slice(lines, 1, MAX_LINES), f"s -> {SHORTEN}"), "\n"))
 
 
 def is_cancellation(message: Column | str) -> Column:

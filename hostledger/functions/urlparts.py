@@ -7,7 +7,7 @@ is accepted, scheme or not.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,11 +27,13 @@ _BAD_ESCAPE = r"%(?:[^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?\z)"
 UNPARSEABLE = (
     r"(?s)[\x00-\x1f\x7f]"
     rf"|^(?!{_SCHEME})[^/?#:]*:"
-    rf"|^(?:{_SCHEME})?//(?:[^/?#]*@)?[^/?#@]*(?:[ \\^`{{|}}%]|:[0-9]*[^0-9:\]/?#@][^:\]/?#]*(?:[/?#]|\z))"
+    rf"|^(?:{_SCHEME})?//(?:[^/?#]*@)?+[^/?#@]*(?:[ \\^`{{|}}%]|:[0-9]*[^0-9:\]/?#@][^:\]/?#]*(?:[/?#]|\z))"
     rf"|^(?:{_SCHEME})?//[^/?#]*[^A-Za-z0-9._:~!$&'()*+,;=%@/?#-][^/?#]*@"
     rf"|^[^?#%]*(?:%[0-9A-Fa-f]{{2}}[^?#%]*+)*+{_BAD_ESCAPE}"
     rf"|#.*{_BAD_ESCAPE}"
 )
+# A short-cut most URLs take: plain host, no percent sign, no control character.
+PLAINLY_PARSEABLE = r"^[A-Za-z][A-Za-z0-9+.-]*+://[A-Za-z0-9._-]++(?::[0-9]++)?+(?:[/?#][^\x00-\x1f\x7f%]*+)?+\z"
 NEEDS_PATH_ESCAPE = r"[^A-Za-z0-9_.~!$&'()*+,;=:@%\[\]/-]"
 NEEDS_FRAGMENT_ESCAPE = r"^#.*[^A-Za-z0-9_.~!$&'()*+,;=:@%\[\]/?-]"
 
@@ -64,27 +66,57 @@ def cut_after(text: Column, mark: str) -> Column:
     return F.when(at > 0, F.substr(text, at + len(mark)))
 
 
-def percent_escape(text: Column, keep: str) -> Column:
-    """Percent-encode all but letters, digits, ``-_.~`` and the characters in ``keep``."""
-    out = swap(swap(swap(F.url_encode(text), "+", "%20"), "*", "%2A"), "%7E", "~")
-    for char in keep:
-        out = swap(out, f"%{ord(char):02X}", char)
+def sql_text(text: str) -> str:
+    """``text`` as a SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_list(values: Iterable[str]) -> str:
+    return "(" + ", ".join(sql_text(v) for v in values) + ")"
+
+
+def each(array: Column, body: str) -> Column:
+    """``transform`` with the lambda as SQL text, which the JVM parses at once."""
+    return F.call_function("transform", array, F.expr(body))
+
+
+def keep(array: Column, body: str) -> Column:
+    return F.call_function("filter", array, F.expr(body))
+
+
+def some(array: Column, body: str) -> Column:
+    return F.call_function("exists", array, F.expr(body))
+
+
+def let(value: Column, body: Callable[[Column], Column] | str) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body reads it.
+
+    A body in SQL text calls the value ``x``.
+    """
+    one = F.array(value)
+    return F.get(each(one, f"x -> {body}") if isinstance(body, str) else F.transform(one, body), F.lit(0))
+
+
+def percent_escape_sql(text: str, kept: str) -> str:
+    """SQL that percent-encodes all but letters, digits, ``-_.~`` and the characters in ``kept``."""
+    out = f"replace(replace(replace(url_encode({text}), '+', '%20'), '*', '%2A'), '%7E', '~')"
+    for char in kept:
+        out = f"replace({out}, '%{ord(char):02X}', {sql_text(char)})"
     return out
 
 
+def percent_escape(text: Column, kept: str) -> Column:
+    return let(text, percent_escape_sql("x", kept))
+
+
 def percent_unescape(text: Column) -> Column:
     """Undo percent encoding; a plus sign stays a plus sign."""
     return F.when(has(text, "%"), F.try_url_decode(swap(text, "+", "%2B"))).otherwise(text)
 
 
-def form_encode(text: Column) -> Column:
-    """Query encoding: blanks become plus signs."""
-    return swap(swap(F.url_encode(text), "*", "%2A"), "%7E", "~")
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, however often the body reads it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def form_encode_sql(text: str) -> str:
+    """SQL for query encoding: blanks become plus signs."""
+    return f"replace(replace(url_encode({text}), '*', '%2A'), '%7E', '~')"
 
 
 @dataclass(frozen=True)
@@ -102,7 +134,8 @@ class UrlParts:
     def of(cls, url: Column | str) -> UrlParts:
         url = as_column(url)
         part = [F.regexp_extract(url, PARTS, i) for i in range(1, 6)]
-        return cls(F.lower(part[0]), *part[1:], valid=~url.rlike(UNPARSEABLE))
+        valid = url.rlike(PLAINLY_PARSEABLE) | ~url.rlike(UNPARSEABLE)
+        return cls(F.lower(part[0]), *part[1:], valid=valid)
 
     @classmethod
     def staged(cls, prefix: str) -> UrlParts:
@@ -136,6 +169,7 @@ class UrlParts:
 
     def text(self, authority: Column | None = None, path: Column | None = None) -> Column:
         """The URL as text. A replaced path must be escaped already."""
+        no_path = (self.path if path is None else path) == ""
         authority = self.authority if authority is None else authority
         path = self.escaped_path if path is None else path
         host = F.when(authority.rlike(r"[^\x00-\x7f]"), percent_escape(authority, "!$&'()*+,;=:[]<>\"@/")).otherwise(
@@ -147,7 +181,7 @@ class UrlParts:
         ).otherwise(self.fragment)
         return F.concat(
             self.scheme,
-            F.when((authority == "//") & (path == ""), F.lit("")).otherwise(host),
+            F.when((authority == "//") & no_path, F.lit("")).otherwise(host),
             path,
             self.query,
             F.when(fragment == "#", F.lit("")).otherwise(fragment),
@@ -155,18 +189,13 @@ class UrlParts:
 
     def query_pairs(self) -> Column:
         """The query as an array of decoded (k, i, v) structs; broken pairs are left out."""
-        return F.filter(
-            F.transform(
-                F.split(F.substr(self.query, F.lit(2)), "&", -1),
-                lambda pair, i: F.struct(
-                    F.try_url_decode(cut_before(pair, "=")).alias("k"),
-                    i.alias("i"),
-                    F.try_url_decode(F.coalesce(cut_after(pair, "="), F.lit(""))).alias("v"),
-                    ((pair != "") & ~has(pair, ";")).alias("ok"),
-                ),
-            ),
-            lambda p: p["ok"] & p["k"].isNotNull() & p["v"].isNotNull(),
+        value = "CASE WHEN p LIKE '%=%' THEN substr(p, instr(p, '=') + 1) ELSE '' END"
+        pairs = each(
+            F.split(F.substr(self.query, F.lit(2)), "&", -1),
+            "(p, i) -> named_struct('k', try_url_decode(substring_index(p, '=', 1)), 'i', i, "
+            f"'v', try_url_decode({value}), 'ok', p <> '' AND NOT contains(p, ';'))",
         )
+        return keep(pairs, "p -> p.ok AND p.k IS NOT NULL AND p.v IS NOT NULL")
 
 
 def stage(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

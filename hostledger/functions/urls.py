@@ -13,9 +13,13 @@ from .urlparts import (
     as_column,
     cut_after,
     cut_before,
-    form_encode,
+    each,
+    form_encode_sql,
     has,
+    keep,
     let,
+    sql_list,
+    sql_text,
     swap,
     trim_space,
 )
@@ -45,16 +49,19 @@ def normalized_parts(
     dropped = sorted(set(tables.TRACKING_PARAMS if strip_tracking else []) | set(custom_params))
     query = parts.query
     if dropped:
-        pairs = parts.query_pairs()
-        noise = lambda p: F.lower(p["k"]).isin(dropped)
-        rest = F.transform(
-            F.array_sort(F.filter(pairs, lambda p: ~noise(p))),
-            lambda p: F.concat(form_encode(p["k"]), F.lit("="), form_encode(p["v"])),
+        noise = f"lower(p.k) IN {sql_list(dropped)}"
+        encode = f"concat({form_encode_sql('p.k')}, '=', {form_encode_sql('p.v')})"
+        stripped = (
+            f"CASE WHEN exists(x, p -> {noise}) THEN array_join(transform(array_sort(filter(x, p -> NOT {noise})), "
+            f"p -> {encode}), '&') END"
         )
+        # null where nothing was dropped
+        rest = let(parts.query_pairs(), stripped)
         query = F.when(
-            (F.length(parts.query) > 1) & F.exists(pairs, noise),
-            F.concat(F.when(F.size(rest) > 0, F.lit("?")).otherwise(F.lit("")), F.array_join(rest, "&")),
-        ).otherwise(parts.query)
+            F.length(parts.query) > 1,
+            let(rest, "CASE WHEN x = '' THEN x ELSE concat('?', x) END"),
+        )
+        query = F.coalesce(query, parts.query)
     fragment = F.lit("") if strip_fragments else parts.fragment
     return replace(parts, query=query, fragment=fragment)
 
@@ -65,19 +72,11 @@ def normalize_url(url: Column | str, **options) -> Column:
     return F.when(parts.valid, parts.text())
 
 
-def remove_dots(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` segments of an absolute path."""
-    segments = F.split(path, "/", -1)
-    walked = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda done, s: F.when(s == ".", done)
-        .when(s == "..", F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done))
-        .otherwise(F.concat(done, F.array(s))),
-    )
-    closing = F.when(path.rlike(r"(^|/)\.\.?\z"), F.lit("/")).otherwise(F.lit(""))
-    joined = F.concat(F.array_join(walked, "/"), closing)
-    return F.when(has(path, "/."), joined).otherwise(path)
+# SQL over ``x``, an absolute path: resolve its dot segments.
+REMOVE_DOTS = """CASE WHEN contains(x, '/.') THEN concat(array_join(aggregate(split(x, '/', -1), cast(array() AS array<string>),
+    (done, s) -> CASE WHEN s = '.' OR (s = '..' AND size(done) <= 1) THEN done
+      WHEN s = '..' THEN slice(done, 1, size(done) - 1) ELSE concat(done, array(s)) END), '/'),
+    CASE WHEN x RLIKE '/[.][.]?$' THEN '/' ELSE '' END) ELSE x END"""
 
 
 def resolve_parts(href: UrlParts, base: UrlParts) -> Column:
@@ -98,7 +97,7 @@ def resolve_parts(href: UrlParts, base: UrlParts) -> Column:
         query=F.when(same_page, base.query).otherwise(href.query),
         fragment=F.when(same_page & (F.length(href.fragment) <= 1), base.fragment).otherwise(href.fragment),
     )
-    return F.when(href.scheme != "", href.text()).otherwise(merged.text(path=let(full_path, remove_dots)))
+    return F.when(href.scheme != "", href.text()).otherwise(merged.text(path=let(full_path, REMOVE_DOTS)))
 
 
 def can_resolve(href: UrlParts, base: UrlParts) -> Column:
@@ -167,12 +166,13 @@ def url_key(url: Column | str, normalize: bool = False, case_sensitive: bool = T
     return key if case_sensitive else F.lower(key)
 
 
+SRCSET_URL = r"^\s*(\S+)"
+
+
 def parse_srcset(srcset: Column | str) -> Column:
     """The URLs of a ``srcset`` attribute."""
-    return F.filter(
-        F.transform(F.split(as_column(srcset), ",", -1), lambda p: F.regexp_extract(p, r"^\s*(\S+)", 1)),
-        lambda u: u != "",
-    )
+    firsts = each(F.split(as_column(srcset), ",", -1), f"p -> regexp_extract(p, {sql_text(SRCSET_URL)}, 1)")
+    return keep(firsts, "u -> u <> ''")
 
 
 def is_skippable_href(href: Column | str) -> Column:
@@ -194,16 +194,17 @@ def _contains_any(text: Column, pieces: Sequence[str]) -> Column:
     return hit
 
 
-def _often(segments: Column) -> Column:
-    """Some segment of two bytes or more occurs more than three times."""
+# SQL over ``x``, an array of segments: some segment of two bytes or more occurs more than three times.
+OFTEN = """size(x) > 3 AND size(x) - size(array_distinct(x)) >= 3 AND exists(array_distinct(x),
+    s -> octet_length(s) >= 2 AND size(filter(x, t -> t = s)) > 3)"""
 
-    def repeats(words):
-        spare = F.size(words) - F.size(F.array_distinct(words))
-        return (spare >= 3) & F.exists(
-            F.array_distinct(words), lambda s: F.size(F.filter(words, lambda t: t == s)) > 3
-        )
-
-    return let(F.filter(segments, lambda s: F.octet_length(s) >= 2), repeats)
+# SQL over ``x``, the segments of a path: the path looks like an endless loop.
+LOOPS = f"""size(x) > 15 OR exists(x, s -> octet_length(s) > 200)
+    OR (size(x) > 3 AND x[0] = x[size(x) - 1] AND octet_length(x[0]) >= 2)
+    OR ({OFTEN})
+    OR exists(sequence(0, size(x) - 1), i -> octet_length(x[i]) >= 2 AND x[i] = get(x, i + 1))
+    OR (size(x) >= 6 AND exists(sequence(0, size(x) - 6), i -> octet_length(x[i]) >= 2
+      AND x[i] = x[i + 2] AND x[i] = x[i + 4] AND x[i + 1] = x[i + 3] AND x[i + 1] = x[i + 5]))"""
 
 
 def has_path_trap(url: Column | str) -> Column:
@@ -212,34 +213,9 @@ def has_path_trap(url: Column | str) -> Column:
     full = F.when(text.rlike("^https?://"), text).otherwise(F.concat(F.lit("https://"), text))
     usable = (text != "") & UrlParts.of(text).valid
     path = let(full, lambda t: F.when(UrlParts.of(t).valid, F.btrim(UrlParts.of(t).plain_path, F.lit("/"))))
-    # a loop needs two segments, a long one 200 bytes
-    suspect = has(path, "/") | (F.octet_length(path) > 200)
-    return F.coalesce(usable & suspect & let(F.split(path, "/", -1), _loops), F.lit(False))
-
-
-def _loops(segments: Column) -> Column:
-    size = F.size(segments)
-    first, last = F.get(segments, F.lit(0)), F.get(segments, size - 1)
-    at = lambda i, step: F.get(segments, i + step)
-    wide = lambda s: F.octet_length(s) >= 2
-    positions = F.sequence(F.lit(0), size - 1)
-    twice = F.exists(positions, lambda i: wide(at(i, 0)) & (at(i, 0) == at(i, 1)))
-    alternating = (size >= 6) & F.exists(
-        positions,
-        lambda i: wide(at(i, 0))
-        & (at(i, 0) == at(i, 2))
-        & (at(i, 0) == at(i, 4))
-        & (at(i, 1) == at(i, 3))
-        & (at(i, 1) == at(i, 5)),
-    )
-    return (
-        (size > 15)
-        | F.exists(segments, lambda s: F.octet_length(s) > 200)
-        | ((size > 3) & (first == last) & wide(first))
-        | _often(segments)
-        | twice
-        | alternating
-    )
+    # two segments need two slashes, which may be escaped; most links end here
+    suspect = (_count(text, "/") >= 2) | has(text, "%") | (F.octet_length(text) > 200)
+    return F.coalesce(suspect & usable & (path != "") & let(F.split(path, "/", -1), LOOPS), F.lit(False))
 
 
 def has_problem_pattern(url: Column | str) -> Column:
@@ -253,8 +229,9 @@ def has_problem_pattern(url: Column | str) -> Column:
 
 def has_repeated_segments(url: Column | str) -> Column:
     """More than five segments, one of them more than three times."""
-    path = F.btrim(F.regexp_replace(as_column(url), "(?s)^.*?//[^/]*(?=/)", ""), F.lit("/"))
-    return (_count(path, "/") > 4) & _often(F.split(path, "/", -1))
+    text = as_column(url)
+    path = F.btrim(F.regexp_replace(text, "(?s)^.*?//[^/]*(?=/)", ""), F.lit("/"))
+    return (_count(text, "/") > 4) & (_count(path, "/") > 4) & let(F.split(path, "/", -1), OFTEN)
 
 
 def is_invalid_url(url: Column | str) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import html as H
-from ..functions.urlparts import UrlParts, drop_parts, stage, stage_parts, trim_space
+from ..functions.urlparts import WHITESPACE, UrlParts, drop_parts, each, keep, sql_text, stage, stage_parts
 from ..functions.urls import (
+    SRCSET_URL,
     can_resolve,
     has_path_trap,
     has_problem_pattern,
@@ -15,7 +16,6 @@ from ..functions.urls import (
     is_invalid_url,
     is_skippable_href,
     normalize_url,
-    parse_srcset,
     resolve_parts,
 )
 from .preprocess import cap_per_pattern, with_normalized
@@ -34,43 +34,32 @@ LINK_ATTRIBUTES = {
 
 
 def _raw_links(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
-    """One row per link attribute: (keys…, base parts, srcset, tag_pos, item, tag, attr, href).
+    """One row per link attribute: (keys…, tag_pos, tag, srcset, item, attr, href).
 
     ``srcset`` links of a page come after all others, hence the flag in the sort key.
     """
-    names = sorted(set(LINK_ATTRIBUTES) | {"source"})
-    wanted = rf"(?i)^<({'|'.join(names)})[\s/]"
-    tags = pages.select(
-        *keys, F.posexplode(F.filter(H.start_tags(html), lambda t: t.rlike(wanted))).alias("tag_pos", "_tag")
+    names = "|".join(sorted(set(LINK_ATTRIBUTES) | {"source"}))
+    wanted = keep(H.start_tags(html), f"t -> t RLIKE '(?i)^<({names})[\\\\s/]'")
+    plain, attr = "", ""
+    for name in dict.fromkeys(LINK_ATTRIBUTES.values()):
+        owners = "|".join(t for t, a in LINK_ATTRIBUTES.items() if a == name)
+        plain += f" WHEN t RLIKE '(?i)^<({owners})[\\\\s/]' THEN {H.attribute_sql('t', name)}"
+        attr += f" WHEN tag RLIKE '^({owners})$' THEN '{name}'"
+    found = each(
+        wanted,
+        f"(t, i) -> named_struct('tag_pos', i, 'tag', {H.tag_name_sql('t')}, '_plain', CASE{plain} ELSE '' END, "
+        f"'_srcset', CASE WHEN t RLIKE '(?i)^<(img|source)[\\\\s/]' THEN {H.attribute_sql('t', 'srcset')} ELSE '' END)",
     )
-    read = stage(
-        tags,
-        {
-            "tag": H.tag_name(F.col("_tag")),
-            "_names": H.attribute_names(F.col("_tag")),
-            "_values": H.attribute_values(F.col("_tag")),
-        },
+    tags = pages.select(*keys, F.inline(found))
+    space = sql_text(WHITESPACE)
+    decoded = H.decode_references_sql("_plain")
+    one = f"named_struct('srcset', 0, 'item', 0, 'attr', CASE{attr} END, 'href', btrim({decoded}, {space}))"
+    several = (
+        f"transform(split({H.decode_references_sql('_srcset')}, ',', -1), (u, i) -> named_struct('srcset', 1, 'item', i, "
+        f"'attr', 'srcset', 'href', btrim(regexp_extract(u, {sql_text(SRCSET_URL)}, 1), {space})))"
     )
-    link_attribute = F.create_map(*[F.lit(x) for pair in LINK_ATTRIBUTES.items() for x in pair])[F.col("tag")]
-    plain = H.attribute(F.col("_names"), F.col("_values"), link_attribute)
-    srcset = F.when(F.col("tag").isin("img", "source"), H.attribute(F.col("_names"), F.col("_values"), "srcset"))
-    items = F.concat(
-        F.when(
-            plain.isNotNull(),
-            F.array(F.struct(F.lit(0).alias("srcset"), F.lit(0).alias("item"), link_attribute.alias("attr"),
-                             plain.alias("href"))),
-        ).otherwise(F.array()),
-        F.coalesce(
-            F.transform(
-                parse_srcset(srcset),
-                lambda u, i: F.struct(F.lit(1).alias("srcset"), i.alias("item"), F.lit("srcset").alias("attr"),
-                                      u.alias("href")),
-            ),
-            F.array(),
-        ),
-    )
-    links = read.select(*keys, "tag_pos", "tag", F.inline(items).alias("srcset", "item", "attr", "_href"))
-    return stage(links, {"href": trim_space(F.col("_href"))}).drop("_href")
+    items = F.expr(f"CASE WHEN _srcset = '' THEN array({one}) ELSE concat(array({one}), {several}) END")
+    return tags.select(*keys, "tag_pos", "tag", F.inline(items)).where("href <> ''")
 
 
 def extract_links(

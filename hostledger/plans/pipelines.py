@@ -19,11 +19,11 @@ def inventory_scan(
 ) -> DataFrame:
     """Seeds → preprocessed seeds → URLs found on stored pages → their probe rows and root targets."""
     targets = preprocess_urls(parse_targets(lines), max_similar=max_similar)
-    seeds = targets.select("pos", F.col("norm").alias("url"))
+    seeds = cut_lineage(targets.select("pos", F.col("norm").alias("url")))
     hosts = seed_hosts(seeds)
     # the pages are read once; three steps below start from the written links
     links = cut_lineage(extract_links(pages))
-    found = discovered_urls(links, seeds, max_similar=max_similar, scope={"seed_hosts": hosts})
+    found = cut_lineage(discovered_urls(links, seeds, max_similar=max_similar, scope={"seed_hosts": hosts}))
     inside = mark_scope(links, "link", seed_hosts=hosts).where("in_scope")
     roots = root_target(found, link_edges(inside), seeds)
     return attach_probes(found, probes, order, roots)
@@ -37,8 +37,9 @@ def diff_and_store(
 
     All hosts go through one job.
     """
-    current, previous = with_diff_keys(current), with_diff_keys(previous)
-    diff = url_diff(current, previous, order)
+    # the previous snapshot is looked up once, then compared by key and read for its vanished rows
+    previous = cut_lineage(with_diff_keys(previous))
+    diff = url_diff(with_diff_keys(current), previous, order)
     stored = to_storage_row(diff.where("url_status <> 'old'"), scan_ts, session, keep=("host",))
     write_snapshot(stored, base, codec)
     return diff

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # recording the Python call site of every expression doubles the time to build a plan
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # state larger than executor memory spills to local disk and is backed by the checkpoint folder
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
