@@ -60,7 +60,8 @@ def seed_ancestors(edges: DataFrame, seeds: DataFrame, max_rounds: int = 24) ->
         )
         jumped = cut_lineage(jumped)
         state = state.where("done").unionByName(jumped)
-        if jumped.where("done").isEmpty() or jumped.where(~F.col("done")).isEmpty():
+        ended, still_open = jumped.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
+        if not ended or not still_open:
             break
     return state.where("done and up is not null").select("url", F.col("up").alias("root"))
 

@@ -16,7 +16,7 @@ def number_rows(
 ) -> DataFrame:
     """Add 1, 2, 3, … in ``order`` (which must be total), spread over all tasks.
 
-    The rows are sorted by range and written to the checkpoint folder once, each with its partition
+    The rows are sorted by range and written to the shared folder once, each with its partition
     and its place there; the sizes of the partitions before it give the offset. The offset table has
     one row per partition, so the window over it and its broadcast are small whatever the data.
     """

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hostledger.sources.tables import read_table
+
 CURRENT_SESSION = "2024-01-30"
 ORDER = ["scan_ts", "probe_id"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
