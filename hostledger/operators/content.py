@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from .probes import latest_per_key
 
@@ -52,15 +53,30 @@ def content_changes(history: DataFrame, old_ts, new_ts) -> DataFrame:
     return sides.select("url", change.alias("change"), "old_hash", "new_hash")
 
 
-def version_changes(history: DataFrame) -> DataFrame:
-    """new / changed / identical of each version against the one before it, as (url, ts, change)."""
-    before = F.lag("hash").over(Window.partitionBy("url").orderBy("ts"))
+def version_changes(history: DataFrame, bucket: Column | None = None) -> DataFrame:
+    """new / changed / identical of each version against the one before it, as (url, ts, change).
+
+    ``bucket`` is a coarse, growing expression of ``ts``: the day of a timestamp, or thousands of a
+    number, unless given. Versions are compared within a bucket; its first one is compared with the
+    last of the bucket before, which comes from one row per URL and bucket. So a URL fetched all the
+    time spreads over its buckets.
+    """
+    if bucket is None:
+        numeric = isinstance(history.schema["ts"].dataType, T.NumericType)
+        bucket = F.floor(F.col("ts") / 1000) if numeric else F.to_date("ts")
+    rows = history.select("url", "ts", "hash", bucket.alias("_bucket"))
+    lasts = rows.groupBy("url", "_bucket").agg(F.max_by("hash", "ts").alias("_last"))
+    carried = lasts.select(
+        "url", "_bucket", F.lag("_last").over(Window.partitionBy("url").orderBy("_bucket")).alias("_carried")
+    )
+    inside = Window.partitionBy("url", "_bucket").orderBy("ts")
+    ranked = rows.withColumns({"_inner": F.lag("hash").over(inside), "_place": F.row_number().over(inside)})
+    before = F.when(F.col("_place") == 1, F.col("_carried")).otherwise(F.col("_inner"))
+    compared = ranked.join(carried, ["url", "_bucket"]).withColumn("_before", before)
     change = (
         F.when(F.col("_before").isNull(), "new").when(F.col("_before") == F.col("hash"), "identical").otherwise("changed")
     )
-    return (
-        history.select("url", "ts", "hash").withColumn("_before", before).select("url", "ts", change.alias("change"))
-    )
+    return compared.select("url", "ts", change.alias("change"))
 
 
 def normal_lines(content: Column, strip_comments: bool = True) -> Column:

@@ -148,6 +148,9 @@ def test_snapshot_table(spark, probes):
     assert "PartitionFilters: [isnotnull(scan_session_id" in plan and "EqualTo(host,b)" in plan
     page = [r["original_url"] for r in snapshots.read_snapshot(spark, base, limit=2, offset=1).collect()]
     assert page == ["http://a/2", "http://a/gone"]
+    broken = spark.createDataFrame([("no parquet at all",)], "v string")
+    broken.coalesce(1).write.text(f"{base}/scan_session_id=2024-01-09")
+    assert snapshots.read_snapshot(spark, base).count() == 10
     with pytest.raises(ValueError):
         snapshots.write_snapshot(stored, "")
     assert snapshots.codec_or_default("lz99") == "zstd" and snapshots.codec_or_default("gzip") == "gzip"

@@ -127,3 +127,16 @@ def test_cap_is_cut_before_the_shuffle(spark):
     before_shuffle = plan[plan.index("Exchange hashpartitioning"):]
     assert "WindowGroupLimit" in before_shuffle
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_large_cap_takes_two_steps(spark):
+    df = spark.range(0, 2000, 1, 8).select(
+        F.col("id").alias("pos"), F.concat(F.lit("u"), "id").alias("norm"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 50)).alias("pattern"),
+    )
+    for k in (3, 150):
+        ranks = {}
+        for r in df.orderBy("pos").collect():
+            ranks.setdefault(r["pattern"], []).append(r["pos"])
+        expected = sorted(p for rows in ranks.values() for p in rows[:k])
+        assert sorted(r["pos"] for r in PP.cap_per_pattern(df, max_similar=k).collect()) == expected

@@ -183,3 +183,15 @@ def test_content(spark):
     assert C.records_for_url(history, limit=1).count() == 4
     assert C.records_for_url(history, limit=9, url="u").count() == 2
     assert {(r["url"], r["ts"]): r["change"] for r in C.version_changes(history).collect()}[("u", 2)] == "changed"
+
+
+def test_versions_across_buckets(spark):
+    hashes = ["x", "x", "y", "y", "x"]
+    fetches = spark.createDataFrame([("u", i, h) for i, h in enumerate(hashes)], "url string, ts int, content string")
+    expected = ["new", "identical", "changed", "identical", "changed"]
+    for width in (1, 2, 3, 1000):
+        rows = C.version_changes(C.content_history(fetches), F.floor(F.col("ts") / width)).orderBy("ts").collect()
+        assert [r["change"] for r in rows] == expected
+    days = fetches.withColumn("ts", F.timestamp_seconds(F.col("ts") * 40000))
+    rows = C.version_changes(C.content_history(days)).orderBy("ts").collect()
+    assert [r["change"] for r in rows] == expected
