@@ -187,6 +187,25 @@ def top_errors(errors: DataFrame, message: str = "error", max_length: int = 800)
     return shown.unionByName(rest)
 
 
+def sample_targets(
+    targets: DataFrame, url: str = "url", pos: str = "pos", shown: int = 8, all_up_to: int = 10
+) -> DataFrame:
+    """A short list of targets as (rank, line): all of a few, else the first ones and how many more.
+
+    The window runs over ``all_up_to`` rows at most.
+    """
+    whole = targets.agg(F.count("*").alias("_n")).withColumn("_one", F.lit(1))
+    first = targets.orderBy(pos).limit(all_up_to).withColumns(
+        {"rank": F.row_number().over(Window.orderBy(pos)), "_one": F.lit(1)}
+    )
+    listed = first.join(F.broadcast(whole), "_one").where((F.col("_n") <= all_up_to) | (F.col("rank") <= shown))
+    more = whole.where(F.col("_n") > all_up_to).select(
+        F.lit(shown + 1).alias("rank"),
+        F.concat(F.lit("... and "), (F.col("_n") - shown).cast("string"), F.lit(" more URLs")).alias("line"),
+    )
+    return listed.select("rank", F.col(url).alias("line")).unionByName(more)
+
+
 def scan_history(log: DataFrame, session: str = "scan_session_id", ts: str = "event_ts") -> DataFrame:
     """Current state of each run from its append-only log; a start counts as the oldest event."""
     at = F.struct(F.col(ts), F.col("status") != "STARTED")

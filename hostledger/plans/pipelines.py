@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.diff import url_diff
+from ..operators.diff import report_rows, url_diff
 from ..operators.graph import root_target
 from ..operators.links import discovered_urls, extract_links, link_edges, mark_scope
 from ..operators.preprocess import preprocess_urls
 from ..operators.probes import attach_probes, to_storage_row, with_diff_keys
+from ..operators.report import (
+    DEFAULT_PART_ROWS,
+    dashboard_stats,
+    diff_distribution,
+    facets,
+    report_parts,
+    status_distribution,
+    to_report_view,
+)
 from ..operators.targets import parse_targets, seed_hosts
 from ..session import cut_lineage
 from ..sources.snapshots import write_snapshot
@@ -43,3 +52,18 @@ def diff_and_store(
     stored = to_storage_row(diff.where("url_status <> 'old'"), scan_ts, session, keep=("host",))
     write_snapshot(stored, base, codec)
     return diff
+
+
+def report(
+    diff: DataFrame, order: list[str], max_rows: int = DEFAULT_PART_ROWS, ts: str = "scan_ts"
+) -> dict[str, DataFrame]:
+    """The tables of a report. The compared rows are written once and read by each of them."""
+    rows = cut_lineage(report_rows(diff))
+    view = to_report_view(rows, ts)
+    return {
+        "parts": report_parts(view, order, max_rows),
+        "facets": facets(rows),
+        "stats": dashboard_stats(rows),
+        "status": status_distribution(rows),
+        "diff": diff_distribution(rows),
+    }

@@ -709,6 +709,13 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT CAST(rank AS INTEGER), concat('... and ', total - (rank - 1), ' more errors'), NULL FROM b
             WHERE rank = (SELECT s FROM stop)
               AND used + length(concat('... and ', total - (rank - 1), ' more errors')) + 1 <= 800""",
+        "sample_targets": f"""
+            WITH t AS (SELECT url, row_number() OVER (ORDER BY pos) AS rank, count(*) OVER () AS n FROM ({CLEAN_TARGETS}))
+            SELECT CAST(rank AS INTEGER) AS rank, url AS line FROM t WHERE n <= 10 OR rank <= 8
+            UNION ALL SELECT DISTINCT 9, concat('... and ', n - 8, ' more URLs') FROM t WHERE n > 10""",
+        "report": f"""SELECT part, n_parts, url_status, count(*) AS n_rows FROM (
+            SELECT url_status, (row_number() OVER (ORDER BY url_status, input_url) + 99) // 100 AS part,
+              (count(*) OVER () + 99) // 100 AS n_parts FROM ({DIFF})) GROUP BY 1, 2, 3""",
         # content
         "content_history": f"SELECT url, ts, sha256(content) AS hash, length(content) AS n_chars FROM ({CONTENTS})",
         "last_known_record": f"""SELECT url, ts, sha256(content) AS hash FROM ({CONTENTS})

@@ -495,6 +495,16 @@ def top_errors(spark, sf):
     return S.top_errors(fx.messages(spark, sf), "message")
 
 
+def sample_targets(spark, sf):
+    return S.sample_targets(_targets(spark, sf))
+
+
+def report(spark, sf):
+    """Rows per part and status of a whole report."""
+    tables = pipelines.report(_diff(spark, sf), ["url_status", "input_url", "timestamp", "content_length"], 100)
+    return tables["parts"].groupBy("part", "n_parts", "url_status").agg(F.count("*").alias("n_rows"))
+
+
 # ---- content -----------------------------------------------------------------------------------
 
 
@@ -670,7 +680,7 @@ def queries() -> dict[str, Query]:
         diff_counts, diff_counts_by_session, apply_status, diff_and_store, report_rows, url_inventory,
         to_report_view, facets, facets_all_sessions, dashboard_stats, status_distribution, diff_distribution,
         search_report, probe_stats, scan_summary, validate_summary, assign_batches, batching_stats,
-        merge_summaries, top_errors, clean_probes,
+        merge_summaries, top_errors, clean_probes, sample_targets, report,
         content_history, last_known_record, records_for_url, content_changes, version_changes, line_diff_counts,
         stream_dedupe_urls, stream_cap_per_pattern, stream_url_inventory, stream_snapshots, stream_progress,
         inventory_scan,
