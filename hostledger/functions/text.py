@@ -11,7 +11,7 @@ MAX_LINE = 150
 MAX_LINES = 8
 
 
-_FILES = sql_text(r"(?<![\w-])(?:[a-zA-Z0-9_-]+/)*([\w-]+\.(?:go|js|html|css|json))")
+_FILES = sql_text(r"(?<![\w-])(?<![\w-]/)(?:[a-zA-Z0-9_-]++/)*+([\w-]+\.(?:go|js|html|css|json))")
 _LONG_URL = sql_text(r"(?=https?://)(\S{30})\S{11,}(\S{20})")
 
 # SQL over ``s``, one line: file names for paths, short URLs, a bounded length.

@@ -12,7 +12,11 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-WHITESPACE = " \t\n\x0b\f\r\x85\xa0                　"
+# Unicode white space.
+WHITESPACE = (
+    " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+    "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Fixed pattern: scheme with its colon, authority with its slashes, path, query with its question
 # mark, fragment with its hash. A missing part is empty, a present one starts with its mark.
@@ -23,14 +27,14 @@ _BAD_ESCAPE = r"%(?:[^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?\z)"
 
 # What makes a URL unparseable: control characters; a colon in the first segment that ends no
 # scheme; odd characters or a port that is no number in the host; odd characters in the user part;
-# a broken percent escape in path or fragment.
+# a broken percent escape in path or fragment. Each alternative reads the URL once, however long it is.
 UNPARSEABLE = (
     r"(?s)[\x00-\x1f\x7f]"
     rf"|^(?!{_SCHEME})[^/?#:]*:"
     rf"|^(?:{_SCHEME})?//(?:[^/?#]*@)?+[^/?#@]*(?:[ \\^`{{|}}%]|:[0-9]*[^0-9:\]/?#@][^:\]/?#]*(?:[/?#]|\z))"
-    rf"|^(?:{_SCHEME})?//[^/?#]*[^A-Za-z0-9._:~!$&'()*+,;=%@/?#-][^/?#]*@"
-    rf"|^[^?#%]*(?:%[0-9A-Fa-f]{{2}}[^?#%]*+)*+{_BAD_ESCAPE}"
-    rf"|#.*{_BAD_ESCAPE}"
+    rf"|^(?:{_SCHEME})?//[A-Za-z0-9._:~!$&'()*+,;=%@-]*+[^/?#][^/?#@]*+@"
+    rf"|^[^?#%]*+(?:%[0-9A-Fa-f]{{2}}[^?#%]*+)*+{_BAD_ESCAPE}"
+    r"|^[^#]*+#(?:[^%]++|%[0-9A-Fa-f]{2})*+%"
 )
 # A short-cut most URLs take: plain host, no percent sign, no control character.
 PLAINLY_PARSEABLE = r"^[A-Za-z][A-Za-z0-9+.-]*+://[A-Za-z0-9._-]++(?::[0-9]++)?+(?:[/?#][^\x00-\x1f\x7f%]*+)?+\z"

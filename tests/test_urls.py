@@ -115,6 +115,8 @@ def test_error_text(apply):
     check(apply, TX.error_digest, {
         "a\n\n  b  ": "a\nb",
         "open src/app/main.go failed": "open main.go failed",
+        "/src/main.go:3 a.b/c.go x-y/z_1/d.html e.txt": "/main.go:3 a.c.go d.html e.txt",
+        "a/" * 60000 + "b": ("a/" * 60000)[:147] + "...",
         f"get {long_url} now": f"get {long_url[:30]}...{long_url[-20:]} now",
         "y" * 200: "y" * 147 + "...",
         "\n".join("abcdefghij"): "\n".join("abcdefgh"),
@@ -124,3 +126,15 @@ def test_error_text(apply):
         "normal error": False, "context canceled": True, "error: context cancelled": True, "CONTEXT CANCELED": True,
         "Context Deadline Exceeded": True,
     })
+
+
+def test_long_odd_urls_are_read_in_one_pass(apply):
+    """Each of these would take hours with a rule that goes back over the text."""
+    n = 200_000
+    cases = {
+        "http://" + "ä" * n: True, "http://" + "ä" * n + "@h/": False, "http://a@" + "ä" * n: True,
+        "http://h/#" + "#" * n: True, "http://h/#" + "%41" * n + "%4": False, "http://h/" + "%41" * n: True,
+        "http://h/" + "%41" * n + "%": False, "http://" + ":" * n: True, "http://u%41:p@h/": True, "http://h%41/": False,
+        "http://h:1:x/": False, "http://u x@h/": False, "http://u@v@h/": True,
+    }
+    assert dict(zip(cases, apply(U.is_valid_url, list(cases)))) == cases
