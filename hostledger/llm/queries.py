@@ -4,15 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, reputation, tokens
+
+URL_RULES = [
+    reputation.Rule("allow", "com/"),
+    reputation.Rule("block", "example.com/en/"),
+    reputation.Rule("allow", "www.example.com/en/"),
+    reputation.Rule("block", "net/es/"),
+    reputation.Rule("block", "net/fr/"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.count_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512
+    )
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = reputation.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_amounts(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
