@@ -2,6 +2,27 @@
 
 from __future__ import annotations
 
+# All pairs of equal label, then the smallest vec_id reachable.
+OP9 = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), ok AS (
+    SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+    WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+), reach(vec_id, other) AS (
+    SELECT a, b FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), first AS (SELECT vec_id, min(other) AS other FROM reach GROUP BY vec_id
+), degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(f.other, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(f.other, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN first f USING (vec_id) LEFT JOIN degree d USING (vec_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_embedding_duplicates": OP9}

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-TABLE_SIZE = 65_536  # entries of tier one, about 1 MB when sent
-SUMMARY_SIZE = 16_384  # pre-tokens each task reports
+TABLE_SIZE = 32_768  # entries of tier one, under 1 MB when sent
+SUMMARY_SIZE = 8_192  # pre-tokens each task reports
 CACHE_SIZE = 400_000  # entries of tier two, dropped together when full
 LONGEST_KEPT = 64  # characters of a pre-token worth keeping
 CHUNK = 1 << 20  # characters split at a time
