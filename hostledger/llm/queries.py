@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, mixing, packing, reputation, simhash, tokens
+from . import covertree, mixing, neighbours, packing, reputation, simhash, tokens
 
 URL_RULES = [
     reputation.Rule("allow", "com/"),
@@ -43,6 +43,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20)
+
+
 def op9_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
 
