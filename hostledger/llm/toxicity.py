@@ -50,7 +50,7 @@ class Channel:
     repeat: float = log(0.05)
     train_rows: int = 40_000  # labelled rows at most that the classifier is fitted on
     features: int = 4096
-    least_gain: float = 20.0  # likelihood ratio that a feature needs
+    least_gain: float = 8.0  # likelihood ratio that a feature needs
     steps: int = 800
     penalty: float = 0.05
     keep: float = 0.5  # of the features of a row at each step, so that one word alone counts too
@@ -272,7 +272,25 @@ def fit_logistic(rows: list[list[int]], labels: np.ndarray, size: int, channel:
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope * slope
         step = 0.05 * (first / (1 - 0.9**seen)) / (np.sqrt(second / (1 - 0.999**seen)) + 1e-8)
         weights, bias = weights - step[:-1], bias - step[-1]
-    return weights, float(bias)
+    scale, shift = calibrated(bias + np.bincount(all_who, weights[all_what], minlength=len(rows)), labels)
+    return scale * weights, float(scale * bias + shift)
+
+
+def calibrated(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """(a, b) so that the logistic of a z + b fits the labels, each softened by one row, by Newton's method."""
+    toxic = labels.sum()
+    aim = np.where(labels > 0, (toxic + 1) / (toxic + 2), 1 / (len(labels) - toxic + 2))
+    inputs, at = np.stack([z, np.ones(len(z))], axis=1), np.array([1.0, 0.0])
+    loss = lambda v: np.sum(np.logaddexp(0, inputs @ v) - aim * (inputs @ v)) + 0.01 * (v[0] - 1) ** 2
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(inputs @ at, -40, 40)))
+        slope = inputs.T @ (p - aim) + [0.02 * (at[0] - 1), 0.0]
+        bend = (inputs * (p * (1 - p))[:, None]).T @ inputs + np.diag([0.02, 1e-9])
+        step, size = np.linalg.solve(bend, slope), 1.0
+        while size > 1e-6 and loss(at - size * step) > loss(at):
+            size /= 2
+        at = at - size * step
+    return float(at[0]), float(at[1])
 
 
 @dataclass(frozen=True)
