@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, lines, mixing, neighbours, packing, reputation, simhash, tokens, toxicity
+from . import covertree, lines, mixing, neighbours, packing, reputation, simhash, tokens, toxicity, wrapper
 
 URL_RULES = [
     reputation.Rule("allow", "com/"),
@@ -48,6 +48,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20)
 

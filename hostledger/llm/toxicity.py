@@ -78,8 +78,9 @@ def trigram_counts(texts: DataFrame) -> np.ndarray:
         for batch in batches:
             for text in batch.column(0):
                 value = text.as_py()
-                for at in range(0, len(value or ""), 1 << 20):
-                    part = "  " + value[at : at + (1 << 20)].lower() + " "
+                whole = f"  {value.lower()} " if value else ""
+                for at in range(0, max(0, len(whole) - 2), 1 << 20):
+                    part = whole[at : at + (1 << 20) + 2]
                     points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
                     signs = np.where(points < len(TABLE), TABLE[np.minimum(points, len(TABLE) - 1)], OTHER).astype(np.int64)
                     total += np.bincount((signs[:-2] * SIGNS + signs[1:-1]) * SIGNS + signs[2:], minlength=SIGNS**3)
