@@ -332,8 +332,13 @@ def main_text(page: str | None, path: list[str] | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    regions = located(root, path) if path else articles(root) or [root]
-    return "\n".join(b for region in regions for b in blocks_of(region))
+    regions = located(root, path) if path else [root]
+    blocks = [b for region in regions for b in blocks_of(region)]
+    if not any(r.name in ARTICLE_NAMES for r in regions):  # a page may be clearer than the wrapper of its host
+        own = [b for r in regions for article in articles(r) for b in blocks_of(article)]
+        if 2 * sum(map(len, own)) >= sum(map(len, blocks)):
+            blocks = own
+    return "\n".join(blocks)
 
 
 def merged_templates(rows: list[tuple[str, int, str]]) -> dict[str, list]:
