@@ -9,10 +9,13 @@ source. So a block is taken as often as any other of its source, give or take on
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..session import cut_lineage
 
@@ -93,8 +96,10 @@ def draw_counts(blocks: np.ndarray, shards: int, seed: int, most: np.ndarray) ->
 
 
 def sized_documents(documents: DataFrame) -> DataFrame:
-    """doc_id, source, size of every row, written once so that the texts are read once."""
-    return cut_lineage(documents.select("doc_id", "source", words_in(F.col("text")).alias("size")))
+    """doc_id, source, size and a hash of the text of every row, written once so that the texts are read once."""
+    return cut_lineage(
+        documents.select("doc_id", "source", words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
+    )
 
 
 def source_table(sized: DataFrame, plan: MixPlan) -> list[dict]:
@@ -156,16 +161,16 @@ def slots(sized: DataFrame, table: list[dict], plan: MixPlan) -> DataFrame:
 def placed_documents(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """Every row with its place ``at`` in the stream of its source.
 
-    Equal rows (doc_id, source, size) are counted before anything is sorted and lie side by side.
+    Equal rows (doc_id, source, text) are counted before anything is sorted and lie side by side.
     Streams are summed up by buckets of about the square root of all rows, so neither a bucket nor
     the list of buckets of a source becomes one large task.
     """
-    groups = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"))
+    groups = sized.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("copies"))
     groups = cut_lineage(groups)
     buckets = max(1, int(groups.count() ** 0.5))
     known = groups.join(F.broadcast(sources), groups["source"].eqNullSafe(sources["source"])).select(
-        "doc_id", groups["source"], "source_id", "size", "copies", "source_size", "target", "blocks",
-        F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)).alias("bucket"),
+        "doc_id", groups["source"], "source_id", "size", "mark", "copies", "source_size", "target", "blocks",
+        F.pmod(F.xxhash64("doc_id", "mark"), F.lit(buckets)).alias("bucket"),
     )
     words = F.col("size") * F.col("copies")
     ahead = Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -175,26 +180,26 @@ def placed_documents(sized: DataFrame, sources: DataFrame) -> DataFrame:
         .select("source_id", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset"))
     )
     inside = (
-        Window.partitionBy("source_id", "bucket").orderBy("doc_id", "size")
+        Window.partitionBy("source_id", "bucket").orderBy("doc_id", "mark")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = known.withColumn("before", F.coalesce(F.sum(words).over(inside), F.lit(0))).join(
         offsets, ["source_id", "bucket"]
     )
     return placed.select(
-        "doc_id", "source", "source_id", "size", "source_size", "target", "blocks",
+        "doc_id", "source", "source_id", "size", "mark", "source_size", "target", "blocks",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"),
         (F.col("offset") + F.col("before")).alias("start"),
     ).withColumn("at", F.col("start") + F.col("copy") * F.col("size")).drop("start")
 
 
 def mix(documents: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
-    """What the mix takes of every row: doc_id, source, copy, size, source_size, target, taken, pieces.
+    """What the mix takes of every row: doc_id, source, mark, copy, size, source_size, target, taken, pieces.
 
     ``pieces`` lists (turn, first word, words) of the row that each pass over its source takes,
     ``taken`` is the sum of their words. Null or blank texts have size 0 and nothing taken, a null
-    source is a source, rows with equal doc_id, source and size are told apart by ``copy`` (0, 1, …)
-    and are otherwise interchangeable, an empty table gives no rows, columns other than doc_id, text
+    source is a source, ``mark`` is a hash of the text, and rows with equal doc_id, source and text
+    are told apart by ``copy`` (0, 1, …), an empty table gives no rows, columns other than doc_id, text
     and source are ignored. Reruns give the same rows. ``taken`` never exceeds ``max_repeats`` times
     ``size``.
     """
@@ -213,7 +218,7 @@ def mix(documents: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     uses = slots(sized, table, plan).groupBy("source_id", "block").agg(F.collect_list("turn").alias("turns"))
     piece = F.transform("turns", lambda t: F.struct(t.alias("turn"), F.col("begin"), F.col("words")))
     rows = parts.join(uses, ["source_id", "block"], "left").groupBy(
-        "doc_id", "source", "copy", "size", "source_size", "target"
+        "doc_id", "source", "mark", "copy", "size", "source_size", "target"
     )
     return rows.agg(
         F.coalesce(F.sum(F.col("words") * F.coalesce(F.size("turns"), F.lit(0))), F.lit(0)).alias("taken"),
@@ -221,6 +226,46 @@ def mix(documents: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     )
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def taken_texts(texts: pd.Series, pieces: pd.Series) -> pd.Series:
+    """For each pass over the source that takes something of a text, in order: what it takes."""
+    out = []
+    for text, taken in zip(texts, pieces, strict=True):
+        spans, by_turn = [m.span() for m in re.finditer(WORD, text or "")], {}
+        for piece in sorted(taken, key=lambda p: (p["turn"], p["begin"])):
+            ranges = by_turn.setdefault(piece["turn"], [])
+            if ranges and ranges[-1][1] == piece["begin"]:
+                ranges[-1][1] += piece["words"]
+            else:
+                ranges.append([piece["begin"], piece["begin"] + piece["words"]])
+        out.append(
+            [
+                text if ranges == [[0, len(spans)]] else "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in ranges)
+                for _, ranges in sorted(by_turn.items())
+            ]
+        )
+    return pd.Series(out)
+
+
+def mixed_documents(documents: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
+    """The mix as documents: a row of ``documents`` for each pass that takes words of it, its text cut to these words.
+
+    A row is there up to ``max_repeats`` times, or not at all; parts of a text that do not touch are
+    joined by a line feed, and n_chars, if there is such a column, is counted anew.
+    """
+    columns = documents.columns
+    taken = mix(documents, plan).where(F.size("pieces") > 0).select("doc_id", "source", "mark", "pieces")
+    taken = taken.toDF("_id", "_source", "_mark", "_pieces")
+    # one of equal rows stands for all of them; the copies are in ``taken``
+    marked = documents.withColumn("_mark", F.xxhash64("text"))
+    own = marked.groupBy("doc_id", "source", "_mark").agg(F.min(F.struct(*columns)).alias("_row"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    rows = own.join(taken.withColumnRenamed("_mark", "_of"), same & (F.col("_mark") == F.col("_of")))
+    cut = rows.select("_row", F.explode(taken_texts(F.col("_row.text"), F.col("_pieces"))).alias("_text"))
+    fresh = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return cut.select(*[fresh.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns])
+
+
 def mix_amounts(documents: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     """``mix`` without the pieces: only sums travel."""
     return mix(documents, plan).select("doc_id", "source", "size", "source_size", "target", "taken")

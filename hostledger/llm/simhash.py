@@ -52,18 +52,20 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     return int(sum(1 << int(i) for i in set_))
 
 
-def fingerprints(documents: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """doc_id and ``fp`` (the 64 bits as a signed long) of every row."""
+def fingerprints(documents: DataFrame, words_per_shingle: int = 3, mark: bool = False) -> DataFrame:
+    """doc_id and ``fp`` (the 64 bits as a signed long) of every row, and on demand ``mark``, a hash of its text."""
+    kept = ["doc_id", *["mark"] * mark]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), words_per_shingle) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"]
+                [*[batch.column(c) for c in kept], pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], [*kept, "fp"]
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(hashed, f"doc_id {kind}, fp long")
+    rows = documents.select("doc_id", "text", *[F.xxhash64("text").alias("mark")] * mark)
+    return rows.mapInArrow(hashed, f"doc_id {kind}, {'mark long, ' * mark}fp long")
 
 
 def prefix(fp: Column, depth: int) -> Column:
@@ -189,6 +191,13 @@ def fingerprint_links(fps: DataFrame, bits: int = 2, block: int = BLOCK) -> Data
     return units.mapInArrow(lambda batches: forest(batches, bits), "a long, b long")
 
 
+def grouped_fingerprints(hashed: DataFrame, bits: int, block: int) -> DataFrame:
+    """fp and ``root``, the fingerprint that names its group, for the distinct ``fp`` of ``hashed``."""
+    classes = cut_lineage(hashed.select("fp").distinct())
+    linked = connected_components(fingerprint_links(classes, bits, block)).withColumnRenamed("node", "fp")
+    return classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(documents: DataFrame, bits: int = 2, words_per_shingle: int = 3, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``documents``.
 
@@ -198,11 +207,30 @@ def near_duplicates(documents: DataFrame, bits: int = 2, words_per_shingle: int
     Repeated rows are kept, an empty table gives no rows, other columns are ignored.
     """
     hashed = cut_lineage(fingerprints(documents, words_per_shingle))
-    classes = cut_lineage(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = connected_components(fingerprint_links(classes.select("fp"), bits, block))
-    rooted = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(firsts, "root").select("fp", "component_id")
+    rooted = cut_lineage(grouped_fingerprints(hashed, bits, block))
+    firsts = hashed.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    by_root = firsts.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(by_root, "root").select("fp", "component_id")
     return hashed.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def first_of_groups(documents: DataFrame, bits: int = 2, words_per_shingle: int = 3, block: int = BLOCK) -> DataFrame:
+    """``documents`` with one row of each group of near-duplicates, the one with the smallest doc_id.
+
+    A null doc_id comes last; rows of one doc_id are told apart by their text, of equal rows one stays.
+    """
+    columns = documents.columns
+    marked = fingerprints(documents, words_per_shingle, mark=True)
+    hashed = cut_lineage(marked)
+    rooted = grouped_fingerprints(hashed, bits, block)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    firsts = hashed.groupBy("fp").agg(F.min(row).alias("first")).join(rooted, "fp")
+    kept = firsts.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_of")
+    )
+    own = documents.withColumn("_mark", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of"))
+    found = own.join(kept, same, "left_semi").groupBy("doc_id", "_mark").agg(F.min(F.struct(*columns)).alias("_row"))
+    return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
