@@ -9,10 +9,12 @@ fitted on labelled rows, gives the score.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import cut_lineage
+from .batches import portions
 
 SIGNS = 64  # of the language model: 0 boundary, 1 digit or sign, 2-27 a-z, then ß … ÿ, 61 other letters
 BOUNDARY, SIGN, OTHER = 0, 1, 61
@@ -51,9 +54,9 @@ class Channel:
     train_rows: int = 40_000  # labelled rows at most that the classifier is fitted on
     features: int = 4096
     least_gain: float = 8.0  # likelihood ratio that a feature needs
-    steps: int = 800
-    penalty: float = 0.05
-    keep: float = 0.5  # of the features of a row at each step, so that one word alone counts too
+    steps: int = 300
+    penalty: float = 0.005
+    keep: float = 0.3  # of the features of a row at each step, so that one word alone counts too
 
 
 def sign_table() -> np.ndarray:
@@ -75,15 +78,13 @@ def trigram_counts(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIGNS**3, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                value = text.as_py()
-                whole = f"  {value.lower()} " if value else ""
-                for at in range(0, max(0, len(whole) - 2), 1 << 20):
-                    part = whole[at : at + (1 << 20) + 2]
-                    points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                    signs = np.where(points < len(TABLE), TABLE[np.minimum(points, len(TABLE) - 1)], OTHER).astype(np.int64)
-                    total += np.bincount((signs[:-2] * SIGNS + signs[1:-1]) * SIGNS + signs[2:], minlength=SIGNS**3)
+        for batch in portions(batches):
+            whole = "  ".join(["", *(t.as_py() for t in batch.column(0) if t.is_valid), ""]).lower()
+            for at in range(0, max(0, len(whole) - 2), 1 << 21):
+                part = whole[at : at + (1 << 21) + 2]
+                points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                signs = np.where(points < len(TABLE), TABLE[np.minimum(points, len(TABLE) - 1)], OTHER).astype(np.int64)
+                total += np.bincount((signs[:-2] * SIGNS + signs[1:-1]) * SIGNS + signs[2:], minlength=SIGNS**3)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"gram": pa.array(used), "n": pa.array(total[used])})
 
@@ -164,18 +165,30 @@ class Decoder:
 
 
 def features_of(words: list[str]) -> list[str]:
-    return [f for w in words for f in (w, *(f"{w[:k]}…" for k in STARTS if len(w) > k))]
+    return [f for w in words for f in (w, *(f"{w[:k]}…" for k in STARTS if len(w) >= k))]
 
 
 class Features(dict):
-    """What each token of a text contributes, kept while there is room."""
+    """What each token of a text contributes, kept while there is room.
+
+    ``of_worker`` gives the one of the query at work, which lives as long as the Python worker.
+    """
+
+    HELD: ClassVar[dict[str, Features]] = {}
 
-    ROOM = 300_000
+    ROOM = 1_000_000
 
     def __init__(self, decoder: Decoder, known: dict[str, int] | None = None):
         super().__init__()
         self.decoder, self.known = decoder, known
 
+    @classmethod
+    def of_worker(cls, key: str, decoder: Decoder, known: dict[str, int] | None = None) -> Features:
+        if key not in cls.HELD:
+            cls.HELD.clear()
+            cls.HELD[key] = cls(decoder, known)
+        return cls.HELD[key]
+
     def __missing__(self, token: str) -> tuple:
         words = self.decoder.restore(token)
         found = features_of(words)
@@ -190,7 +203,7 @@ class Features(dict):
         """Features of a whole text."""
         out: set = set()
         lower = (text or "").lower()
-        for token in set(lower.split()):
+        for token in set(lower.replace(", ", " ").replace(". ", " ").replace(".\n", "\n").split()):
             out.update(self[token])
         for spaced in SPACED.findall(lower):
             out.update(self["".join(spaced.split())])
@@ -214,10 +227,10 @@ def training_rows(documents: DataFrame, labels: DataFrame, channel: Channel) ->
 
 def feature_counts(rows: DataFrame, model: list[float], channel: Channel) -> DataFrame:
     """feature, toxic, clean: in how many rows of either kind it occurs."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    sent, key = rows.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, counts = Features(Decoder(sent.value, channel)), (Counter(), Counter())
+        cache, counts = Features.of_worker(key, Decoder(sent.value, channel)), (Counter(), Counter())
 
         def flush() -> pa.RecordBatch:
             names = list(counts[0].keys() | counts[1].keys())
@@ -271,27 +284,24 @@ def fit_logistic(rows: list[list[int]], labels: np.ndarray, size: int, channel:
         slope = np.append(np.bincount(what, wrong[who], minlength=size) + channel.penalty * weights, wrong.sum()) / n
         seen += 1
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope * slope
-        step = 0.05 * (first / (1 - 0.9**seen)) / (np.sqrt(second / (1 - 0.999**seen)) + 1e-8)
+        step = 0.1 * (first / (1 - 0.9**seen)) / (np.sqrt(second / (1 - 0.999**seen)) + 1e-8)
         weights, bias = weights - step[:-1], bias - step[-1]
-    scale, shift = calibrated(bias + np.bincount(all_who, weights[all_what], minlength=len(rows)), labels)
-    return scale * weights, float(scale * bias + shift)
-
-
-def calibrated(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """(a, b) so that the logistic of a z + b fits the labels, each softened by one row, by Newton's method."""
-    toxic = labels.sum()
-    aim = np.where(labels > 0, (toxic + 1) / (toxic + 2), 1 / (len(labels) - toxic + 2))
-    inputs, at = np.stack([z, np.ones(len(z))], axis=1), np.array([1.0, 0.0])
-    loss = lambda v: np.sum(np.logaddexp(0, inputs @ v) - aim * (inputs @ v)) + 0.01 * (v[0] - 1) ** 2
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(inputs @ at, -40, 40)))
-        slope = inputs.T @ (p - aim) + [0.02 * (at[0] - 1), 0.0]
-        bend = (inputs * (p * (1 - p))[:, None]).T @ inputs + np.diag([0.02, 1e-9])
-        step, size = np.linalg.solve(bend, slope), 1.0
-        while size > 1e-6 and loss(at - size * step) > loss(at):
-            size /= 2
-        at = at - size * step
-    return float(at[0]), float(at[1])
+    if not 0 < labels.sum() < len(labels):
+        return weights, float(bias)
+    return weights, -best_cut(np.bincount(all_who, weights[all_what], minlength=len(rows)), labels)
+
+
+def best_cut(z: np.ndarray, labels: np.ndarray) -> float:
+    """The value from which rows count as toxic with fewest errors; between two rows, nearer to the clean one."""
+    order = np.argsort(z, kind="stable")
+    z, labels = z[order], labels[order]
+    # errors if the first i rows count as clean and the others as toxic
+    errors = np.concatenate([[0], np.cumsum(labels)]) + (len(labels) - labels.sum()) - np.concatenate([[0], np.cumsum(1 - labels)])
+    below, above = np.concatenate([[z[0] - 1], z]), np.concatenate([z, [z[-1] + 1]])
+    errors[below >= above] = np.inf  # no cut between equal values
+    least = np.flatnonzero(errors == errors.min())
+    at = least[(above - below)[least].argmax()]
+    return float(below[at] + (above[at] - below[at]) / 3)
 
 
 @dataclass(frozen=True)
@@ -315,10 +325,10 @@ def fit(documents: DataFrame, labels: DataFrame, channel: Channel = Channel()) -
         return Model(language, {}, [], 40.0 if toxic else -40.0, channel)
     names = choose_features(feature_counts(rows, language, channel), toxic, clean, channel)
     known = {f: i for i, f in enumerate(names)}
-    sent = documents.sparkSession.sparkContext.broadcast(language)
+    sent, key = documents.sparkSession.sparkContext.broadcast(language), uuid.uuid4().hex
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Features(Decoder(sent.value, channel), known)
+        cache = Features.of_worker(key, Decoder(sent.value, channel), known)
         for batch in batches:
             found = [sorted(cache.of(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("toxic")], ["found", "toxic"])
@@ -330,13 +340,13 @@ def fit(documents: DataFrame, labels: DataFrame, channel: Channel = Channel()) -
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
     """``documents`` with ``score``, from the text alone."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    sent, key = documents.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     names = [c for c in documents.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
-        cache, weights = Features(Decoder(held.language, held.channel), held.known), held.weights
-        for batch in batches:
+        cache, weights = Features.of_worker(key, Decoder(held.language, held.channel), held.known), held.weights
+        for batch in portions(batches):
             z = np.array([held.bias + sum(weights[i] for i in sorted(cache.of(t.as_py()))) for t in batch.column("text")])
             score = pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], score], [*names, "score"])

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from hostledger.llm.toxicity import Channel, Decoder, Features, calibrated, fit, fit_logistic, language_model, score_documents, trigram_counts
+from hostledger.llm.toxicity import Channel, Decoder, Features, best_cut, fit, fit_logistic, language_model, score_documents, trigram_counts
 
 WORDS = "the cat sat on a mat and saw that it was not so bad to be here with all of them".split()
 
@@ -73,15 +73,16 @@ def test_spaced_words(decoder):
     assert "dimwit" in found and "there" in found
 
 
-def test_logistic_and_calibration():
+def test_logistic_and_cut():
     rng = np.random.default_rng(0)
     rows = [[0] if i % 3 == 0 else [1] for i in range(600)]
     labels = np.array([float(r == [0]) for r in rows])
     weights, bias = fit_logistic(rows, labels, 2, Channel())
     assert bias + weights[0] > 2 and bias + weights[1] < -2
-    z = rng.normal(size=20_000)
-    y = (rng.random(20_000) < 1 / (1 + np.exp(-(2 * z - 1)))).astype(float)
-    assert calibrated(z, y) == pytest.approx((2, -1), abs=0.1)
+    z, y = rng.normal(size=200).round(1), (rng.random(200) < 0.5).astype(float)
+    cut = best_cut(z, y)
+    assert ((z >= cut) != y).sum() == min(((z >= c) != y).sum() for c in [*z, 9.0])
+    assert best_cut(np.array([0.0, 1.0, 4.0]), np.array([0.0, 0.0, 1.0])) == 2.0
 
 
 def test_held_out_accuracy(frame):
