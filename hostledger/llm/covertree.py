@@ -21,7 +21,7 @@ from .components import connected_components, local_roots
 from .vectors import matrix, usable
 
 BLOCK = 2048  # vectors of a leaf of the tables
-CENTRES = 256  # most centres that split a node at once
+CENTRES = 64  # most centres that split a node at once; more only means more pairs of blocks
 MARGIN = 1e-9  # of the bounds; what is that close is compared itself
 MOST_LEVELS = 24
 
@@ -175,7 +175,7 @@ def unit_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["cid", "links", "root"])
 
 
-def net(sample: np.ndarray, radius: float, most: int = CENTRES) -> np.ndarray:
+def net(sample: np.ndarray, radius: float, most: int) -> np.ndarray:
     """Rows of ``sample`` (unit vectors) that are over ``radius`` apart; the radius halves until there are two."""
     while True:
         chosen, rest = [], np.arange(len(sample))
@@ -193,14 +193,15 @@ def split_nodes(members: DataFrame, big: DataFrame, level: int, block: int) -> t
     The centres are a net over a bounded hashed sample of the node; every member goes to the nearest
     one. A node that cannot be told apart by centres is dealt out evenly instead.
     """
-    wanted = F.least(F.lit(CENTRES), F.ceil(8 * F.col("count") / block))
+    wanted = F.least(F.lit(CENTRES), F.ceil(2 * F.col("count") / block)).cast("int")
     own = members.join(big, "node").withColumn("wanted", wanted)
     draw = F.pmod(F.xxhash64("cid", F.lit(level)), F.lit(1 << 40)) / float(1 << 40)
-    sample = own.where(draw < F.col("wanted") * 2 / F.col("count")).select("node", "dim", "embedding")
+    sample = own.where(draw < F.col("wanted") * 8 / F.col("count")).select("node", "dim", "wanted", "embedding")
     radius = 1.2 / 2**level
 
     def centres(table: pa.Table) -> pa.Table:
-        found = net(unit(matrix(table.column("embedding").combine_chunks(), table.column("dim")[0].as_py())), radius)
+        dim, wanted = (table.column(c)[0].as_py() for c in ("dim", "wanted"))
+        found = net(unit(matrix(table.column("embedding").combine_chunks(), dim)), radius, wanted)
         return pa.table({"node": table.column("node")[:1], "centres": pa.array([found.tolist()], pa.list_(pa.list_(pa.float64())))})
 
     nets = cut_lineage(sample.groupBy("node").applyInArrow(centres, "node long, centres array<array<double>>"))
