@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
 
 from pyspark.sql import SparkSession
 
@@ -102,15 +101,13 @@ CRAWL_COUNTRIES = (
     "aw cw sx bq ms ai kn bs tc vg ky bm lu"
 ).split()
 
-# Dashed codes of the crawl rules. Language-country pairs follow from the two tables above, so
-# only country-language pairs (by rule) and pairs with a code missing above are listed.
-COUNTRIES_WITH_ENGLISH = "jo ae sa kw qa bh om ye iq sy lb ps eg ly sd".split()
-COUNTRIES_WITH_FRENCH = "tn dz ma mr td dj km".split()
+# Dashed codes of the crawl rules that are no language and country of the two tables above.
 CRAWL_DASHED_LOCALES = (
-    [f"{c}-{lang}" for c, lang in product(COUNTRIES_WITH_ENGLISH, ("ar", "en"))]
-    + [f"{c}-{lang}" for c, lang in product(COUNTRIES_WITH_FRENCH, ("ar", "fr"))]
-    + "no-bv da-gl ca-ad mt-mt bs-ba tg-tj bn-bd az-az hy-am ka-ge wo-sn ff-gn".split()
-)
+    "jo-ar jo-en ae-ar ae-en sa-ar sa-en kw-ar kw-en qa-ar qa-en bh-ar bh-en om-ar om-en "
+    "ye-ar ye-en iq-ar iq-en sy-ar sy-en lb-ar lb-en ps-ar ps-en eg-ar eg-en ly-ar ly-en "
+    "sd-ar sd-en tn-ar tn-fr dz-ar dz-fr ma-ar ma-fr mr-ar mr-fr td-ar td-fr dj-ar dj-fr "
+    "km-ar km-fr no-bv da-gl ca-ad mt-mt bs-ba tg-tj bn-bd az-az hy-am ka-ge wo-sn ff-gn"
+).split()
 
 # Four-letter country-language codes of the crawl rules.
 CRAWL_COMPOUND_LOCALES = (

@@ -6,86 +6,96 @@ from hostledger.functions import patterns as P
 from hostledger.functions import tables
 from hostledger.operators import preprocess as PP
 
-FORUM = "https://forum.example.com/read.php?tid={}&fid={}&page=e#a"
-
-
 def test_crawl_patterns(apply):
+    """Locale segments and values are starred, ignored parameters and id-like fragments go."""
     cases = [
-        ("https://forum.example.com/read.php?tid=38&fid=12&page=e#a", dict(ignored_params=["tid", "fid", "page", "id"]),
-         "https://forum.example.com/read.php"),
-        ("https://s.example.com/chde/premium/find-n3-1/", dict(ignored_params=[]), "https://s.example.com/*/premium/find-n3-1/"),
-        ("https://example.com/search?query=test&sort=date", dict(ignored_params=[]), "https://example.com/search?query=*&sort=*"),
-        ("https://example.com/api/v1/users?id=123&query=test&page=2", dict(ignored_params=["id", "page"]),
-         "https://example.com/api/v1/users?query=*"),
-        ("not-a-url", dict(detect_locales=False), "://not-a-url"),
-        ("https://example.com", dict(), "https://example.com/"),
-        ("https://example.com/a#section=intro", dict(), "https://example.com/a#section=intro"),
+        ("http://laden.test/fr/katalog/7?groesse=m&farbe=rot", {}, "http://laden.test/*/katalog/7?farbe=*&groesse=*"),
+        ("http://laden.test/fr/katalog/", dict(detect_locales=False), "http://laden.test/fr/katalog/"),
+        ("http://laden.test/at/", dict(custom_codes=["klingonisch"]), "http://laden.test/*/"),
+        ("http://laden.test/KLINGONISCH/x", dict(custom_codes=["klingonisch"]), "http://laden.test/*/x"),
+        ("http://w.test/r?Anzahl=1&bild=2", dict(ignored_params=["anzahl"]), "http://w.test/r?bild=*"),
+        ("http://w.test/r?anzahl=1", dict(ignored_params=["ANZAHL"]), "http://w.test/r"),
+        ("http://w.test/r?anzahl=1", dict(ignored_params=[]), "http://w.test/r?anzahl=*"),
+        ("http://w.test:8080", {}, "http://w.test:8080/"),
+        ("http://w.test/x#kapitel-zwei", {}, "http://w.test/x#kapitel-zwei"),
+        ("http://w.test/x#99", {}, "http://w.test/x"),
+        ("//w.test/x", {}, "://w.test/x"),
+        ("http://w.test/%zz", {}, None),
     ]
     for url, options, expected in cases:
-        assert apply(lambda u: P.url_pattern(u, "crawl", **options), [url]) == [expected]
+        assert apply(lambda u: P.url_pattern(u, "crawl", **options), [url]) == [expected], url
 
 
 def test_preprocess_patterns(apply):
-    urls = [
-        "https://f.com/api/123/deadbeef00/foo//bar/?z=12&a=x&tid=4#abc",
-        "https://f.com", "https://f.com/", "https://f.com/x#12", "http://a b/",
-    ]
-    assert apply(lambda u: P.url_pattern(u, "preprocess"), urls) == [
-        "https://f.com/<locale>/<variable>/<variable>/foo/bar?a=x&z=<variable>#abc",
-        "https://f.com", "https://f.com/", "https://f.com/x#<variable>", None,
-    ]
+    """Locales and variables are named, empty segments go, parameters are sorted by name."""
+    cases = {
+        "http://w.test/pt/buch/4711//cafebabe42?zahl=77&art=rot&page=3#seite": (
+            "http://w.test/<locale>/buch/<variable>/<variable>?art=rot&zahl=<variable>#seite"
+        ),
+        "http://w.test/bild-neu/token123456": "http://w.test/bild-neu/<variable>",
+        "http://w.test": "http://w.test",
+        "http://w.test/": "http://w.test/",
+        "http://w.test/x#2024": "http://w.test/x#<variable>",
+        "http://w.test/x?b=2&b=rot": "http://w.test/x?b=<variable>&b=rot",
+        "http://h:port/": None,
+    }
+    assert dict(zip(cases, apply(lambda u: P.url_pattern(u, "preprocess"), list(cases)), strict=True)) == cases
 
 
 def test_crawl_variable(apply):
-    cases = {"id=10071": True, "page=1": True, "section=intro": False, "about": False, "a": True, "123": True,
-             "abc123": True, "introduction": False, "": False, "1234567": True, "x=abcd": False, "x=abc": True}
-    assert dict(zip(cases, apply(lambda s: P.is_variable(s, "crawl"), list(cases)))) == cases
+    """Up to two bytes, up to six digits, up to eight hex digits, an id key, or one short or numeric value."""
+    cases = {
+        "zz": True, "zzz": False, "ü": True, "üb": False, "000000": True, "00000000": True, "000000000": False, "beefcafe": True,
+        "beefcafe0": False, "id=lang-und-breit": True, "OFFSET=lang-und-breit": True, "farbe=lang": False, "farbe=rot": True,
+        "farbe=123456": True, "farbe=1234567": False, "farbe=a=b": False, "": False, "kapitel": False,
+    }
+    assert dict(zip(cases, apply(lambda s: P.is_variable(s, "crawl"), list(cases)), strict=True)) == cases
 
 
 def test_preprocess_variable(apply):
+    """Integers of 64 bits, eight hex digits or more, UUIDs, escapes, long words, session words with a tail."""
     cases = {
-        "42": True, "-42": True, "9223372036854775807": True, "+1": True, "deadbeef": True, "deadbee": False,
-        "7fffffffffffffff": True, "ffffffffffffffff": False, "a%b": True, "abcdefghijklmnopq": True,
-        "abcdefghijklmnop": False, "sessionabcd": False, "sessionabcde": True, "ID12345": True, "about": False, "": False,
-        "123e4567-e89b-12d3-a456-426614174000": True,
+        "0008": True, "-77": True, "+0": True, "--7": False, "-9223372036854775808": True, "1.5": False,
+        "cafebab": False, "cafebabe": True, "CAFEBABE": True, "cafebabg": False, "0000000cafebab": True,
+        "x%20y": True, "q" * 16: False, "q" * 17: True, "q" * 16 + "-": False, "tokenwert": False, "tokenwerte": True, "Uid-2024": True, "uid-": False, "katalog": False, "": False,
+        "aaaaaaaa-bbbb-cccc-dddd-eeeeeeeeeeee": True, "z-z-z-z-z": False,
     }
-    assert dict(zip(cases, apply(lambda s: P.is_variable(s, "preprocess"), list(cases)))) == cases
+    assert dict(zip(cases, apply(lambda s: P.is_variable(s, "preprocess"), list(cases)), strict=True)) == cases
 
 
 def test_locales(apply, spark):
     assert len(tables.iso_countries()) == 249
-    crawl = {"en": True, "us": True, "zz": False, "en-us": True, "jo-ar": True, "da-gl": True, "chde": True, "abcd": False,
-             "zu-za": True, "EN": True, "": False, "eng": False, "no-bv": True, "en-uk": False}
-    assert dict(zip(crawl, apply(lambda s: P.is_locale(s, "crawl"), list(crawl)))) == crawl
-    pre = {"en": True, "aq": True, "zz": False, "en-AQ": True, "api": True, "WWW": True, "chde": False, "xx-us": False}
-    assert dict(zip(pre, apply(lambda s: P.is_locale(s, "preprocess"), list(pre)))) == pre
-    assert apply(lambda s: P.is_locale(s, "crawl", ["Klingon"]), ["klingon"]) == [True]
+    crawl = {"pt": True, "PT": True, "pt-br": True, "zz-pt": False, "fr-zz": False, "sv-se": True, "qa-en": True, "sd-ar": True,
+             "tn-fr": True, "km-en": False, "frca": False, "cafr": True, "qq": False, "fr_ca": False, "": False}
+    assert dict(zip(crawl, apply(lambda s: P.is_locale(s, "crawl"), list(crawl)), strict=True)) == crawl
+    pre = {"it": True, "IT-ch": True, "it-qq": False, "qq-it": False, "bv": True, "cafr": False, "it-ch-x": False}
+    assert dict(zip(pre, apply(lambda s: P.is_locale(s, "preprocess"), list(pre)), strict=True)) == pre
+    assert apply(lambda s: P.is_locale(s, "preprocess", countries=["qq"]), ["it-qq", "it-ch"]) == [True, False]
 
 
 def kept(spark, urls, **options):
     df = spark.createDataFrame(list(enumerate(urls)), "pos bigint, url string")
-    rows = {r["pos"] for r in PP.preprocess_urls(df, mode="crawl", normalize=dict(
-        strip_fragments=False, strip_tracking=False, custom_params=[]), **options).collect()}
-    return [i not in rows for i in range(len(urls))]
+    rows = PP.preprocess_urls(df, mode="crawl", normalize=dict(strip_fragments=False, strip_tracking=False, custom_params=[]), **options)
+    return sorted(r["pos"] for r in rows.collect())
 
 
-def test_cap_sequences(spark):
-    three = [FORUM.format(i, i * 7) for i in (1, 2, 3)]
-    forum = dict(ignored_params=["tid", "fid", "page"], detect_locales=False)
-    assert kept(spark, three, pattern=forum) == [False, True, True]
-    assert kept(spark, three, pattern=forum, max_similar=2) == [False, False, True]
-    assert kept(spark, three[:2], pattern=forum, enabled=False) == [False, False]
-    assert kept(spark, [three[0], three[1].replace("read", "post")], pattern=forum) == [False, False]
-    shop = "https://support.example.com/{}/premium/{}/"
-    locales = [shop.format(c, "n3") for c in ("chde", "tw", "kzkk", "chfr")] + [shop.format(c, "x6") for c in ("jp", "en", "fr")]
-    assert kept(spark, locales, pattern=dict(ignored_params=[])) == [False, True, True, True, False, True, True]
+def test_cap_keeps_the_first_of_each_pattern(spark):
+    shelf = [f"http://markt.test/{lang}/regal?fach={i}&stapel={i * i}" for i, lang in enumerate(["da", "it", "pl", "da", "x-y"])]
+    assert kept(spark, shelf) == [0, 4]  # the last has no locale
+    assert kept(spark, shelf, max_similar=3) == [0, 1, 2, 4]
+    assert kept(spark, shelf[::-1]) == [0, 1]
+    assert kept(spark, shelf, pattern=dict(detect_locales=False)) == [0, 1, 2, 4]  # pages 0 and 3 differ in values only
+    assert kept(spark, shelf, enabled=False) == [0, 1, 2, 3, 4]
+    assert kept(spark, [shelf[0], shelf[0] + "&mehr=1", shelf[0] + "#4"]) == [0, 1]
 
 
 def test_pattern_counts(spark):
-    urls = [FORUM.format(1, 1), FORUM.format(2, 2), "https://example.com/different-page"]
-    df = spark.createDataFrame(list(enumerate(urls)), "pos bigint, url string")
-    rows = PP.preprocess_urls(df, max_similar=2, mode="crawl")
-    assert sorted(r["n_urls"] for r in PP.pattern_stats(rows).collect()) == [1, 2]
+    urls = ["http://markt.test/da/regal", "http://markt.test/it/regal", "http://markt.test/kasse", "http://markt.test/pl/regal"]
+    rows = PP.preprocess_urls(spark.createDataFrame(list(enumerate(urls)), "pos bigint, url string"), max_similar=2, mode="crawl")
+    assert {r["pattern"]: r["n_urls"] for r in PP.pattern_stats(rows).collect()} == {
+        "http://markt.test/*/regal": 2, "http://markt.test/kasse": 1,
+    }
+    assert [r["n_urls"] for r in PP.pattern_stats(rows, min_count=2).collect()] == [2]
 
 
 def one_by_one(items, k):
