@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
-from .urlparts import as_column, sql_text
+from .urlparts import as_column, sql_list, sql_text
 
 # Elements whose content is text, not markup.
 RAW_TEXT = "script|style|textarea|title|xmp|iframe|noembed|noframes|noscript"
@@ -29,8 +31,15 @@ START_TAGS = (
     r"(?:\3(?:[^<]++|<(?!/\2[\s/>]))*+|(?!\3)))"
 )
 
-# The character references an attribute of a URL commonly carries.
-NAMED = {"lt;": "<", "gt;": ">", "quot;": '"', "apos;": "'", "nbsp;": "\xa0", "amp;": "&"}
+# What the numeric references 128 to 159 stand for (Windows-1252); undefined ones stay as they are.
+C1 = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+# The named references of the HTML standard, from Python's copy of its table, each as one text:
+# those that end in a semicolon, and the old ones that may go without.
+BEFORE, BETWEEN = "\ue000", "\ue001"
+CLOSED, OPEN = (
+    "".join(f"{BEFORE}{name}{BETWEEN}{text}" for name, text in html5.items() if name.endswith(";") == closed) + BEFORE
+    for closed in (True, False)
+)
 
 
 def start_tags(html: Column | str) -> Column:
@@ -49,25 +58,45 @@ def attribute_sql(tag: str, name: str) -> str:
     return f"regexp_replace(regexp_extract({tag}, {sql_text(value)}, 1), {sql_text(quotes)}, '$2')"
 
 
+def _named_sql(name: str, table: str) -> str:
+    """SQL: what the reference ``name`` stands for, null if the table has none."""
+    place = f"instr({sql_text(table)}, concat('{BEFORE}', {name}, '{BETWEEN}'))"
+    value = f"split_part(substr({sql_text(table)}, {place} + length({name}) + 2, 8), '{BEFORE}', 1)"
+    return f"CASE WHEN {place} > 0 THEN {value} END"
+
+
 def _decoded_piece() -> str:
-    """SQL over ``p``, the text after an ampersand: the reference it starts with, decoded."""
-    digits = "regexp_extract(p, '^#([0-9]{1,7})', 1)"
-    hex_digits = "regexp_extract(p, '^#[xX]([0-9a-fA-F]{1,6})', 1)"
-    number = f"cast(conv(coalesce(nullif({hex_digits}, ''), conv({digits}, 10, 16)), 16, 10) AS int)"
-    char = f"decode(unhex(lpad(hex({number}), 8, '0')), 'UTF-32')"
-    rest = "regexp_replace(p, '^#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});?', '')"
-    named = " ".join(
-        f"WHEN startswith(p, '{name}') THEN concat({sql_text(value)}, substr(p, {len(name) + 1}))"
-        for name, value in NAMED.items()
+    """SQL over ``p``, the text after an ampersand: the reference it starts with, decoded.
+
+    A number may have any number of digits; one that is no character gives U+FFFD. In an attribute a
+    name without semicolon counts only if no letter, digit or equals sign follows.
+    """
+    digits = "ltrim('0', regexp_extract(p, '^#([0-9]+)', 1))"
+    hex_digits = "ltrim('0', regexp_extract(p, '^#[xX]([0-9a-fA-F]+)', 1))"
+    is_hex = "p RLIKE '^#[xX][0-9a-fA-F]'"
+    number = (
+        f"CASE WHEN {is_hex} THEN CASE WHEN length({hex_digits}) BETWEEN 1 AND 6 THEN cast(conv({hex_digits}, 16, 10) AS int) END "
+        f"ELSE CASE WHEN length({digits}) BETWEEN 1 AND 7 THEN cast({digits} AS int) END END"
     )
+    # 1114111 is the last character, 55296 to 57343 are halves of pairs
+    char = (
+        f"transform(array({number}), n -> CASE WHEN n IS NULL OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN '\uFFFD' "
+        f"WHEN n BETWEEN 128 AND 159 THEN element_at({sql_list(C1.values())}, n - 127) "
+        "ELSE decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END)[0]"
+    ).replace("element_at((", "element_at(array(")
+    rest = "regexp_replace(p, '^#(?:[xX][0-9a-fA-F]+|[0-9]+);?', '')"
+    closed = "regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;', 0)"
+    loose = "regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*+(?![;=])', 0)"
     return (
-        f"CASE {named} WHEN p RLIKE '^#([0-9]|[xX][0-9a-fA-F])' AND {number} BETWEEN 1 AND 1114111"
-        f" THEN concat({char}, {rest}) ELSE concat('&', p) END"
+        "CASE WHEN p RLIKE '^#([0-9]|[xX][0-9a-fA-F])' THEN concat(" + char + f", {rest}) "
+        f"WHEN {closed} <> '' THEN coalesce(concat({_named_sql(closed, CLOSED)}, substr(p, length({closed}) + 1)), concat('&', p)) "
+        f"WHEN {loose} <> '' THEN coalesce(concat({_named_sql(loose, OPEN)}, substr(p, length({loose}) + 1)), concat('&', p)) "
+        "ELSE concat('&', p) END"
     )
 
 
 def decode_references_sql(text: str) -> str:
-    """SQL: decode numeric references and the common named ones."""
+    """SQL: decode the character references of an attribute value."""
     return (
         f"CASE WHEN contains({text}, '&') THEN array_join(transform(split({text}, '&', -1), "
         f"(p, i) -> CASE WHEN i = 0 THEN p ELSE {_decoded_piece()} END), '') ELSE {text} END"

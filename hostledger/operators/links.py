@@ -63,24 +63,29 @@ def _raw_links(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
 
 
 def extract_links(
-    pages: DataFrame, url: str = "url", html: str = "html", page_id: str = "page_id"
+    pages: DataFrame, url: str = "url", html: str = "html", page_id: str = "page_id", rejected: bool = False
 ) -> DataFrame:
     """One row per followable link with its absolute URL; traps and unusable links are left out.
 
-    ``html`` is read once and never leaves the scan stage; there is no shuffle.
+    ``rejected`` keeps those too and adds ``reject_reason``, null for a link to follow. ``html`` is
+    read once and never leaves the scan stage; there is no shuffle.
     """
     base = stage_parts(pages.select(page_id, url, html), url, "_b_")
     keys = [c for c in base.columns if c != html]
-    raw = _raw_links(base, keys, html).where(
-        ~is_skippable_href("href")
-        & ~has_problem_pattern("href")
-        & ~is_invalid_url("href")
-        & ~has_path_trap("href")
+    raw = _raw_links(base, keys, html)
+    early = (
+        F.when(is_skippable_href("href"), "skippable").when(has_problem_pattern("href"), "problem")
+        .when(is_invalid_url("href"), "invalid").when(has_path_trap("href"), "trap")
     )
+    raw = stage(raw, {"_early": early}) if rejected else raw.where(early.isNull())
     link, page = UrlParts.staged("_h_"), UrlParts.staged("_b_")
     staged = stage_parts(raw, "href", "_h_")
     out = stage(staged, {"link": F.when(can_resolve(link, page), resolve_parts(link, page))})
-    out = out.where(F.col("link").isNotNull() & ~is_invalid_url("link"))
+    late = F.when(F.col("link").isNull(), "unresolved").when(is_invalid_url("link"), "invalid")
+    if rejected:
+        out = out.withColumn("reject_reason", F.coalesce("_early", late))
+    else:
+        out = out.where(late.isNull())
     return drop_parts(drop_parts(out, "_h_"), "_b_").select(
         page_id,
         F.col(url).alias("page_url"),
@@ -92,6 +97,7 @@ def extract_links(
         "attr",
         "href",
         "link",
+        *["reject_reason"] * rejected,
     )
 
 
@@ -115,8 +121,8 @@ def mark_scope(
     host = F.col("_host")
     is_seed = None
     if seed_hosts is not None:
-        known = seed_hosts.select(F.col("host").alias("_seed_host"), F.lit(True).alias("_is_seed"))
-        staged = staged.join(known, F.col("_host") == F.col("_seed_host"), "left")
+        known = seed_hosts.select(F.lower("host").alias("_seed_host"), F.lit(True).alias("_is_seed")).distinct()
+        staged = staged.join(known, F.lower("_host") == F.col("_seed_host"), "left")
         is_seed = F.coalesce(F.col("_is_seed"), F.lit(False))
     inside = in_scope_host(host, is_seed, disallowed_hosts, disallowed_subdomains)
     inside = parts.valid & (host != "") & inside & in_scope_path(parts.plain_path, **path_rules)
