@@ -44,8 +44,16 @@ def parse_asn(text: Column | str) -> Column:
     return F.when(digits.rlike(r"^[+-]?[0-9]+\z"), digits.try_cast("bigint"))
 
 
-def flatten_headers(headers: Column | str) -> Column:
-    """Lists of header values as comma-separated text."""
+def flatten_headers(headers: Column | str, values: str = "array<string>") -> Column:
+    """Header values as text, lists comma-separated. ``values`` is the type of the values, ``string`` or an array.
+
+    JSON headers with both kinds can be read as ``map<string,string>``: a list then is its JSON text.
+    """
+    if values == "string":
+        listed = lambda v: F.from_json(v, "array<string>")
+        return F.transform_values(
+            as_column(headers), lambda k, v: F.when(v.startswith("[") & listed(v).isNotNull(), F.array_join(listed(v), ", ")).otherwise(v)
+        )
     return F.transform_values(as_column(headers), lambda k, v: F.array_join(v, ", "))
 
 

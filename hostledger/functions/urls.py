@@ -251,16 +251,17 @@ def in_scope_host(
     disallowed_hosts: Sequence[str] = (),
     disallowed_subdomains: Sequence[str] = (),
 ) -> Column:
-    """Host rules. ``is_seed`` tells whether the host is a seed host; without it all hosts may pass."""
+    """Host rules, in lower case. ``is_seed`` tells whether the host is a seed host; without it all hosts may pass."""
     host = as_column(host)
     name = F.lower(host)
-    blocked = host.isin(list(disallowed_hosts)) if disallowed_hosts else F.lit(False)
-    for other in disallowed_hosts:
-        blocked = blocked | F.endswith(host, F.lit("." + other))
+    rules = [h.lower() for h in disallowed_hosts]
+    blocked = name.isin(rules) if rules else F.lit(False)
+    for other in rules:
+        blocked = blocked | F.endswith(name, F.lit("." + other))
     if disallowed_subdomains:
         domain = base_domain(name)
         sub = F.substr(name, F.lit(1), F.length(name) - F.length(domain) - 1)
-        blocked = blocked | ((name != domain) & sub.isin(list(disallowed_subdomains)))
+        blocked = blocked | ((name != domain) & sub.isin([d.lower() for d in disallowed_subdomains]))
     allowed = ~blocked
     return allowed if is_seed is None else allowed & is_seed
 

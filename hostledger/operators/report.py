@@ -19,9 +19,18 @@ def _filled(array: str) -> Column:
 
 
 def to_report_view(rows: DataFrame, ts: str = "scan_ts") -> DataFrame:
-    """The columns a report shows; ``technologies`` is an array of names."""
-    has_ips = _filled("ips") if "ips" in rows.columns else F.lit(False)
-    optional = [c for c in ("title", "web_server", "method", "root_target_url", "url_status") if c in rows.columns]
+    """The columns a report shows; ``technologies``, ``ips`` and ``cnames`` are arrays of names.
+
+    Columns that ``rows`` does not have are null, their flags false.
+    """
+    kinds = {
+        "title": "string", "web_server": "string", "method": "string", "root_target_url": "string", "url_status": "string",
+        "ips": "array<string>", "cnames": "array<string>", "asn": "bigint", "asn_org": "string", "duration_s": "double",
+        "headers": "map<string,string>",
+    }
+    for name, kind in kinds.items():
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
     return rows.select(
         "input_url",
         "final_url",
@@ -30,11 +39,13 @@ def to_report_view(rows: DataFrame, ts: str = "scan_ts") -> DataFrame:
         "content_type",
         "technologies",
         "error",
-        *optional,
+        *kinds,
         F.date_format(F.col(ts).cast("timestamp"), "yyyy-MM-dd HH:mm:ss 'UTC'").alias("timestamp"),
         is_success("error", "status_code").alias("is_success"),
         _filled("technologies").alias("has_technologies"),
-        has_ips.alias("has_ips"),
+        _filled("ips").alias("has_ips"),
+        _filled("cnames").alias("has_cnames"),
+        (F.coalesce("asn", F.lit(0)) > 0).alias("has_asn"),
     )
 
 

@@ -60,10 +60,14 @@ def scan_summary(
 ) -> DataFrame:
     """One row per session of ``runs``: probe and diff counters, duration, status and report path.
 
-    ``runs`` has ``start_ts`` and ``end_ts`` and may have ``workflow_error``, ``error_messages`` and
-    ``report_paths``.
+    ``runs`` has ``start_ts`` and ``end_ts`` and may have ``target_source``, ``scan_mode``,
+    ``targets``, ``retries``, ``workflow_error``, ``error_messages`` and ``report_paths``. A workflow
+    error is the last of the messages.
     """
-    optional = {"workflow_error": "string", "error_messages": "array<string>", "report_paths": "array<string>"}
+    optional = {
+        "target_source": "string", "scan_mode": "string", "targets": "array<string>", "retries": "int",
+        "workflow_error": "string", "error_messages": "array<string>", "report_paths": "array<string>",
+    }
     for name, kind in optional.items():
         if name not in runs.columns:
             runs = runs.withColumn(name, F.lit(None).cast(kind))
@@ -71,8 +75,16 @@ def scan_summary(
     zero = F.lit(0).cast("long")
     counters = ["total_probed", "successful_probes", "failed_probes", "discoverable_items", "n_new", "n_old", "n_existing"]
     seconds = F.unix_micros(F.col("end_ts").cast("timestamp")) - F.unix_micros(F.col("start_ts").cast("timestamp"))
+    messages = F.array_compact(
+        F.concat(F.coalesce("error_messages", F.array().cast("array<string>")), F.array("workflow_error"))
+    )
     return joined.select(
         session,
+        "target_source",
+        "scan_mode",
+        F.coalesce(F.greatest(F.size("targets"), F.lit(0)), F.lit(0)).cast("long").alias("total_targets"),
+        F.coalesce("retries", F.lit(0)).cast("int").alias("retries"),
+        F.array_distinct(messages).alias("messages"),
         *[F.coalesce(c, zero).alias(c) for c in counters],
         zero.alias("n_changed"),
         (seconds / F.lit(1e6)).alias("duration_s"),
@@ -82,12 +94,12 @@ def scan_summary(
 
 
 def validate_summary(summaries: DataFrame) -> DataFrame:
-    """Add ``violations``, the list of rules a summary row breaks."""
+    """Add ``violations``, the list of rules a summary row breaks; an absent text column counts as empty."""
     texts = ["scan_session_id", "target_source", "scan_mode", "status"]
     counts = ["total_targets", "total_probed", "successful_probes", "failed_probes", "duration_s"]
-    broken = [
-        F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(f"{c} is required")) for c in texts if c in summaries.columns
-    ] + [F.when(F.col(c) < 0, F.lit(f"{c} cannot be negative")) for c in counts if c in summaries.columns]
+    value = lambda c: F.coalesce(F.col(c), F.lit("")) if c in summaries.columns else F.lit("")
+    broken = [F.when(value(c) == "", F.lit(f"{c} is required")) for c in texts]
+    broken += [F.when(F.col(c) < 0, F.lit(f"{c} cannot be negative")) for c in counts if c in summaries.columns]
     return summaries.withColumn("violations", F.array_compact(F.array(*broken)))
 
 
