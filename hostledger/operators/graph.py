@@ -15,7 +15,8 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, max_depth: int = 5) -> Da
     One join per level. A level is cut to its new URLs before the next starts, and written to the
     shared checkpoint folder, so the plan stays flat and a lost executor repeats one level at most.
     """
-    links = edges.select("child", "parent").where("child is not null and parent is not null")
+    # every level reads all links again: they are computed once
+    links = cut_lineage(edges.select("child", "parent").where("child is not null and parent is not null"))
     seen = cut_lineage(seeds.select("url").distinct().withColumn("depth", F.lit(1)))
     for depth in range(2, max_depth + 1):
         edge = seen.where(F.col("depth") == depth - 1)
@@ -32,13 +33,12 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, max_depth: int = 5) -> Da
     return seen
 
 
-def seed_ancestors(edges: DataFrame, seeds: DataFrame, max_rounds: int = 24) -> DataFrame:
+def seed_ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """For each child below a seed, the nearest seed above it, as (url, root).
 
     Every child has one parent, so the graph is a set of chains. Each round joins the open chains
-    with themselves and doubles the hops covered (24 rounds cover 16 million hops). Chains end at a
-    seed or at a URL without parent; chains in a cycle never end, and the rounds stop as soon as one
-    of them closes no further chain.
+    with themselves and doubles the hops covered. Chains end at a seed or at a URL without parent;
+    chains in a cycle never end, and the rounds stop as soon as one of them closes no further chain.
     """
     seed_urls = seeds.select(F.col("url").alias("_seed")).distinct()
     # a seed keeps no parent: chains must end there
@@ -49,7 +49,7 @@ def seed_ancestors(edges: DataFrame, seeds: DataFrame, max_rounds: int = 24) ->
         "url", "up", F.col("_seed").isNotNull().alias("done")
     )
     state = cut_lineage(marked)
-    for _ in range(max_rounds):
+    while True:
         open_rows = state.where(~F.col("done"))
         step = state.select(F.col("url").alias("up"), F.col("up").alias("_up2"), F.col("done").alias("_done2"))
         jumped = open_rows.join(step, "up", "left").select(

@@ -36,29 +36,23 @@ def dedupe_urls(df: DataFrame, url: str = "norm", pos: str = "pos") -> DataFrame
     return df.groupBy(url).agg(F.min(pos).alias(pos))
 
 
-SALTED_FROM = 100  # URLs per pattern above which a cap takes two steps
-SALTS = 64
-
-
 def cap_per_pattern(
     df: DataFrame, pattern: str = "pattern", order: str | list = "pos", max_similar: int = 1, url: str = "norm"
 ) -> DataFrame:
-    """The first ``max_similar`` rows of each pattern; rows without a pattern all stay.
-
-    A rank filter of this form is cut down to ``max_similar`` rows per pattern and task before the
-    shuffle, so a pattern that owns most rows sends only a few. Where a few are many, parts of a
-    pattern are capped first, each in its own task; the first rows of a pattern are among those.
-    """
+    """The first ``max_similar`` rows of each pattern; rows without a pattern all stay."""
     order = [order] if isinstance(order, str) else order
     key = F.coalesce(F.col(pattern), F.concat(F.lit("\0"), F.col(url)))
-    keyed = df.withColumn("_pattern_key", key)
-    if max_similar > SALTED_FROM:
-        salted = keyed.withColumn("_salt", F.pmod(F.xxhash64(url), F.lit(SALTS)))
-        keyed = _first_rows(salted, ["_pattern_key", "_salt"], order, max_similar).drop("_salt")
-    return _first_rows(keyed, ["_pattern_key"], order, max_similar).drop("_pattern_key")
+    return first_rows(df.withColumn("_pattern_key", key), ["_pattern_key"], order, max_similar).drop("_pattern_key")
+
 
+def first_rows(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each key.
 
-def _first_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    A rank filter of this form is cut down to ``n`` rows per key and task before the shuffle, so a key
+    that owns most rows sends only a few. Spark does so up to a limit, which is lifted to ``n``.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+    conf.set(name, str(max(n, int(conf.get(name)))))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 

@@ -6,12 +6,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table with at least one partition per core.
-
-    A table of few splits would leave most cores idle while pages are parsed, so its rows are dealt
-    out first. That moves at most one split per core; a large table has more splits than cores and is
-    read as it is, without a shuffle.
-    """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    """A Parquet table. ``spark.sql.files.minPartitionNum`` spreads a small one over more tasks."""
+    return spark.read.parquet(path)
