@@ -61,6 +61,33 @@ def diff_sessions(
     return url_diff(current, previous, order)
 
 
+def diff_every_session(
+    probes: DataFrame, order: list[str], session: str = "scan_session_id", only: DataFrame | None = None
+) -> DataFrame:
+    """``url_diff`` of every session against each host's session before, in one job.
+
+    The rows of a session get a status; a vanished row is ``old`` in the session it is missing from.
+    ``only`` (host, session) limits the sessions that are compared. The order of sessions comes from
+    one row per host and session; the probe table is read once for either side of the comparison.
+    """
+    pairs = probes.select("host", F.col(session).alias("_s")).distinct()
+    following = pairs.withColumn("_next", F.lead("_s").over(Window.partitionBy("host").orderBy("_s")))
+    following = following.where(F.col("_next").isNotNull())
+    current = probes
+    if only is not None:
+        wanted = only.select("host", F.col(session).alias("_s")).distinct()
+        following = following.join(wanted.withColumnRenamed("_s", "_next"), ["host", "_next"], "left_semi")
+        current = probes.join(wanted.withColumnRenamed("_s", session), ["host", session], "left_semi")
+    history = probes.join(following.withColumnRenamed("_s", session), ["host", session])
+    before = latest_per_key(history, [*KEYS, "_next"], order).withColumn(session, F.col("_next")).drop("_next")
+    place = [*KEYS, session]
+    known = before.select(*place, F.lit(True).alias("_known"))
+    status = F.when(F.col("_known"), F.lit("existing")).otherwise(F.lit("new"))
+    fresh = current.join(known, place, "left").withColumn("url_status", status).drop("_known")
+    gone = before.join(current.select(*place).distinct(), place, "left_anti").withColumn("url_status", F.lit("old"))
+    return fresh.unionByName(gone)
+
+
 def diff_counts(diff: DataFrame) -> DataFrame:
     """new / old / existing per host, and in total where ``host`` is null."""
     return diff.rollup("host").agg(

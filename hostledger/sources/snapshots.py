@@ -3,49 +3,81 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ..operators.probes import STORAGE_SCHEMA
+from ..session import cut_lineage
 
 CODECS = ("gzip", "snappy", "zstd")
 
 TABLE_SCHEMA = T.StructType(
     [f for f in STORAGE_SCHEMA if f.name != "scan_session_id"]
-    + [T.StructField("host", T.StringType()), T.StructField("scan_session_id", T.StringType())]
+    + [
+        T.StructField("host", T.StringType()),
+        T.StructField("scan_session_id", T.StringType()),
+        T.StructField("host_bucket", T.IntegerType()),
+    ]
 )
+HOST_BUCKETS = 16  # folders of a session; part of the layout of a table
 
 
 def codec_or_default(codec: str | None) -> str:
     return codec if codec in CODECS else "zstd"
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("host"), F.lit(HOST_BUCKETS)).cast("int")
+
+
+def _stored(spark: SparkSession, base: str, skip_broken: bool = False) -> DataFrame | None:
+    """The table at ``base``; None if there is none yet."""
+    reader = spark.read.schema(TABLE_SCHEMA)
+    if skip_broken:
+        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    try:
+        return reader.parquet(base)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def write_snapshot(rows: DataFrame, base: str, codec: str = "zstd") -> None:
-    """Write stored rows with their ``host``; the sessions in ``rows`` replace what they had before.
+    """Write stored rows with their ``host``; what the table holds of the same session and host is replaced.
 
-    There is a folder per session. Within it files cover ranges of host and URL: a folder per host
-    would be millions of tiny files, a range puts small hosts together, cuts a huge host into several
-    files, and lets a reader of one host skip the others by file and row-group statistics.
+    There is a folder per session and bucket of hosts. A write reads back the buckets it touches, in
+    the sessions it touches, keeps the rows of other hosts and rewrites those folders; other hosts can
+    be written one after the other. Files are cut by size, a huge host into several, and sorted, so a
+    reader skips other hosts by statistics. A row without a host or session is an error. One writer
+    at a time.
     """
     if not base:
         raise ValueError("the base path of the snapshots is empty")
-    place = ["scan_session_id", "host", "original_url"]
+    for name in ("host", "scan_session_id"):
+        missing = F.coalesce(F.col(name), F.lit("")) == ""
+        rows = rows.withColumn(name, F.when(missing, F.raise_error(F.lit(f"a snapshot row has no {name}"))).otherwise(F.col(name)))
+    # computed once: the rows to keep are read from the folders that are then rewritten
+    fresh = cut_lineage(rows.select(*[f.name for f in TABLE_SCHEMA if f.name != "host_bucket"]).withColumn("host_bucket", _bucket()))
+    written = fresh
+    stored = _stored(rows.sparkSession, base)
+    if stored is not None:
+        folders = fresh.select("scan_session_id", "host_bucket").distinct()
+        replaced = fresh.select("scan_session_id", "host").distinct()
+        others = stored.join(folders, ["scan_session_id", "host_bucket"], "left_semi")
+        kept = cut_lineage(others.join(replaced, ["scan_session_id", "host"], "left_anti"))
+        written = fresh.unionByName(kept)
     (
-        rows.repartitionByRange(*place)
-        .sortWithinPartitions(*place)
+        written.hint("rebalance", "scan_session_id", "host_bucket")
+        .sortWithinPartitions("scan_session_id", "host_bucket", "host", "original_url")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", codec_or_default(codec))
-        .partitionBy("scan_session_id")
+        .partitionBy("scan_session_id", "host_bucket")
         .parquet(base)
     )
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-
-
 def read_snapshot(
     spark: SparkSession,
     base: str,
@@ -53,32 +85,32 @@ def read_snapshot(
     session: str | None = None,
     limit: int | None = None,
     offset: int = 0,
+    skip_broken: bool = False,
+    total: str | None = None,
 ) -> DataFrame:
-    """Stored rows, of one host or session if given. No table gives no rows; broken files are skipped.
+    """Stored rows, of one host or session if given. No table gives no rows.
 
-    A session is a partition filter, a host a pushed-down filter. A missing root target is filled with the host. Paging
-    orders by session, time and URL.
+    Session and bucket of the host are partition filters, the host is a pushed-down filter. A missing
+    root target is filled with the host. Paging orders by session, time, URLs and a hash of the rest,
+    so rows that tie are equal. ``total`` names a column for the number of rows before paging.
+    Unreadable files are an error unless ``skip_broken`` is set, which leaves their rows out.
     """
     if not base:
         raise ValueError("the base path of the snapshots is empty")
-    table = spark.createDataFrame([], TABLE_SCHEMA)
-    if _path_exists(spark, base):
-        try:
-            table = (
-                spark.read.schema(TABLE_SCHEMA)
-                .option("ignoreCorruptFiles", "true")
-                .option("ignoreMissingFiles", "true")
-                .parquet(base)
-            )
-        except AnalysisException:
-            pass
+    table = _stored(spark, base, skip_broken)
+    if table is None:
+        table = spark.createDataFrame([], TABLE_SCHEMA)
     if host is not None:
-        table = table.where(F.col("host") == host)
+        bucket = F.pmod(F.xxhash64(F.lit(host)), F.lit(HOST_BUCKETS)).cast("int")
+        table = table.where((F.col("host_bucket") == bucket) & (F.col("host") == host))
     if session is not None:
         table = table.where(F.col("scan_session_id") == session)
-    table = table.withColumn("root_target_url", F.coalesce("root_target_url", "host"))
+    table = table.drop("host_bucket").withColumn("root_target_url", F.coalesce("root_target_url", "host"))
+    if total:
+        table = table.join(F.broadcast(table.agg(F.count("*").alias(total))))  # one row
     if limit is not None or offset:
-        table = table.orderBy("scan_session_id", "scan_timestamp", "original_url", "final_url")
+        plain = [f.name for f in table.schema.fields if not isinstance(f.dataType, T.MapType)]
+        table = table.orderBy("scan_session_id", "scan_timestamp", "original_url", "final_url", F.xxhash64(*plain))
         table = table.offset(offset) if offset else table
         table = table.limit(limit) if limit is not None else table
     return table

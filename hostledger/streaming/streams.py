@@ -5,18 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
-from ..operators.diff import (
-    fold_inventory,
-    fold_sessions,
-    previous_snapshot,
-    session_inventory,
-    url_diff,
-)
+from ..operators.diff import diff_every_session, fold_inventory, fold_sessions, session_inventory
 from ..operators.preprocess import with_normalized
 from ..operators.probes import with_diff_keys
+from ..session import cut_lineage
 
 
 def stream_dedupe_urls(urls: DataFrame, ts: str, delay: str = "1 hour", url: str = "url") -> DataFrame:
@@ -89,16 +85,28 @@ def stream_cap_per_pattern(
     )
 
 
-def _write_cycle(df: DataFrame, base: str, cycle: int) -> None:
-    """Write one micro-batch as its own folder; a repeated batch replaces it."""
-    df.write.mode("overwrite").parquet(f"{base}/cycle={cycle}")
+GENERATION = 16  # micro-batches that are kept apart before they are folded into one
+
+
+def _write_part(df: DataFrame, base: str, generation: int, cycle: int) -> None:
+    """Write what one micro-batch adds as its own folder; a repeated batch replaces it."""
+    df.write.mode("overwrite").parquet(f"{base}/generation={generation}/cycle={cycle}")
 
 
 def stream_url_inventory(probes: DataFrame, base: str, checkpoint: str):
-    """Keep the inventory of a probe stream: each micro-batch adds partial rows per URL and session."""
+    """Keep the inventory of a probe stream: each micro-batch adds partial rows per URL and session.
+
+    Every ``GENERATION`` micro-batches what there is becomes one row per URL and session, the start of
+    a new generation; readers look at the last generation alone. All of a generation is written before
+    the first batch of the next is done, so a batch that runs again finds what it found before.
+    """
 
     def merge(batch: DataFrame, cycle: int) -> None:
-        _write_cycle(session_inventory(with_diff_keys(batch)), base, cycle)
+        generation = cycle // GENERATION
+        if generation and cycle % GENERATION == 0:
+            before = batch.sparkSession.read.parquet(f"{base}/generation={generation - 1}")
+            _write_part(fold_sessions(before.drop("cycle")), base, generation, -1)
+        _write_part(session_inventory(with_diff_keys(batch)), base, generation, cycle)
 
     return (
         probes.writeStream.foreachBatch(merge)
@@ -109,26 +117,36 @@ def stream_url_inventory(probes: DataFrame, base: str, checkpoint: str):
 
 
 def read_inventory(spark: SparkSession, base: str) -> DataFrame:
-    return fold_inventory(fold_sessions(spark.read.parquet(base).drop("cycle")))
+    parts = spark.read.parquet(base)
+    # the folded rows are followed by the batch that folded them: a generation counts from that batch on
+    last = parts.where("cycle >= 0").agg(F.max("generation")).first()[0]
+    return fold_inventory(fold_sessions(parts.where(F.col("generation") == last).drop("generation", "cycle")))
 
 
 def stream_snapshots(probes: DataFrame, base: str, checkpoint: str, order: list[str]):
-    """Diff each micro-batch of probe rows with each host's batch before, and store the outcome.
+    """Diff every session of a probe stream with each host's session before, whatever way its rows arrive.
 
-    The table at ``base`` has a folder per micro-batch (``cycle``); its current rows are the history
-    of the batches after it. A batch that runs again after a failure replaces its folder.
+    Rows are stored under ``base``/rows, a folder per micro-batch. The sessions of the hosts in a batch,
+    and the sessions that follow them, are then compared again with all rows stored so far, and take
+    the place of what ``base``/diff held for that host and session. Both steps give the same when a
+    batch runs again.
     """
 
     def run_cycle(batch: DataFrame, cycle: int) -> None:
-        current = with_diff_keys(batch).withColumn("cycle", F.lit(cycle))
-        if cycle == 0:
-            diff = current.withColumn("url_status", F.lit("new"))
-        else:
-            stored = batch.sparkSession.read.parquet(base)
-            history = stored.where((F.col("cycle") < cycle) & (F.col("url_status") != "old")).drop("url_status")
-            both = history.unionByName(current)
-            diff = url_diff(current, previous_snapshot(both, cycle, "cycle"), order)
-        _write_cycle(diff.drop("cycle"), base, cycle)
+        spark = batch.sparkSession
+        keyed = with_diff_keys(batch)
+        keyed.write.mode("overwrite").parquet(f"{base}/rows/cycle={cycle}")
+        schema = T.StructType([*keyed.schema.fields, T.StructField("cycle", T.IntegerType())])
+        rows = spark.read.schema(schema).parquet(f"{base}/rows").where(F.col("cycle") <= cycle).drop("cycle")
+        touched = spark.read.parquet(f"{base}/rows/cycle={cycle}").select("host", "scan_session_id").distinct()
+        # a session that comes before a stored one changes what that one is compared with
+        sessions = rows.select("host", "scan_session_id").distinct()
+        ahead = Window.partitionBy("host").orderBy("scan_session_id")
+        marked = sessions.join(touched.withColumn("_touched", F.lit(True)), ["host", "scan_session_id"], "left")
+        marked = marked.withColumn("_before", F.lag("_touched").over(ahead))
+        wanted = cut_lineage(marked.where("_touched or _before").select("host", "scan_session_id"))
+        diff = diff_every_session(rows, order, only=wanted)
+        diff.withColumn("cycle", F.lit(cycle)).write.mode("overwrite").parquet(f"{base}/diff/at={cycle}")
 
     return (
         probes.writeStream.foreachBatch(run_cycle)
@@ -138,6 +156,13 @@ def stream_snapshots(probes: DataFrame, base: str, checkpoint: str, order: list[
     )
 
 
+def read_snapshots(spark: SparkSession, base: str) -> DataFrame:
+    """The compared rows of every session: of each host and session, those of the last micro-batch that compared it."""
+    diff = spark.read.parquet(f"{base}/diff").drop("at")
+    last = diff.groupBy("host", "scan_session_id").agg(F.max("cycle").alias("cycle"))
+    return diff.join(last, ["host", "scan_session_id", "cycle"], "left_semi").drop("cycle")
+
+
 class ProgressCounters(StreamingQueryListener):
     """Adds up the counters that ``stream_progress`` puts on a stream."""
 

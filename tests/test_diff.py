@@ -145,17 +145,48 @@ def test_snapshot_table(spark, probes):
     one = snapshots.read_snapshot(spark, base, host="b", session="2024-01-02")
     assert [r["root_target_url"] for r in one.collect()] == ["b"]
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(scan_session_id" in plan and "EqualTo(host,b)" in plan
-    page = [r["original_url"] for r in snapshots.read_snapshot(spark, base, limit=2, offset=1).collect()]
-    assert page == ["http://a/2", "http://a/gone"]
+    assert "(scan_session_id" in plan.split("PartitionFilters: [")[1] and "host_bucket" in plan and "EqualTo(host,b)" in plan
+    page = snapshots.read_snapshot(spark, base, limit=2, offset=1, total="n").collect()
+    assert [(r["original_url"], r["n"]) for r in page] == [("http://a/2", 10), ("http://a/gone", 10)]
     broken = spark.createDataFrame([("no parquet at all",)], "v string")
-    broken.coalesce(1).write.text(f"{base}/scan_session_id=2024-01-09")
-    assert snapshots.read_snapshot(spark, base).count() == 10
+    broken.coalesce(1).write.text(f"{base}/scan_session_id=2024-01-09/host_bucket=0")
+    assert snapshots.read_snapshot(spark, base, skip_broken=True).count() == 10
+    with pytest.raises(Exception, match="(?i)parquet"):
+        snapshots.read_snapshot(spark, base).collect()
     with pytest.raises(ValueError):
         snapshots.write_snapshot(stored, "")
     assert snapshots.codec_or_default("lz99") == "zstd" and snapshots.codec_or_default("gzip") == "gzip"
 
 
+def test_hosts_of_a_session_can_be_written_one_by_one(spark, probes):
+    base = scratch_path(spark, "test-by-host")
+    stored = PR.to_storage_row(probes, keep=("host",))
+    hosts = [r[0] for r in stored.select("host").distinct().collect()]
+    for host in [*hosts, hosts[0]]:
+        snapshots.write_snapshot(stored.where(F.col("host") == host), base)
+    columns = ["scan_session_id", "host", "original_url", "scan_timestamp"]
+    got = snapshots.read_snapshot(spark, base).select(*columns)
+    assert got.exceptAll(stored.select(*columns)).isEmpty() and got.count() == 10
+    # what a host no longer has is gone, other hosts stay
+    snapshots.write_snapshot(stored.where("host = 'a' and scan_session_id = '2024-01-03'").limit(1), base)
+    left = snapshots.read_snapshot(spark, base, session="2024-01-03").groupBy("host").count().collect()
+    assert {r["host"]: r["count"] for r in left} == {
+        r["host"]: 1 if r["host"] == "a" else r["count"]
+        for r in stored.where("scan_session_id = '2024-01-03'").groupBy("host").count().collect()
+    }
+    for name in ("host", "scan_session_id"):
+        with pytest.raises(Exception, match=f"has no {name}"):
+            snapshots.write_snapshot(stored.withColumn(name, F.lit("")), base)
+
+
+def test_every_session_is_compared_with_the_one_before(probes):
+    rows = D.diff_every_session(probes, ORDER).collect()
+    for session in sorted({r["scan_session_id"] for r in rows}):
+        own = sorted((r["probe_id"], r["url_status"]) for r in rows if r["scan_session_id"] == session)
+        one = D.diff_sessions(probes, session, ORDER).collect()
+        assert own == sorted((r["probe_id"], r["url_status"]) for r in one)
+
+
 def test_diff_and_store(spark, probes):
     base = scratch_path(spark, "test-diffed")
     raw = probes.drop("host", "url_key")

@@ -57,20 +57,35 @@ ARRIVALS = [
 
 
 def test_snapshots_and_inventory(spark):
-    source, cycles, s1, base, s2 = (scratch_path(spark, n) for n in ("src", "cycles", "s1", "inv", "s2"))
-    for rows in ARRIVALS:
-        stream = feed(spark, source, rows, PROBES)
-        streams.stream_snapshots(stream, cycles, s1, ["scan_ts", "probe_id"]).awaitTermination()
-        streams.stream_url_inventory(stream, base, s2).awaitTermination()
-    got = sorted((r["cycle"], r["probe_id"], r["url_status"]) for r in spark.read.parquet(cycles).collect())
-    assert got == [
-        (0, 1, "new"), (0, 2, "new"), (0, 3, "new"),
-        (1, 1, "old"), (1, 4, "existing"), (1, 5, "new"),
-        (2, 3, "old"), (2, 4, "old"), (2, 6, "new"), (2, 7, "existing"), (2, 8, "existing"),
-    ]
-    everything = with_diff_keys(spark.createDataFrame([r for rows in ARRIVALS for r in rows], PROBES))
-    whole = D.url_inventory(everything)
-    assert whole.exceptAll(streams.read_inventory(spark, base)).isEmpty()
+    """Rows of a session in any order and any number of micro-batches, some twice, give what one batch gives."""
+    everything = [r for rows in ARRIVALS for r in rows]
+    order = ["scan_ts", "probe_id"]
+    whole = with_diff_keys(spark.createDataFrame(everything, PROBES))
+    columns = ["scan_session_id", "host", "url_key", "probe_id", "url_status"]
+    wanted = D.diff_every_session(whole, order).select(*columns)
+    for arrivals in (ARRIVALS, [everything[5:], everything[:2], everything[2:5]], [[r] for r in everything[::-1]]):
+        source, cycles, s1, base, s2 = (scratch_path(spark, n) for n in ("src", "cycles", "s1", "inv", "s2"))
+        for rows in arrivals:
+            stream = feed(spark, source, rows, PROBES)
+            streams.stream_snapshots(stream, cycles, s1, order).awaitTermination()
+            streams.stream_url_inventory(stream, base, s2).awaitTermination()
+        got = streams.read_snapshots(spark, cycles).select(*columns)
+        assert got.exceptAll(wanted).isEmpty() and wanted.exceptAll(got).isEmpty()
+        assert D.url_inventory(whole).exceptAll(streams.read_inventory(spark, base)).isEmpty()
+
+
+def test_inventory_is_folded(spark, monkeypatch):
+    monkeypatch.setattr(streams, "GENERATION", 2)
+    source, base, state = (scratch_path(spark, n) for n in ("src", "inv", "state"))
+    rows = [r for rows in ARRIVALS for r in rows] * 2
+    for one in rows[:7]:
+        streams.stream_url_inventory(feed(spark, source, [one], PROBES), base, state).awaitTermination()
+    parts = spark.read.parquet(base)
+    assert parts.agg({"generation": "max"}).first()[0] == 3
+    assert parts.where("generation = 3").count() <= 2 + len({(r[1], r[5]) for r in rows})
+    whole = D.url_inventory(with_diff_keys(spark.createDataFrame(rows[:7], PROBES)))
+    got = streams.read_inventory(spark, base)
+    assert whole.exceptAll(got).isEmpty() and got.exceptAll(whole).isEmpty()
 
 
 def test_progress(spark):

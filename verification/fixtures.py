@@ -54,6 +54,18 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with links in other tags, quotes and spellings in place of their own, as (page_id, url, html)."""
+    n = F.col("page_id").cast("string")
+    parts = [
+        F.lit("<A data-x='href=\"/no\"' HREF = '/p"), n, F.lit("?a=1&#00000038;b=&eacute;'>x</A><!-- <a href=/no> -->"),
+        F.lit("<link rel=x href=/&#x0000026;a><img src=\"/caf&eacute;\" srcset='/s"), n, F.lit(".png 1x, /t.png 2x'>"),
+        F.lit("<form action='/do?x=1&ampy=2'></form><script>var a='<a href=\"/no\">';</script>"),
+        F.regexp_replace("html", "href=", "title="),
+    ]
+    return pages(spark, sf_dir).select("page_id", "url", F.concat(*parts).alias("html"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A binary tree of page URLs below pages 4 to 7 and their parents, as (child, parent)."""
     p = pages(spark, sf_dir)
@@ -149,7 +161,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(" in src/app/main.go \n\n at "),
             long_url,
             F.when(F.col("event_id") % 9 == 0, F.lit(" Context Canceled\n")).otherwise(F.lit("\n")),
-            F.when(F.col("event_id") % 50 == 0, F.col("text")).otherwise(F.lit("")),
+            F.col("text"),
         ).alias("message"),
     )
 

@@ -99,7 +99,7 @@ MESSAGES = """
     SELECT e.event_id, concat(e.event_type, ' in src/app/main.go ', chr(10), chr(10), ' at ',
       'https://host.example.com/a/', repeat('x', 50), '/y',
       CASE WHEN e.event_id % 9 = 0 THEN concat(' Context Canceled', chr(10)) ELSE chr(10) END,
-      CASE WHEN e.event_id % 50 = 0 THEN d.text ELSE '' END) AS message
+      d.text) AS message
     FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
 """
 
@@ -496,16 +496,28 @@ INVENTORY = f"""
       count(DISTINCT scan_session_id) AS n_sessions FROM ({KEYED}) GROUP BY 1, 2
 """
 CYCLED = f"SELECT *, CAST((CAST(substr(scan_session_id, 9, 2) AS INTEGER) - 1) // 10 AS BIGINT) AS c0 FROM ({KEYED})"
-CYCLES = f"""
-    WITH k AS (SELECT * EXCLUDE c0, least(c0, 2) AS c FROM ({CYCLED})), hc AS (SELECT DISTINCT host, c FROM k),
-    nx AS (SELECT host, c, lag(c) OVER (PARTITION BY host ORDER BY c) AS prev FROM hc)
-    SELECT c AS cycle, url_status, count(*) AS n_rows FROM (
-      SELECT nx.c, CASE WHEN EXISTS (SELECT 1 FROM k o WHERE o.host = k.host AND o.c = nx.prev AND o.url_key = k.url_key)
-        THEN 'existing' ELSE 'new' END AS url_status FROM k JOIN nx ON nx.host = k.host AND nx.c = k.c
-      UNION ALL SELECT c, 'old' FROM (SELECT DISTINCT nx.c, o.host, o.url_key FROM nx
-        JOIN k o ON o.host = nx.host AND o.c = nx.prev
-        WHERE NOT EXISTS (SELECT 1 FROM k n WHERE n.host = nx.host AND n.c = nx.c AND n.url_key = o.url_key)))
-    GROUP BY 1, 2
+EVERY_DIFF = f"""
+    WITH k AS ({KEYED}), hs AS (SELECT DISTINCT host, scan_session_id AS s FROM k),
+    nx AS (SELECT host, s, lag(s) OVER (PARTITION BY host ORDER BY s) AS prev FROM hs),
+    before AS (SELECT nx.s, o.* FROM nx JOIN k o ON o.host = nx.host AND o.scan_session_id = nx.prev)
+    SELECT k.scan_session_id, k.host, k.url_key, k.probe_id,
+      CASE WHEN b.url_key IS NULL THEN 'new' ELSE 'existing' END AS url_status
+    FROM k LEFT JOIN (SELECT DISTINCT s, host, url_key FROM before) b
+      ON b.s = k.scan_session_id AND b.host = k.host AND b.url_key = k.url_key
+    UNION ALL
+    SELECT s, host, url_key, probe_id, 'old' FROM (SELECT * FROM before
+      QUALIFY row_number() OVER (PARTITION BY s, host, url_key ORDER BY scan_ts DESC, probe_id DESC) = 1) b
+    WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.scan_session_id = b.s AND k.host = b.host AND k.url_key = b.url_key)
+"""
+# The links that the rewritten pages of ``extract_links_mixed`` hold, by page.
+MIXED = r"""
+    SELECT page_id, 'a' AS asset_type, 'href' AS attr, concat(h, '/p', page_id, '?a=1&b=é') AS link FROM (
+      SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS h FROM pages)
+    UNION ALL SELECT page_id, 'link', 'href', concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), '/&a') FROM pages
+    UNION ALL SELECT page_id, 'img', 'src', concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), '/caf%C3%A9') FROM pages
+    UNION ALL SELECT page_id, 'img', 'srcset', concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), '/s', page_id, '.png') FROM pages
+    UNION ALL SELECT page_id, 'img', 'srcset', concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), '/t.png') FROM pages
+    UNION ALL SELECT page_id, 'form', 'action', concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), '/do?x=1&ampy=2') FROM pages
 """
 
 
@@ -518,9 +530,14 @@ def oracle_sql() -> dict[str, str]:
             count(*) - (SELECT count(*) FROM ({CLEAN_TARGETS})) AS skipped FROM ({TARGETS})""",
         "read_snapshot": f"""SELECT original_url, host, status_code, host AS root_target_url, scan_timestamp,
             scan_session_id FROM ({STORED}) WHERE scan_session_id = '2024-01-30'""",
-        "read_snapshot_page": f"""SELECT original_url, scan_session_id, scan_timestamp FROM ({STORED})
+        "read_snapshot_page": f"""SELECT original_url, scan_session_id, scan_timestamp, (SELECT count(*) FROM ({STORED})) AS n_total FROM ({STORED})
             ORDER BY scan_session_id, scan_timestamp, original_url, final_url LIMIT 25 OFFSET 50""",
         "write_snapshot": f"SELECT scan_session_id, count(*) AS n_rows FROM ({STORED}) GROUP BY 1",
+        "write_snapshot_by_host": f"SELECT original_url, host, scan_session_id, scan_timestamp FROM ({STORED})",
+        "diff_every_session": EVERY_DIFF,
+        "extract_links_mixed": MIXED,
+        "merged_errors": f"""SELECT substr(day, 1, 9) AS parent_session, d AS batch, i AS item, ['x', 'y'][i + 1] AS message
+            FROM ({SUMMARIES}), (SELECT unnest([0, 1]) AS i) WHERE d % 2 = 0""",
         "write_snapshot_codec": f"SELECT host, count(*) AS n_rows FROM ({STORED}) GROUP BY 1",
         "to_storage_row": f"SELECT * EXCLUDE host FROM ({STORED})",
         "from_storage_row": f"""SELECT input_url, coalesce(final_url, '') AS final_url, coalesce(status_code, 0) AS status_code,
@@ -651,8 +668,14 @@ def oracle_sql() -> dict[str, str]:
         "url_inventory": INVENTORY,
         # report
         "to_report_view": f"""SELECT input_url, final_url, status_code, content_length, content_type,
-            tech_csv AS technologies, error, concat(strftime(scan_ts, '%Y-%m-%d %H:%M:%S'), ' UTC') AS timestamp,
-            {OK_STATUS} AS is_success, tech_csv IS NOT NULL AS has_technologies, false AS has_ips FROM ({PROBES})""",
+            tech_csv AS technologies, error, NULL AS title, NULL AS web_server, NULL AS method, NULL AS root_target_url,
+            NULL AS url_status, ips, cnames, asn, asn_org, duration_s, server, concat(strftime(scan_ts, '%Y-%m-%d %H:%M:%S'), ' UTC') AS timestamp,
+            {OK_STATUS} AS is_success, tech_csv IS NOT NULL AS has_technologies, ips IS NOT NULL AS has_ips,
+            cnames IS NOT NULL AS has_cnames, coalesce(asn, 0) > 0 AS has_asn FROM (SELECT *,
+              CASE WHEN probe_id % 2 = 0 THEN concat('10.0.0.', probe_id % 255) END AS ips,
+              CASE WHEN probe_id % 5 = 0 THEN 'c.example,d.example' END AS cnames, CASE WHEN probe_id % 3 = 0 THEN probe_id END AS asn,
+              CASE WHEN probe_id % 3 = 0 THEN 'net' END AS asn_org, probe_id / 1000.0 AS duration_s,
+              concat('s', probe_id % 3) AS server FROM ({PROBES}))""",
         "facets": facets(DIFF, "url_status"),
         "facets_all_sessions": facets(KEYED, "NULL"),
         "dashboard_stats": f"""
@@ -672,7 +695,10 @@ def oracle_sql() -> dict[str, str]:
         "probe_stats": f"""SELECT scan_session_id, count(*) AS total_probed, count(*) FILTER ({OK_STATUS}) AS successful_probes,
             count(*) FILTER (NOT {OK_STATUS}) AS failed_probes, count(*) AS discoverable_items FROM ({PROBES}) GROUP BY 1""",
         "scan_summary": f"""
-            SELECT p.scan_session_id, total_probed, good AS successful_probes, total_probed - good AS failed_probes,
+            SELECT p.scan_session_id, 'file' AS target_source, 'auto' AS scan_mode, CAST(2 AS BIGINT) AS total_targets, 1 AS retries,
+              concat_ws('; ', CASE substr(h.scan_session_id, 10, 1) WHEN '0' THEN 'Operation interrupted' WHEN '1' THEN 'slow' END,
+                CASE WHEN h.status = 'FAILED' THEN 'run failed' END) AS messages,
+              total_probed, good AS successful_probes, total_probed - good AS failed_probes,
               total_probed AS discoverable_items, n_new, n_old, n_existing, CAST(0 AS BIGINT) AS n_changed,
               (epoch_us(h.end_ts) - epoch_us(h.start_ts)) / 1e6 AS duration_s,
               CASE WHEN h.status = 'FAILED' AND substr(h.scan_session_id, 10, 1) = '0' THEN 'INTERRUPTED'
@@ -745,7 +771,7 @@ def oracle_sql() -> dict[str, str]:
                 'preprocess', 'pos, norm')})
             QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY pos) <= 2""",
         "stream_url_inventory": INVENTORY,
-        "stream_snapshots": CYCLES,
+        "stream_snapshots": EVERY_DIFF,
         "stream_progress": f"""SELECT count(*) AS n_written, count(*) AS n_processed, count(error) AS n_errors
             FROM ({PROBES})""",
         # whole job

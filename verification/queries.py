@@ -95,8 +95,18 @@ def read_snapshot(spark, sf):
 
 
 def read_snapshot_page(spark, sf):
-    table = snapshots.read_snapshot(spark, _snapshot_table(spark, sf), limit=25, offset=50)
-    return table.select("original_url", "scan_session_id", "scan_timestamp")
+    table = snapshots.read_snapshot(spark, _snapshot_table(spark, sf), limit=25, offset=50, total="n_total")
+    return table.select("original_url", "scan_session_id", "scan_timestamp", "n_total")
+
+
+def write_snapshot_by_host(spark, sf):
+    """Every session written in two halves of its hosts, one half twice; all rows are there once."""
+    base = scratch_path(spark, "snapshots")
+    rows = cut_lineage(stored_rows(spark, sf))
+    half = F.pmod(F.xxhash64("host"), F.lit(2))
+    for part in (0, 1, 0):
+        snapshots.write_snapshot(rows.where(half == part), base)
+    return snapshots.read_snapshot(spark, base).select("original_url", "host", "scan_session_id", "scan_timestamp")
 
 
 def write_snapshot(spark, sf):
@@ -287,6 +297,11 @@ def extract_links(spark, sf):
     return L.extract_links(fx.pages(spark, sf)).select("page_id", "asset_type", "attr", "href", "link")
 
 
+def extract_links_mixed(spark, sf):
+    """Links in several tags, quotes and character references."""
+    return L.extract_links(fx.mixed_pages(spark, sf)).select("page_id", "asset_type", "attr", "link")
+
+
 def asset_inventory(spark, sf):
     links = L.mark_scope(L.extract_links(fx.pages(spark, sf)), **SEED_SCOPE)
     return L.asset_inventory(links)
@@ -364,6 +379,11 @@ def diff_counts_by_session(spark, sf):
     return D.diff_counts_by_session(_keyed(spark, sf))
 
 
+def diff_every_session(spark, sf):
+    rows = D.diff_every_session(_keyed(spark, sf), fx.ORDER)
+    return rows.select("scan_session_id", "host", "url_key", "probe_id", "url_status")
+
+
 def apply_status(spark, sf):
     probes = _keyed(spark, sf).where(F.col("scan_session_id") == fx.CURRENT_SESSION)
     return D.apply_status(probes, _diff(spark, sf)).select("probe_id", "url_status")
@@ -393,7 +413,20 @@ def url_inventory(spark, sf):
 
 
 def to_report_view(spark, sf):
-    return _plain(R.to_report_view(fx.probes(spark, sf)))
+    i = F.col("probe_id")
+    third = i % 3 == 0
+    probes = fx.probes(spark, sf).withColumns(
+        {
+            "ips": F.when(i % 2 == 0, F.array(F.concat(F.lit("10.0.0."), (i % 255).cast("string")))),
+            "cnames": F.when(i % 5 == 0, F.array(F.lit("c.example"), F.lit("d.example"))),
+            "asn": F.when(third, i),
+            "asn_org": F.when(third, "net"),
+            "duration_s": i / 1000.0,
+            "headers": F.from_json("headers_json", T.MapType(T.StringType(), T.StringType())),
+        }
+    )
+    view = R.to_report_view(probes).withColumn("server", F.col("headers")["Server"]).drop("headers")
+    return _plain(view)
 
 
 def facets(spark, sf):
@@ -443,9 +476,12 @@ def scan_summary(spark, sf):
         F.when(F.substr("scan_session_id", F.lit(10), F.lit(1)) == "0", F.array(F.lit("Operation interrupted")))
         .when(F.substr("scan_session_id", F.lit(10), F.lit(1)) == "1", F.array(F.lit("slow")))
         .alias("error_messages"),
+        F.lit("file").alias("target_source"), F.lit("auto").alias("scan_mode"), F.lit(1).alias("retries"),
+        F.array(F.lit("https://a.example"), F.lit("https://b.example")).alias("targets"),
     )
     keyed = _keyed(spark, sf)
-    return S.scan_summary(keyed, D.diff_counts_by_session(keyed), runs)
+    found = S.scan_summary(keyed, D.diff_counts_by_session(keyed), runs)
+    return found.withColumn("messages", F.array_join("messages", "; "))
 
 
 def _summaries(spark, sf):
@@ -478,17 +514,25 @@ def batching_stats(spark, sf):
 
 
 def merge_summaries(spark, sf):
+    return S.merge_summaries(_batches(spark, sf))
+
+
+def _batches(spark, sf):
     """The daily summaries as batches of one run per ten days."""
     day = F.substr("day", F.lit(9), F.lit(2)).cast("int")
-    batches = _summaries(spark, sf).select(
+    return _summaries(spark, sf).select(
         F.substr("day", F.lit(1), F.lit(9)).alias("parent_session"),
+        day.alias("batch"),
         "total_probed", "successful_probes", "failed_probes", "duration_s",
         (day % 10 < 5).alias("processed"),
         ((day >= 10) & (day < 20)).alias("interrupted"),
         F.when(day == 25, "boom").alias("error"),
         F.when(day % 2 == 0, F.array(F.lit("x"), F.lit("y"))).alias("error_messages"),
     )
-    return S.merge_summaries(batches)
+
+
+def merged_errors(spark, sf):
+    return S.merged_errors(_batches(spark, sf))
 
 
 def top_errors(spark, sf):
@@ -570,34 +614,27 @@ def stream_cap_per_pattern(spark, sf):
 
 
 def _arrivals(spark, sf):
-    """The probe table as three arrivals of ten days each."""
+    """The probe table as three arrivals, each with a part of every session, in several files."""
     source = scratch_path(spark, "arrivals")
     probes = cut_lineage(fx.probes(spark, sf))
-    for first, last in (("01", "10"), ("11", "20"), ("21", "31")):
-        part = probes.where(F.substr("scan_session_id", F.lit(9), F.lit(2)).between(first, last))
-        yield source, part.coalesce(1), probes.schema
+    for part in range(3):
+        probes.where(F.pmod(F.xxhash64("probe_id"), F.lit(3)) == part).repartition(3).write.mode("append").parquet(source)
+        yield spark.readStream.schema(probes.schema).parquet(source)
 
 
 def stream_url_inventory(spark, sf):
     base, state = scratch_path(spark, "inventory"), scratch_path(spark, "inventory-state")
-    for source, part, schema in _arrivals(spark, sf):
-        part.write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).parquet(source)
+    for stream in _arrivals(spark, sf):
         streams.stream_url_inventory(stream, base, state).awaitTermination()
     return streams.read_inventory(spark, base)
 
 
 def stream_snapshots(spark, sf):
     base, state = scratch_path(spark, "cycles"), scratch_path(spark, "cycles-state")
-    for source, part, schema in _arrivals(spark, sf):
-        part.write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).parquet(source)
+    for stream in _arrivals(spark, sf):
         streams.stream_snapshots(stream, base, state, fx.ORDER).awaitTermination()
-    return (
-        spark.read.parquet(base)
-        .groupBy(F.col("cycle").cast("long").alias("cycle"), "url_status")
-        .agg(F.count("*").alias("n_rows"))
-    )
+    rows = streams.read_snapshots(spark, base)
+    return rows.select("scan_session_id", "host", "url_key", "probe_id", "url_status")
 
 
 def stream_progress(spark, sf):
@@ -672,6 +709,7 @@ def queries() -> dict[str, Query]:
     for run in (
         preprocess_urls, preprocess_urls_k2, dedupe_urls, cap_per_pattern, preprocess_stats, pattern_stats,
         read_targets, target_report, read_snapshot, read_snapshot_page, write_snapshot, write_snapshot_codec,
+        write_snapshot_by_host, extract_links_mixed, diff_every_session, merged_errors,
         to_storage_row, from_storage_row, scan_history_append, last_completed_scan, export_rows, report_parts,
         resolve_url, base_domain, url_key, parse_srcset, in_scope_host, in_scope, seed_hosts, parse_duration_s,
         parse_asn, flatten_headers, error_digest, is_cancellation,
