@@ -23,6 +23,43 @@ SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(f
 FROM embeddings e LEFT JOIN first f USING (vec_id) LEFT JOIN degree d USING (vec_id)
 """
 
+# Rules, then the share of good pages shrunk from host to domain to suffix to all, normal upper bound.
+OP5 = r"""
+WITH split AS (
+    SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+      coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+    FROM pages
+), rules(target, rule_host, rule_path, verdict) AS (VALUES
+    ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+    ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')
+), ruled AS (
+    SELECT s.*, r.target AS rule, r.verdict AS ruled FROM split s LEFT JOIN rules r
+      ON (s.host = r.rule_host OR ends_with(s.host, '.' || r.rule_host)) AND starts_with(s.path, r.rule_path)
+    QUALIFY row_number() OVER (PARTITION BY page_id, s.host, s.path ORDER BY length(r.target) DESC NULLS LAST) = 1
+), hosts AS (
+    SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
+      count(ruled) AS n, count(*) FILTER (ruled = 'allow') AS good FROM ruled GROUP BY ALL
+), domains AS (SELECT domain, suffix, sum(n)::DOUBLE AS n, sum(good)::DOUBLE AS good FROM hosts GROUP BY ALL
+), suffixes AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(good)::DOUBLE AS good FROM domains GROUP BY ALL
+), moments AS (
+    SELECT level, count(*) AS g, sum(n) AS a, sum(n * n) AS n2, sum(good) / sum(n) AS p, sum(good * good / n) AS q FROM (
+      SELECT 'host' AS level, n, good FROM hosts UNION ALL SELECT 'domain', n, good FROM domains UNION ALL SELECT 'suffix', n, good FROM suffixes)
+    WHERE n > 0 GROUP BY level
+), strength AS (
+    SELECT level, p, CASE WHEN p > 0 AND p < 1 AND g > 1 AND a - n2 / a - (g - 1) > 1e-9 THEN
+      1 / least(0.999, greatest(0.001, ((q - a * p * p) / (p * (1 - p)) - (g - 1)) / (a - n2 / a - (g - 1)))) - 1 ELSE 10 END AS s
+    FROM moments
+), s AS (
+    SELECT coalesce(max(p), 0.5) AS p, coalesce(max(s) FILTER (level = 'suffix'), 10) AS s1,
+      coalesce(max(s) FILTER (level = 'domain'), 10) AS s2, coalesce(max(s) FILTER (level = 'host'), 10) AS s3 FROM strength
+), m1 AS (SELECT suffix, (s1 * p + good) / (s1 + n) AS m FROM suffixes, s
+), m2 AS (SELECT domain, suffix, (s2 * m + good) / (s2 + n) AS m FROM domains JOIN m1 USING (suffix), s
+), m3 AS (SELECT host, n, s3, (s3 * m + good) / (s3 + n) AS m FROM hosts JOIN m2 USING (domain, suffix), s)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN m + 1.645 * sqrt(m * (1 - m) / (s3 + n + 1)) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled JOIN m3 USING (host)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_embedding_duplicates": OP9}
+    return {"op5_url_filter": OP5, "op9_embedding_duplicates": OP9}
