@@ -1,15 +1,24 @@
-"""Arrow batches in portions that bound what a task holds as Python objects."""
+"""Arrow batches small enough to bound what a task holds."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 ROWS = 256
+SENT = 1000
 
 
 def portions(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, for what is held as Python objects at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def send_small_batches(spark: SparkSession) -> None:
+    """From now on the session sends whole texts to Python in batches of at most ``SENT`` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, str(min(SENT, int(spark.conf.get(name)))))

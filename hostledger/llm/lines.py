@@ -7,8 +7,9 @@ differ in that word only, and the earliest of a key is all the others need to kn
 paired up within a key.
 
 Most lines have no near partner, and their variants need not be written: a near pair agrees on its
-first or on its last half. Halves that two different lines share are put into a bitmap of fixed size,
-and only lines with such a half emit variants. The bitmap lets some more lines pass, never fewer.
+first or on its last half. Halves that different lines share are put into a bitmap of fixed size, and
+a line emits only the variants without a word outside a half it shares. The bitmap lets some more
+variants pass, never fewer.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, StringType
 
+from ..operators.numbering import number_rows
 from ..session import cut_lineage
+from .batches import portions, send_small_batches
 
 MIN_WORDS = 5  # one word of five: a similarity of 0.8 or more
 BITMAP = 1 << 26  # bits
@@ -30,17 +33,13 @@ BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def words_of(line: Column) -> Column:
-    return F.split(F.btrim(F.lower(line), F.lit(" \t\r\x0b\x0c")), r"[\x20\x09-\x0D]+")
-
-
-def half_keys(words: Column) -> Column:
-    """Hashes of the first and last halves that a line one word away shares, as an array."""
-    n = F.size(words)
-    h, more = F.floor(n / 2).cast("int"), F.floor((n + 1) / 2).cast("int")
-    first = lambda k: F.xxhash64(F.lit(0), k, F.slice(words, 1, k))
-    last = lambda k: F.xxhash64(F.lit(1), k, F.slice(words, n - k + 1, k))
-    return F.when(h == more, F.array(first(h), last(h))).otherwise(F.array(first(h), last(h), first(more), last(more)))
+def halves_of(words: list[str]) -> list[int]:
+    """Hashes of the halves that a line one word away shares: first and last, for either rounding of the half."""
+    n, out = len(words), []
+    for k in {n // 2, (n + 1) // 2}:
+        for side, part in (("f", words[:k]), ("l", words[n - k :])):
+            out.append(xxhash.xxh64_intdigest(" ".join(part), k) & ~1 | (side == "l"))
+    return out
 
 
 def order_of() -> Column:
@@ -48,11 +47,44 @@ def order_of() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")
 
 
-def split_lines(documents: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, line (from 0), words and two hashes of every line of ``min_words`` words or more."""
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "value"))
-    worded = lines.select("doc_id", "line", words_of(F.col("value")).alias("words")).where(F.size("words") >= min_words)
-    return worded.withColumns({"h": F.xxhash64("words"), "g": F.xxhash64(F.lit(7), "words")})
+def worded_lines(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[int, int, list[str]]]:
+    """Row, number and words of each line of ``min_words`` words or more."""
+    for row, text in enumerate(batch.column("text")):
+        for number, line in enumerate((text.as_py() or "").lower().split("\n")):
+            words = line.split()
+            if len(words) >= min_words:
+                yield row, number, words
+
+
+def signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+
+
+def hashed_lines(documents: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, line (from 0), two hashes h and g and the halves of every line of ``min_words`` words or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            rows, numbers, h, g, flat, ends = [], [], [], [], [], [0]
+            for row, number, words in worded_lines(batch, min_words):
+                whole = xxhash.xxh3_128_intdigest(" ".join(words))
+                rows.append(row)
+                numbers.append(number)
+                h.append(whole & 0xFFFFFFFFFFFFFFFF)
+                g.append(whole >> 64)
+                flat += halves_of(words)
+                ends.append(len(flat))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), signed(h), signed(g),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(flat)),
+                ],
+                ["doc_id", "line", "h", "g", "halves"],
+            )
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, line int, h long, g long, halves array<long>"
+    return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def contested_halves(lines: DataFrame) -> DataFrame:
@@ -81,30 +113,74 @@ def bitmap_of(keys: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def candidates(documents: DataFrame, bitmap: np.ndarray, min_words: int) -> DataFrame:
-    """Distinct lines that may have a near partner: id (both hashes), place of the earliest, words."""
-    sent = documents.sparkSession.sparkContext.broadcast(bitmap)
+def in_bitmap(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(keys), dtype=bool)
+    for place in bits_of(keys, len(table) * 32):
+        hit &= (table[place >> 5] >> (place & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+    return hit
+
 
-    @F.pandas_udf("boolean")
-    def contested(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = sent.value
-        for part in parts:
-            counts = part.map(len).to_numpy()
-            flat = np.concatenate([*part, np.empty(0, np.int64)]).astype(np.int64)
-            hit = np.ones(len(flat), dtype=bool)
-            for place in bits_of(flat, len(table) * 32):
-                hit &= (table[place >> 5] >> (place & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
-            ends = np.cumsum(counts)
-            total = np.concatenate([[0], np.cumsum(hit)])
-            yield pd.Series(total[ends] > total[ends - counts])
+def candidate_hashes(lines: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The hash h of every line that has one of its halves in the bitmap, as ``key``."""
+    sent = lines.sparkSession.sparkContext.broadcast(bitmap)
 
-    lines = split_lines(documents, min_words).withColumn("near", contested(half_keys(F.col("words"))))
-    kept = lines.where("near").withColumn("at", order_of())
-    return kept.groupBy("h", "g").agg(F.min("at").alias("at"), F.first("words").alias("words"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            halves = batch.column("halves")
+            total = np.concatenate([[0], np.cumsum(in_bitmap(np.asarray(halves.flatten()), sent.value))])
+            ends = np.concatenate([[0], np.cumsum(np.asarray(halves.value_lengths()))])
+            hit = total[ends[1:]] > total[ends[:-1]]
+            yield pa.RecordBatch.from_arrays([batch.column("h").filter(pa.array(hit))], ["key"])
+
+    return lines.select("h", "halves").mapInArrow(run, "key long").distinct()
+
+
+def candidates(documents: DataFrame, hashes: np.ndarray, bitmap: np.ndarray, min_words: int) -> DataFrame:
+    """Distinct lines with a half that others share: doc_id, line, id (in the order of lines), words, first, last.
+
+    ``hashes`` is a bitmap of their hashes, ``bitmap`` one of the halves; first and last say which half
+    is shared.
+    """
+    sent = documents.sparkSession.sparkContext.broadcast((hashes, bitmap))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, shared = sent.value
+        for batch in portions(batches):
+            found, hashed = [], []
+            for row, number, words in worded_lines(batch, min_words):
+                found.append((row, number, words))
+                hashed.append(xxhash.xxh3_128_intdigest(" ".join(words)) & 0xFFFFFFFFFFFFFFFF)
+            hit = np.flatnonzero(in_bitmap(np.array(hashed, dtype=np.uint64).view(np.int64), known))
+            rows, numbers, texts, sides = [], [], [], ([], [])
+            for i in hit:
+                row, number, words = found[i]
+                keys = np.array(halves_of(words), dtype=np.uint64)
+                contested = keys[in_bitmap(keys.view(np.int64), shared)] & np.uint64(1)
+                if len(contested):
+                    rows.append(row)
+                    numbers.append(number)
+                    texts.append(" ".join(words))
+                    for side in (0, 1):
+                        sides[side].append(bool((contested == side).any()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(texts, pa.string()),
+                    pa.array(sides[0], pa.bool_()), pa.array(sides[1], pa.bool_()),
+                ],
+                ["doc_id", "line", "words", "first", "last"],
+            )
+
+    lines = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, words string, first boolean, last boolean")
+    distinct = lines.groupBy("words").agg(
+        F.min(order_of()).alias("at"), F.bool_or("first").alias("first"), F.bool_or("last").alias("last")
+    )
+    distinct = distinct.select("at.none", "at.doc_id", "at.line", "words", "first", "last")
+    return cut_lineage(number_rows(distinct, ["none", "doc_id", "line", "words"], "id"))
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 5) for w in words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def variant_hashes(values: np.ndarray) -> tuple[int, np.ndarray]:
@@ -117,24 +193,36 @@ def variant_hashes(values: np.ndarray) -> tuple[int, np.ndarray]:
     return ahead[-1], ahead[:-1] + (ahead[-1] - ahead[1:]) * np.uint64(INVERSE)
 
 
-def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, length and place of the missing word (-1: none missing) for every line of h, g, at, words."""
-    for batch in batches:
-        rows, keys, lengths, places = [], [], [], []
-        for i, words in enumerate(batch.column("words")):
-            values = word_hashes(words.as_py())
-            whole, without = variant_hashes(values)
-            rows.append(np.full(len(values) + 1, i))
-            keys += [np.array([whole], dtype=np.uint64), without]
-            lengths.append(np.array([len(values)] + [len(values) - 1] * len(values)))
-            places.append(np.arange(-1, len(values)))
-        join = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts]).astype(kind)
-        who = pa.array(join(rows, np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(c).take(who) for c in ("h", "g", "at")]
-            + [pa.array(join(keys, np.uint64).view(np.int64)), pa.array(join(lengths, np.int64)), pa.array(join(places, np.int64))],
-            ["h", "g", "at", "key", "length", "place"],
-        )
+def variants(lines: DataFrame) -> DataFrame:
+    """key, place of the missing word (-1: none) and id of the lines (id, words, first, last) and their variants.
+
+    Words of a half that is shared are not left out, unless both halves are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            ids, keys, places = [], [], []
+            for row, text in enumerate(batch.column("words")):
+                values = word_hashes(text.as_py().split(" "))
+                n = len(values)
+                first, last = batch.column("first")[row].as_py(), batch.column("last")[row].as_py()
+                start, stop = (0 if last else n // 2), (n if first else (n + 1) // 2)
+                whole, without = variant_hashes(values)
+                at = np.arange(start, stop)
+                ids.append(np.full(len(at) + 1, batch.column("id")[row].as_py()))
+                # the length takes part in the key
+                keys += [mixed(np.array([whole], dtype=np.uint64), n), mixed(without[start:stop], n - 1)]
+                places += [np.array([-1]), at]
+            join = lambda parts, kind: pa.array(np.concatenate([np.empty(0, kind), *parts]).astype(kind))
+            yield pa.RecordBatch.from_pydict(
+                {"key": join([k.view(np.int64) for k in keys], np.int64), "place": join(places, np.int32), "id": join(ids, np.int64)}
+            )
+
+    return lines.select("id", "words", "first", "last").mapInArrow(run, "key long, place int, id long")
+
+
+def mixed(values: np.ndarray, length: int) -> np.ndarray:
+    return values ^ np.uint64((length * BASE) & 0xFFFFFFFFFFFFFFFF)
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -151,44 +239,43 @@ def within_one(a: list[str], b: list[str]) -> bool:
 
 @F.udf(BooleanType())
 def verified(a, b):
-    return within_one(a, b)
+    return within_one(a.split(" "), b.split(" "))
 
 
-def near_repeats(lines: DataFrame) -> DataFrame:
-    """doc_id, line of each of ``lines`` (distinct, h, g, at, words) that has an earlier near line."""
-    schema = lines.select("h", "g", "at").schema.add("key", "long").add("length", "long").add("place", "long")
-    found = cut_lineage(lines.mapInArrow(variants, schema))
-    missing, whole = found.where("place >= 0"), found.where("place < 0").drop("place")
+def near_repeats(lines: DataFrame, bitmap: int) -> DataFrame:
+    """doc_id, line of each of the candidate ``lines`` that has an earlier near line."""
+    found = variants(lines)
+    missing, whole = found.where("place >= 0"), found.where("place < 0").select("key", F.col("id").alias("shorter"))
     # one word changed: equal variants with the same word missing
-    earliest = missing.groupBy("key", "length", "place").agg(F.min(F.struct("at", "h", "g")).alias("first"), F.count("*").alias("n"))
-    changed = missing.join(earliest.where("n > 1"), ["key", "length", "place"]).where(F.col("at") > F.col("first.at"))
-    changed = changed.select("h", "g", "at", F.col("first.h").alias("h2"), F.col("first.g").alias("g2"), F.col("first.at").alias("at2"))
-    # one word added or removed: a variant that equals a whole line; first the earliest of the longer lines
-    shorter = whole.select("key", "length", F.col("h").alias("hs"), F.col("g").alias("gs"), F.col("at").alias("ats"))
-    longer = missing.groupBy("key", "length", "h", "g", "at").agg(F.lit(1)).join(shorter, ["key", "length"])
-    added = longer.where("at > ats").select("h", "g", "at", F.col("hs").alias("h2"), F.col("gs").alias("g2"), F.col("ats").alias("at2"))
-    removed = longer.where("at < ats").groupBy("hs", "gs", "ats").agg(F.min(F.struct("at", "h", "g")).alias("first"))
-    removed = removed.select(
-        F.col("hs").alias("h"), F.col("gs").alias("g"), F.col("ats").alias("at"),
-        F.col("first.h").alias("h2"), F.col("first.g").alias("g2"), F.col("first.at").alias("at2"),
-    )
-    pairs = changed.unionByName(added).unionByName(removed).groupBy("h", "g", "at").agg(F.min(F.struct("at2", "h2", "g2")).alias("first"))
-    pairs = pairs.select("h", "g", "at", F.col("first.h2").alias("h2"), F.col("first.g2").alias("g2"))
-    other = lines.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("words").alias("words2"))
-    both = pairs.join(lines.select("h", "g", "words"), ["h", "g"]).join(other, ["h2", "g2"])
-    return both.where(verified("words", "words2")).select(F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"))
+    earliest = missing.groupBy("key", "place").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    changed = missing.join(earliest, ["key", "place"]).where("id > first").select("id", "first")
+    # one word added or removed: a variant that equals a whole line; most variants equal none
+    sent = lines.sparkSession.sparkContext.broadcast(bitmap_of(whole.select("key"), bitmap))
+
+    def equal_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(np.asarray(batch.column("key")), sent.value)))
+
+    longer = missing.select("key", "id").mapInArrow(equal_some, "key long, id long").join(whole, "key")
+    pair = F.greatest("id", "shorter").alias("id"), F.least("id", "shorter").alias("first")
+    pairs = changed.unionAll(longer.select(*pair)).groupBy("id").agg(F.min("first").alias("first"))
+    own = lines.select("id", order_of().alias("at"), "words")
+    other = own.select(F.col("id").alias("first"), F.col("at").alias("at2"), F.col("words").alias("words2"))
+    both = pairs.join(own, "id").join(other, "first").where("at > at2")
+    return both.where(verified("words", "words2")).select("at.doc_id", "at.line")
 
 
 def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, bitmap: int = BITMAP) -> DataFrame:
     """doc_id and the sorted numbers ``dropped`` of its lines that repeat an earlier line or are near one."""
-    lines = split_lines(documents, min_words).select("doc_id", "line", "h", "g", half_keys(F.col("words")).alias("halves"))
-    lines = cut_lineage(lines)
+    lines = cut_lineage(hashed_lines(documents, min_words))
     same = lines.groupBy("h", "g").agg(F.min(order_of()).alias("first"), F.count("*").alias("n")).where("n > 1")
-    exact = lines.join(same, ["h", "g"]).where(order_of() > F.col("first")).select("doc_id", "line")
+    # the smaller side is hashed, so neither lines nor texts are sorted
+    exact = lines.select("doc_id", "line", "h", "g").join(same.hint("shuffle_hash"), ["h", "g"]).where(order_of() > F.col("first"))
     table = bitmap_of(contested_halves(lines), bitmap)
-    near = near_repeats(cut_lineage(candidates(documents, table, min_words)))
-    dropped = exact.unionByName(near).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
-    return dropped  # as many numbers for a document as it has lines, at most
+    hashes = bitmap_of(candidate_hashes(lines, table), bitmap)
+    near = near_repeats(candidates(documents, hashes, table, min_words), bitmap)
+    dropped = cut_lineage(exact.select("doc_id", "line").unionByName(near))
+    return dropped.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped"))  # no more than it has lines
 
 
 @F.pandas_udf(StringType())
@@ -216,9 +303,10 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, bitmap: int =
     """
     kept = [c for c in documents.columns if c not in ("n_lines", "n_dropped", "dropped")]
     documents = documents.select(*kept)
+    send_small_batches(documents.sparkSession)
     drops = repeated_lines(documents.select("doc_id", "text"), min_words, bitmap)
     drops = drops.select(F.col("doc_id").alias("_id"), "dropped")
-    joined = documents.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    joined = documents.join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
     lines = F.when(F.col("text").isNull(), 0).otherwise(lines)
     own = F.filter(F.col("dropped"), lambda i: i < lines)
