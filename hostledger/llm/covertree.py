@@ -21,6 +21,7 @@ from .components import connected_components, local_roots
 from .vectors import matrix, usable
 
 BLOCK = 2048  # vectors of a leaf of the tables
+CHUNK = 1024  # members of a node that are assigned together
 CENTRES = 64  # most centres that split a node at once; more only means more pairs of blocks
 MARGIN = 1e-9  # of the bounds; what is that close is compared itself
 MOST_LEVELS = 24
@@ -205,30 +206,33 @@ def split_nodes(members: DataFrame, big: DataFrame, level: int, block: int) -> t
         return pa.table({"node": table.column("node")[:1], "centres": pa.array([found.tolist()], pa.list_(pa.list_(pa.float64())))})
 
     nets = cut_lineage(sample.groupBy("node").applyInArrow(centres, "node long, centres array<array<double>>"))
-    many = F.ceil(2 * F.col("count") / block)
-    dealt = own.join(nets, "node", "left").withColumn("spread", F.pmod(F.xxhash64("cid", F.lit(-level)), many))
+    # members travel in chunks, so the centres of a node are sent once for each chunk
+    chunks = F.ceil(F.col("count") / CHUNK)
+    packed = own.withColumn("chunk", F.pmod(F.xxhash64("cid"), chunks)).groupBy("node", "dim", "chunk").agg(
+        F.collect_list(F.struct("cid", "n", "embedding")).alias("rows"),  # about a chunk
+        F.first(F.ceil(2 * F.col("count") / block)).alias("many"),
+    )
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            at, far = np.array(batch.column("spread"), dtype=np.int64), np.full(n, 2.0)
-            nodes = np.asarray(batch.column("node"))
-            for node in np.unique(nodes):
-                rows = np.flatnonzero(nodes == node)
-                held = batch.column("centres")[int(rows[0])]
+            for row in range(batch.num_rows):
+                node, dim, chunk, many = (batch.column(c)[row].as_py() for c in ("node", "dim", "chunk", "many"))
+                rows, held = batch.column("rows")[row].values, batch.column("centres")[row]
+                x, n = matrix(rows.field("embedding"), dim), len(rows)
                 if held.is_valid and len(held) > 1:
-                    dim = batch.column("dim")[int(rows[0])].as_py()
-                    c = np.array(held.as_py())
-                    d = chord(unit(matrix(batch.column("embedding").take(pa.array(rows)), dim)) @ c.T)
-                    at[rows], far[rows] = d.argmin(axis=1), d.min(axis=1)
-            kept = [batch.column(c) for c in ("cid", "n", "embedding", "dim", "node")]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(at), pa.array(far)], ["cid", "n", "embedding", "dim", "node", "at", "far"]
-            )
+                    d = chord(unit(x) @ np.array(held.as_py()).T)
+                    at, far = d.argmin(axis=1), d.min(axis=1)
+                else:
+                    at, far = (np.arange(n) + chunk) % many, np.full(n, 2.0)
+                kept = [rows.field(c) for c in ("cid", "n", "embedding")]
+                same = [pa.array(np.full(n, dim), pa.int32()), pa.array(np.full(n, node), pa.int64())]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, *same, pa.array(at, pa.int64()), pa.array(far)], ["cid", "n", "embedding", "dim", "node", "at", "far"]
+                )
 
     schema = "cid long, n long, embedding array<float>, dim int, node long, at long, far double"
     schema = schema.replace("array<float>", members.schema["embedding"].dataType.simpleString())
-    placed = dealt.select("cid", "n", "embedding", "dim", "node", "spread", "centres").mapInArrow(assign, schema)
+    placed = packed.join(nets, "node", "left").mapInArrow(assign, schema)
     placed = cut_lineage(placed.withColumn("child", F.xxhash64("node", "at")))
     stats = placed.groupBy("node", "at", "child").agg(F.max("far").alias("radius"))
     known = nets.where(F.size("centres") > 1).select("node", F.posexplode("centres").alias("at", "centre"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..session import cut_lineage
+from .batches import send_small_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 12  # of the swap-or-not permutation
@@ -253,6 +254,7 @@ def mixed_documents(documents: DataFrame, plan: MixPlan = MixPlan()) -> DataFram
     A row is there up to ``max_repeats`` times, or not at all; parts of a text that do not touch are
     joined by a line feed, and n_chars, if there is such a column, is counted anew.
     """
+    send_small_batches(documents.sparkSession)
     columns = documents.columns
     taken = mix(documents, plan).where(F.size("pieces") > 0).select("doc_id", "source", "mark", "pieces")
     taken = taken.toDF("_id", "_source", "_mark", "_pieces")

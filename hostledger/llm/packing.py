@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from ..session import cut_lineage
+from .batches import portions, send_small_batches
 from .tokens import CACHE_SIZE, DIGITS, LETTERS, LONGEST_KEPT, PLAIN, as_bytes, chunks
 
 WINDOW = 2048
@@ -32,13 +33,15 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.before: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: str) -> bytes:
-        ids = as_ids(t.id for t in self.tokenizer.model.tokenize(as_bytes(word)))
+        ids = self.before.get(word) or as_ids(t.id for t in self.tokenizer.model.tokenize(as_bytes(word)))
         if len(word) <= LONGEST_KEPT:
             if len(self) >= CACHE_SIZE:
+                self.before = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -72,7 +75,7 @@ def cut_documents(documents: DataFrame, path: str, window: int = WINDOW, keep_id
         words = WORKER[path]
         end = END_ID.to_bytes(4, "little")
         dealt = TaskContext.get().partitionId() * 7919
-        for batch in batches:
+        for batch in portions(batches):
             source, start, length, crc, total, number, ids = [], [], [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
                 value = text.as_py()
@@ -161,6 +164,7 @@ def pack_documents(
     not and with a null doc_id too; an empty table gives no rows; columns other than doc_id and text
     are ignored. ``keep_ids`` adds the ids of each piece. Equal input files give equal sequences.
     """
+    send_small_batches(documents.sparkSession)
     pieces = cut_lineage(cut_documents(documents, path, window, keep_ids))
     groups = max(1, -(-pieces.count() // group))
     schema = pieces.drop("dealt").schema.add("sequence_id", "long").add("offset", "long")

@@ -11,7 +11,7 @@ members.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
+from .batches import portions, send_small_batches
 from .components import connected_components, local_roots
 
 BITS = 64
@@ -44,7 +45,7 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
         stop = min(count, start + STEP)
         parts = words[start : stop + k - 1]
         shingles = map(" ".join, zip(*[parts[i:] for i in range(k)], strict=False)) if len(words) >= k else [" ".join(words)]
-        hashes = np.fromiter((digest(s.encode("utf-8", "surrogatepass"), SEED) for s in shingles), dtype="<u8", count=stop - start)
+        hashes = np.fromiter(map(digest, shingles, repeat(SEED)), dtype="<u8", count=stop - start)
         # column sums of the bits, 255 rows of bytes at a time
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
@@ -54,10 +55,11 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
 
 def fingerprints(documents: DataFrame, words_per_shingle: int = 3, mark: bool = False) -> DataFrame:
     """doc_id and ``fp`` (the 64 bits as a signed long) of every row, and on demand ``mark``, a hash of its text."""
+    send_small_batches(documents.sparkSession)
     kept = ["doc_id", *["mark"] * mark]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             fps = [fingerprint(t.as_py(), words_per_shingle) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept], pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], [*kept, "fp"]

@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
+from .batches import send_small_batches
+
 TABLE_SIZE = 32_768  # entries of tier one, under 1 MB when sent
 SUMMARY_SIZE = 8_192  # pre-tokens each task reports
-CACHE_SIZE = 400_000  # entries of tier two, dropped together when full
+CACHE_SIZE = 150_000  # entries of tier two; when full, it is the one before, and a new one is filled
 LONGEST_KEPT = 64  # characters of a pre-token worth keeping
 CHUNK = 1 << 20  # characters split at a time
 
@@ -67,13 +69,15 @@ class Lengths(dict):
     def __init__(self, path: str, table: dict[str, int]):
         super().__init__(table)
         self.table = table
+        self.before: dict[str, int] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, piece: str) -> int:
-        n = len(self.tokenizer.model.tokenize(as_bytes(piece)))
+        n = self.before.get(piece) or len(self.tokenizer.model.tokenize(as_bytes(piece)))
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= CACHE_SIZE + len(self.table):
+                self.before = dict(self)
                 self.clear()
                 self.update(self.table)
             self[piece] = n
@@ -145,6 +149,7 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 512, text: str =
     a new one are replaced.
     """
     spark = documents.sparkSession
+    send_small_batches(spark)
     tokens = token_counter(path, frequent_lengths(documents.select(F.col(text)), path), spark)
     n_bytes: Column = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
     return documents.withColumns({"n_bytes": n_bytes, "n_tokens": tokens(F.col(text))}).withColumn(

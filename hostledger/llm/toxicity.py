@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import cut_lineage
-from .batches import portions
+from .batches import portions, send_small_batches
 
 SIGNS = 64  # of the language model: 0 boundary, 1 digit or sign, 2-27 a-z, then ß … ÿ, 61 other letters
 BOUNDARY, SIGN, OTHER = 0, 1, 61
@@ -169,31 +169,33 @@ def features_of(words: list[str]) -> list[str]:
 
 
 class Features(dict):
-    """What each token of a text contributes, kept while there is room.
+    """What each token of a text contributes; of the tokens seen, the last ``room`` to twice as many are kept.
 
     ``of_worker`` gives the one of the query at work, which lives as long as the Python worker.
     """
 
     HELD: ClassVar[dict[str, Features]] = {}
 
-    ROOM = 1_000_000
-
-    def __init__(self, decoder: Decoder, known: dict[str, int] | None = None):
+    def __init__(self, decoder: Decoder, known: dict[str, int] | None = None, room: int = 150_000):
         super().__init__()
-        self.decoder, self.known = decoder, known
+        self.decoder, self.known, self.room = decoder, known, room
+        self.before: dict[str, tuple] = {}
 
     @classmethod
     def of_worker(cls, key: str, decoder: Decoder, known: dict[str, int] | None = None) -> Features:
         if key not in cls.HELD:
             cls.HELD.clear()
-            cls.HELD[key] = cls(decoder, known)
+            # without a list of features their names are kept, which take more room
+            cls.HELD[key] = cls(decoder, known) if known is not None else cls(decoder, known, 50_000)
         return cls.HELD[key]
 
     def __missing__(self, token: str) -> tuple:
-        words = self.decoder.restore(token)
-        found = features_of(words)
-        value = tuple(found) if self.known is None else tuple(self.known[f] for f in found if f in self.known)
-        if len(self) >= self.ROOM:
+        value = self.before.get(token)
+        if value is None:
+            found = features_of(self.decoder.restore(token))
+            value = tuple(found) if self.known is None else tuple(self.known[f] for f in found if f in self.known)
+        if len(self) >= self.room:
+            self.before = dict(self)
             self.clear()
         if len(token) <= LONGEST:
             self[token] = value
@@ -244,7 +246,7 @@ def feature_counts(rows: DataFrame, model: list[float], channel: Channel) -> Dat
         for batch in batches:
             for text, toxic in zip(batch.column("text"), batch.column("toxic"), strict=True):
                 counts[1 if toxic.as_py() else 0].update(cache.of(text.as_py()))
-                if len(counts[0]) + len(counts[1]) > 600_000:
+                if len(counts[0]) + len(counts[1]) > 300_000:
                     yield flush()
         yield flush()
 
@@ -317,6 +319,7 @@ class Model:
 
 def fit(documents: DataFrame, labels: DataFrame, channel: Channel = Channel()) -> Model:
     """The language model from all texts, the classifier from labelled rows outside the held-out fold."""
+    send_small_batches(documents.sparkSession)
     language = language_model(trigram_counts(documents.select("text")))
     rows = training_rows(documents, labels, channel)
     n = {r["toxic"]: r["count"] for r in rows.select((F.col("toxic") > 0).cast("int").alias("toxic")).groupBy("toxic").count().collect()}

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..session import cut_lineage
+from .batches import send_small_batches
 from .reputation import url_host
 
 SALTS = 32  # first round of merging a host's templates
@@ -408,6 +409,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     row is kept, repeated or not, an empty table gives no rows, and columns of the input named like a
     new one are replaced.
     """
+    send_small_batches(pages.sparkSession)
     hosted = pages.withColumn("_host", url_host(F.col("url")))
 
     def wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
