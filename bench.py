@@ -7,7 +7,7 @@ import os
 import statistics
 import time
 
-from hostledger.session import build_session
+from hostledger.session import build_session, drop_scratch
 from verification import queries as registered
 
 HEADLINE = [
@@ -52,6 +52,7 @@ def main() -> None:
             start = time.perf_counter()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
+            drop_scratch(spark)
         seconds[name] = round(statistics.median(times[1:]), 3)
     print(
         json.dumps(

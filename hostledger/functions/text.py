@@ -14,11 +14,12 @@ MAX_LINES = 8
 _FILES = sql_text(r"(?<![\w-])(?<![\w-]/)(?:[a-zA-Z0-9_-]++/)*+([\w-]+\.(?:go|js|html|css|json))")
 _LONG_URL = sql_text(r"(?=https?://)(\S{30})\S{11,}(\S{20})")
 
-# SQL over ``s``, one line: file names for paths, short URLs, a bounded length.
-SHORTEN = (
-    f"transform(array(regexp_replace(regexp_replace(s, {_FILES}, '$1'), {_LONG_URL}, '$1...$2')), "
-    f"t -> CASE WHEN length(t) <= {MAX_LINE} THEN t ELSE concat(substr(t, 1, {MAX_LINE - 3}), '...') END)[0]"
-)
+def shorten_sql(max_line: int) -> str:
+    """SQL over ``s``, one line: file names for paths, short URLs, a bounded length."""
+    return (
+        f"transform(array(regexp_replace(regexp_replace(s, {_FILES}, '$1'), {_LONG_URL}, '$1...$2')), "
+        f"t -> CASE WHEN length(t) <= {max_line} THEN t ELSE concat(substr(t, 1, {max_line - 3}), '...') END)[0]"
+    )
 
 
 def truncate(text: Column, size: int | Column) -> Column:
@@ -27,11 +28,11 @@ def truncate(text: Column, size: int | Column) -> Column:
     return F.when(F.length(text) <= size, text).otherwise(F.concat(F.substr(text, F.lit(1), size - 3), F.lit("...")))
 
 
-def error_digest(message: Column | str) -> Column:
+def error_digest(message: Column | str, max_line: int = MAX_LINE, max_lines: int = MAX_LINES) -> Column:
     """A message cut to its essence: file names for paths, short URLs, short lines, few lines."""
 
     lines = keep(each(F.split(as_column(message), "\n", -1), f"s -> btrim(s, {sql_text(WHITESPACE)})"), "s -> s <> ''")
-    return trim_space(F.array_join(each(F.slice(lines, 1, MAX_LINES), f"s -> {SHORTEN}"), "\n"))
+    return trim_space(F.array_join(each(F.slice(lines, 1, max_lines), f"s -> {shorten_sql(max_line)}"), "\n"))
 
 
 def is_cancellation(message: Column | str) -> Column:

@@ -199,30 +199,41 @@ OFTEN = """size(x) > 3 AND size(x) - size(array_distinct(x)) >= 3 AND exists(arr
     s -> octet_length(s) >= 2 AND size(filter(x, t -> t = s)) > 3)"""
 
 # SQL over ``x``, the segments of a path: the path looks like an endless loop.
-LOOPS = f"""size(x) > 15 OR exists(x, s -> octet_length(s) > 200)
-    OR (size(x) > 3 AND x[0] = x[size(x) - 1] AND octet_length(x[0]) >= 2)
+LOOPS = f"""(size(x) > 3 AND x[0] = x[size(x) - 1] AND octet_length(x[0]) >= 2)
     OR ({OFTEN})
     OR exists(sequence(0, size(x) - 1), i -> octet_length(x[i]) >= 2 AND x[i] = get(x, i + 1))
     OR (size(x) >= 6 AND exists(sequence(0, size(x) - 6), i -> octet_length(x[i]) >= 2
       AND x[i] = x[i + 2] AND x[i] = x[i + 4] AND x[i + 1] = x[i + 3] AND x[i + 1] = x[i + 5]))"""
 
 
-def has_path_trap(url: Column | str) -> Column:
-    """The path looks like an endless link loop."""
+def _over(size: Column, most: int | None) -> Column:
+    """More than ``most``; without a limit never."""
+    return F.lit(False) if most is None else size > most
+
+
+def has_path_trap(url: Column | str, max_segments: int | None = 15, max_segment_bytes: int | None = 200) -> Column:
+    """The path looks like an endless link loop. A limit of None is off."""
     text = trim_space(as_column(url))
     full = F.when(text.rlike("^https?://"), text).otherwise(F.concat(F.lit("https://"), text))
     usable = (text != "") & UrlParts.of(text).valid
     path = let(full, lambda t: F.when(UrlParts.of(t).valid, F.btrim(UrlParts.of(t).plain_path, F.lit("/"))))
     # two segments need two slashes, which may be escaped; most links end here
-    suspect = (_count(text, "/") >= 2) | has(text, "%") | (F.octet_length(text) > 200)
-    return F.coalesce(suspect & usable & (path != "") & let(F.split(path, "/", -1), LOOPS), F.lit(False))
-
-
-def has_problem_pattern(url: Column | str) -> Column:
+    suspect = (_count(text, "/") >= 2) | has(text, "%") | _over(F.octet_length(text), max_segment_bytes)
+    rules = [LOOPS]
+    if max_segments is not None:
+        rules.append(f"size(x) > {max_segments}")
+    if max_segment_bytes is not None:
+        rules.append(f"exists(x, s -> octet_length(s) > {max_segment_bytes})")
+    looped = let(F.split(path, "/", -1), " OR ".join(f"({r})" for r in rules))
+    return F.coalesce(suspect & usable & (path != "") & looped, F.lit(False))
+
+
+def has_problem_pattern(url: Column | str, max_bytes: int | None = 2000, max_slashes: int | None = 50) -> Column:
+    """Too long, too deep, or with a repeated fragment. A limit of None is off."""
     text = as_column(url)
     return (
-        (F.octet_length(text) > 2000)
-        | (_count(text, "/") > 50)
+        _over(F.octet_length(text), max_bytes)
+        | _over(_count(text, "/"), max_slashes)
         | _contains_any(text, tables.REPEATED_FRAGMENTS + tables.RECURSIVE_FRAGMENTS_STRICT)
     )
 
@@ -234,13 +245,14 @@ def has_repeated_segments(url: Column | str) -> Column:
     return (_count(text, "/") > 4) & (_count(path, "/") > 4) & let(F.split(path, "/", -1), OFTEN)
 
 
-def is_invalid_url(url: Column | str) -> Column:
+def is_invalid_url(url: Column | str, max_bytes: int | None = 1000, max_slashes: int | None = 30) -> Column:
+    """Empty, too long, too deep, or with repeated fragments or segments. A limit of None is off."""
     text = as_column(url)
     return (
         (text == "")
-        | (F.octet_length(text) > 1000)
+        | _over(F.octet_length(text), max_bytes)
         | _contains_any(text, tables.REPEATED_FRAGMENTS + tables.RECURSIVE_FRAGMENTS)
-        | (_count(text, "/") > 30)
+        | _over(_count(text, "/"), max_slashes)
         | has_repeated_segments(text)
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
+from .preprocess import first_rows
 from .probes import latest_per_key
 
 
@@ -29,8 +30,7 @@ def last_known_record(history: DataFrame) -> DataFrame:
 def records_for_url(history: DataFrame, limit: int, url: str | None = None) -> DataFrame:
     """The newest ``limit`` records of each URL, or of one."""
     rows = history if url is None else history.where(F.col("url") == url)
-    newest = Window.partitionBy("url").orderBy(F.col("ts").desc())
-    return rows.withColumn("_age", F.row_number().over(newest)).where(F.col("_age") <= limit).drop("_age")
+    return first_rows(rows, ["url"], [F.col("ts").desc()], limit)
 
 
 def content_changes(history: DataFrame, old_ts, new_ts) -> DataFrame:
@@ -92,28 +92,19 @@ def normal_lines(content: Column, strip_comments: bool = True) -> Column:
 def line_diff_counts(history: DataFrame, old_ts, new_ts, strip_comments: bool = True) -> DataFrame:
     """Lines added and deleted per URL that both fetches have, as a multiset difference.
 
-    The two versions meet in one join by URL. Only texts that differ are split into lines, and the
-    lines are counted per (url, line), so one huge page spreads over all tasks.
+    Hashes are compared first. Only texts of URLs whose hash changed are split, each by itself, and
+    the lines are counted per (url, line) with a sign, so one huge page spreads over all tasks.
     """
-    side = lambda t, name: history.where(F.col("ts") == t).select("url", F.col("content").alias(name))
-    pairs = side(old_ts, "old").join(side(new_ts, "new"), "url").select(
-        "url",
-        F.when(F.col("old") != F.col("new"), F.col("old")).alias("old"),
-        F.when(F.col("old") != F.col("new"), F.col("new")).alias("new"),
+    both = content_changes(history, old_ts, new_ts).where(F.col("change").isin("changed", "identical"))
+    changed = both.where("change = 'changed'").select("url")
+    sign = F.when(F.col("ts") == new_ts, 1).otherwise(-1)
+    texts = history.where(F.col("ts").isin(old_ts, new_ts)).select("url", "content", sign.alias("sign"))
+    lines = texts.join(changed, "url", "left_semi").select(
+        "url", "sign", F.explode(normal_lines(F.col("content"), strip_comments)).alias("line")
     )
-    counted = lambda text, sign: F.transform(
-        normal_lines(text, strip_comments), lambda s: F.struct(s.alias("line"), F.lit(sign).alias("sign"))
-    )
-    # an unchanged URL keeps one row without a line
-    marker = F.array(F.struct(F.lit(None).cast("string").alias("line"), F.lit(0).alias("sign")))
-    none = F.array().cast("array<struct<line:string,sign:int>>")
-    signed = pairs.select(
-        "url",
-        F.inline(
-            F.concat(marker, F.coalesce(counted(F.col("old"), -1), none), F.coalesce(counted(F.col("new"), 1), none))
-        ),
-    )
-    net = signed.groupBy("url", "line").agg(F.sum("sign").alias("net"))
+    # every URL has one row without a line, so one without lines is there too
+    markers = both.select("url", F.lit(0).alias("sign"), F.lit(None).cast("string").alias("line"))
+    net = lines.unionByName(markers).groupBy("url", "line").agg(F.sum("sign").alias("net"))
     added = F.sum(F.greatest(F.col("net"), F.lit(0)))
     deleted = F.sum(F.greatest(-F.col("net"), F.lit(0)))
     return net.groupBy("url").agg(

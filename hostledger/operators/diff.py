@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from .probes import latest_per_key
 
 KEYS = ["host", "url_key"]
@@ -55,10 +56,21 @@ def diff_sessions(
     session: str = "scan_session_id",
     include_vanished_hosts: bool = False,
 ) -> DataFrame:
-    """``url_diff`` of one session of a probe table against each host's session before."""
-    current = probes.where(F.col(session) == current_session)
-    previous = previous_snapshot(probes, current_session, session, include_vanished_hosts)
-    return url_diff(current, previous, order)
+    """``url_diff`` of one session of a probe table against each host's session before.
+
+    The probe table is read twice: for the session before of each host, then for the rows of both
+    sessions, which are written and compared from there.
+    """
+    at = F.col(session)
+    past = probes.where(at <= current_session)
+    hosts = past.groupBy("host").agg(
+        F.max(F.when(at < current_session, at)).alias("_before"), F.max(at == current_session).alias("_present")
+    )
+    if not include_vanished_hosts:
+        hosts = hosts.where("_present")
+    both = past.join(hosts, "host").where((at == current_session) | (at == F.col("_before")))
+    both = cut_lineage(both.drop("_before", "_present"))
+    return url_diff(both.where(at == current_session), both.where(at < current_session), order)
 
 
 def diff_every_session(

@@ -63,25 +63,29 @@ def _raw_links(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
 
 
 def extract_links(
-    pages: DataFrame, url: str = "url", html: str = "html", page_id: str = "page_id", rejected: bool = False
+    pages: DataFrame, url: str = "url", html: str = "html", page_id: str = "page_id", rejected: bool = False,
+    limits: bool = True,
 ) -> DataFrame:
     """One row per followable link with its absolute URL; traps and unusable links are left out.
 
-    ``rejected`` keeps those too and adds ``reject_reason``, null for a link to follow. ``html`` is
+    ``rejected`` keeps those too and adds ``reject_reason``, null for a link to follow. Without
+    ``limits`` no link is too long or too deep; rules on repeated parts stay. ``html`` is
     read once and never leaves the scan stage; there is no shuffle.
     """
     base = stage_parts(pages.select(page_id, url, html), url, "_b_")
     keys = [c for c in base.columns if c != html]
     raw = _raw_links(base, keys, html)
+    off = {} if limits else {"max_bytes": None, "max_slashes": None}
+    loose = {} if limits else {"max_segments": None, "max_segment_bytes": None}
     early = (
-        F.when(is_skippable_href("href"), "skippable").when(has_problem_pattern("href"), "problem")
-        .when(is_invalid_url("href"), "invalid").when(has_path_trap("href"), "trap")
+        F.when(is_skippable_href("href"), "skippable").when(has_problem_pattern("href", **off), "problem")
+        .when(is_invalid_url("href", **off), "invalid").when(has_path_trap("href", **loose), "trap")
     )
     raw = stage(raw, {"_early": early}) if rejected else raw.where(early.isNull())
     link, page = UrlParts.staged("_h_"), UrlParts.staged("_b_")
     staged = stage_parts(raw, "href", "_h_")
     out = stage(staged, {"link": F.when(can_resolve(link, page), resolve_parts(link, page))})
-    late = F.when(F.col("link").isNull(), "unresolved").when(is_invalid_url("link"), "invalid")
+    late = F.when(F.col("link").isNull(), "unresolved").when(is_invalid_url("link", **off), "invalid")
     if rejected:
         out = out.withColumn("reject_reason", F.coalesce("_early", late))
     else:

@@ -95,19 +95,20 @@ def preprocess_stats(
     """One row of counters. Repeats of a kept URL are duplicates, all rows of a capped one by-pattern."""
     rows = with_normalized(df.select(pos, url), url, mode, normalize, pattern)
     zero = F.lit(0).cast("long")
-    totals = rows.agg(
-        F.count("*").alias("total_processed"),
-        F.count_if(F.col("norm") != F.col(url)).alias("normalized"),
-        F.count("norm").alias("parsed"),
-    ).select("*", zero.alias("final_count"), zero.alias("kept_rows"))
-    groups = (
-        rows.where(F.col("norm").isNotNull())
-        .groupBy("norm", "pattern")
-        .agg(F.min(pos).alias(pos), F.count("*").alias("n"))
+    # both branches start from this frame, so URLs are split once
+    groups = rows.groupBy("norm", "pattern").agg(
+        F.min(pos).alias(pos), F.count("*").alias("n"), F.count_if(F.col("norm") != F.col(url)).alias("n_changed")
     )
-    kept = cap_per_pattern(groups, order=pos, max_similar=max_similar) if enabled else groups
+    total = lambda c: F.coalesce(F.sum(c), zero)
+    totals = groups.agg(
+        total("n").alias("total_processed"),
+        total("n_changed").alias("normalized"),
+        total(F.when(F.col("norm").isNotNull(), F.col("n"))).alias("parsed"),
+    ).select("*", zero.alias("final_count"), zero.alias("kept_rows"))
+    usable = groups.where(F.col("norm").isNotNull())
+    kept = cap_per_pattern(usable, order=pos, max_similar=max_similar) if enabled else usable
     kept = kept.agg(
-        F.count("*").alias("final_count"), F.coalesce(F.sum("n"), zero).alias("kept_rows")
+        F.count("*").alias("final_count"), total("n").alias("kept_rows")
     ).select(zero.alias("total_processed"), zero.alias("normalized"), zero.alias("parsed"), "*")
     return (
         totals.unionByName(kept)

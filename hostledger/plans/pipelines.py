@@ -1,4 +1,4 @@
-"""The three jobs end to end, each one lazy plan."""
+"""The three jobs end to end; tables that several steps start from are written once."""
 
 from __future__ import annotations
 
@@ -48,7 +48,7 @@ def diff_and_store(
     """
     # the previous snapshot is looked up once, then compared by key and read for its vanished rows
     previous = cut_lineage(with_diff_keys(previous))
-    diff = url_diff(with_diff_keys(current), previous, order)
+    diff = cut_lineage(url_diff(with_diff_keys(current), previous, order))
     stored = to_storage_row(diff.where("url_status <> 'old'"), scan_ts, session, keep=("host",))
     write_snapshot(stored, base, codec)
     return diff

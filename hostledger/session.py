@@ -23,6 +23,9 @@ SETTINGS = {
 }
 
 
+WRITTEN: list[str] = []  # scratch tables of this process
+
+
 def build_session(app: str = "hostledger", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings the operators expect; cluster sizing stays with spark-submit."""
     builder = SparkSession.builder.appName(app)
@@ -50,7 +53,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, for tables and stream state that outlive a query."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables that ``scratch_path`` has handed out so far; call it once results are written."""
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -31,13 +31,15 @@ def export_rows(rows: DataFrame, path: str, kind: str = "json", max_rows_per_fil
         raise ValueError(f"kind must be json or csv, not {kind!r}")
 
 
-def write_parts(parts: DataFrame, path: str) -> None:
-    """Write the frame of ``report_parts``, one folder per part."""
+def write_parts(parts: DataFrame, path: str, parts_per_folder: int = 1000) -> None:
+    """Write the frame of ``report_parts``, sorted by part, in a folder for every ``parts_per_folder`` parts."""
+    folder = F.floor((F.col("part") - 1) / parts_per_folder)
     (
-        parts.hint("rebalance", "part")
-        .sortWithinPartitions("part", "rn")
+        parts.withColumn("folder", folder)
+        .hint("rebalance", "folder")
+        .sortWithinPartitions("folder", "part", "rn")
         .write.mode("overwrite")
-        .partitionBy("part")
+        .partitionBy("folder")
         .json(path)
     )
 

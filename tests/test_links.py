@@ -105,6 +105,41 @@ def test_crawl_frontier(spark, graph):
     assert depth == {f"http://c/{i}": i + 1 for i in range(5)}
 
 
+def test_long_chain_beside_a_cycle(spark):
+    """A chain longer than any fixed number of hops; the cycle ends the rounds without an answer."""
+    n = 100_000
+    chain = spark.range(n).select(F.concat(F.lit("c"), F.col("id") + 1).alias("child"), F.concat(F.lit("c"), F.col("id")).alias("parent"))
+    cycle = spark.range(7).select(F.concat(F.lit("y"), "id").alias("child"), F.concat(F.lit("y"), (F.col("id") + 1) % 7).alias("parent"))
+    found = G.seed_ancestors(chain.union(cycle), spark.createDataFrame([("c0",)], "url string"))
+    assert found.agg(F.count("*"), F.count_if(F.col("root") == "c0")).first() == (n, n)
+
+
+def test_references_of_any_length_and_name(spark):
+    links = {
+        "/p?a&#00000061;b": "/p?a=b", "/x&#x00000041;": "/xA", "/caf&eacute;": "/caf%C3%A9", "/?x=1&ampy=2": "/?x=1&ampy=2",
+        "/a&amp;b": "/a&b", "/a&copy": "/a%C2%A9", "/&#128;": "/%E2%82%AC", "/&#99999999999;": "/%EF%BF%BD", "/&nosuchname;": "/&nosuchname;",
+    }
+    pages = spark.createDataFrame([(i, "http://h.com/", f'<a href="{raw}">') for i, raw in enumerate(links)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["link"] for r in L.extract_links(pages).collect()}
+    assert got == {i: "http://h.com" + link for i, link in enumerate(links.values())}
+
+
+def test_rejected_links_can_be_counted(spark):
+    page = f"<a href='/ok'><a href='mailto:x'><a href='/{'y' * 1200}'><a href='/js/js'><a href='/%zz'>"
+    pages = spark.createDataFrame([(1, "http://h.com/", page)], "page_id long, url string, html string")
+    reasons = {r["tag_pos"]: r["reject_reason"] for r in L.extract_links(pages, rejected=True).collect()}
+    assert list(reasons.values()) == [None, "skippable", "invalid", "trap", "unresolved"]
+    assert L.extract_links(pages).count() == 1
+    assert L.extract_links(pages, limits=False).count() == 2
+
+
+def test_host_rules_ignore_case(spark):
+    links = spark.createDataFrame([("http://EVIL.com/a",), ("HTTPS://Ex.com/b",), ("http://other.com/",)], "link string")
+    seeds = spark.createDataFrame([("ex.com",), ("evil.com",)], "host string")
+    got = {r["link"]: r["in_scope"] for r in L.mark_scope(links, seed_hosts=seeds, disallowed_hosts=("Evil.com",)).collect()}
+    assert got == {"http://EVIL.com/a": False, "HTTPS://Ex.com/b": True, "http://other.com/": False}
+
+
 def test_hot_parent(spark):
     """A page that a third of all URLs hang below is still one hop."""
     edges = spark.range(3000).select(
