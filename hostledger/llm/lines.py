@@ -248,6 +248,7 @@ def near_repeats(lines: DataFrame, bitmap: int) -> DataFrame:
     missing, whole = found.where("place >= 0"), found.where("place < 0").select("key", F.col("id").alias("shorter"))
     # one word changed: equal variants with the same word missing
     earliest = missing.groupBy("key", "place").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    earliest = cut_lineage(earliest)
     changed = missing.join(earliest, ["key", "place"]).where("id > first").select("id", "first")
     # one word added or removed: a variant that equals a whole line; most variants equal none
     sent = lines.sparkSession.sparkContext.broadcast(bitmap_of(whole.select("key"), bitmap))
@@ -268,7 +269,10 @@ def near_repeats(lines: DataFrame, bitmap: int) -> DataFrame:
 def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, bitmap: int = BITMAP) -> DataFrame:
     """doc_id and the sorted numbers ``dropped`` of its lines that repeat an earlier line or are near one."""
     lines = cut_lineage(hashed_lines(documents, min_words))
-    same = lines.groupBy("h", "g").agg(F.min(order_of()).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # a written table, so that the join has two plain shuffles and a very frequent line can be split
+    same = cut_lineage(
+        lines.groupBy("h", "g").agg(F.min(order_of()).alias("first"), F.count("*").alias("n")).where("n > 1")
+    )
     # the smaller side is hashed, so neither lines nor texts are sorted
     exact = lines.select("doc_id", "line", "h", "g").join(same.hint("shuffle_hash"), ["h", "g"]).where(order_of() > F.col("first"))
     table = bitmap_of(contested_halves(lines), bitmap)
