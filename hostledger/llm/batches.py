@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -22,3 +23,14 @@ def send_small_batches(spark: SparkSession) -> None:
     """From now on the session sends whole texts to Python in batches of at most ``SENT`` rows."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.conf.set(name, str(min(SENT, int(spark.conf.get(name)))))
+
+
+HELD: dict[str, Any] = {}
+
+
+def kept_in_worker(key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gave for ``key`` in this Python worker; it is let go when another key is asked for."""
+    if key not in HELD:
+        HELD.clear()
+        HELD[key] = make()
+    return HELD[key]

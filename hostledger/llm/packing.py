@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from ..session import cut_lineage
-from .batches import portions, send_small_batches
+from .batches import kept_in_worker, portions, send_small_batches
 from .tokens import CACHE_SIZE, DIGITS, LETTERS, LONGEST_KEPT, PLAIN, as_bytes, chunks
 
 WINDOW = 2048
@@ -60,9 +60,6 @@ def as_ids(ids) -> bytes:
     return packed.tobytes()
 
 
-WORKER: dict[str, WordIds] = {}
-
-
 def cut_documents(documents: DataFrame, path: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
     """Pieces of at most ``window`` ids: doc_id, start, length, ids_crc32, doc_tokens, dealt[, ids].
 
@@ -70,9 +67,7 @@ def cut_documents(documents: DataFrame, path: str, window: int = WINDOW, keep_id
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in WORKER:
-            WORKER[path] = WordIds(path)
-        words = WORKER[path]
+        words = kept_in_worker(path, lambda: WordIds(path))
         end = END_ID.to_bytes(4, "little")
         dealt = TaskContext.get().partitionId() * 7919
         for batch in portions(batches):

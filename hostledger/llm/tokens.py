@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from .batches import send_small_batches
+from .batches import kept_in_worker, send_small_batches
 
 TABLE_SIZE = 32_768  # entries of tier one, under 1 MB when sent
 SUMMARY_SIZE = 8_192  # pre-tokens each task reports
@@ -89,9 +89,6 @@ class Lengths(dict):
         return sum(sum(map(self.__getitem__, BYTE_SPLIT.findall(c))) for c in chunks(text))
 
 
-WORKER: dict[str, Lengths] = {}  # of the query at work, kept while the worker lives
-
-
 def frequent_pieces(texts: DataFrame) -> DataFrame:
     """(piece, n) of up to ``SUMMARY_SIZE`` frequent pre-tokens of each task, from all its texts."""
 
@@ -129,10 +126,7 @@ def token_counter(path: str, table: dict[str, int], spark: SparkSession) -> Call
 
     @F.pandas_udf("long")
     def counted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if key not in WORKER:
-            WORKER.clear()
-            WORKER[key] = Lengths(path, sent.value)
-        count = WORKER[key].count
+        count = kept_in_worker(key, lambda: Lengths(path, sent.value)).count
         for part in parts:
             yield pd.Series([count(t) if t else 0 for t in part], dtype="int64")
 

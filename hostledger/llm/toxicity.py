@@ -14,7 +14,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log
-from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import cut_lineage
-from .batches import portions, send_small_batches
+from .batches import kept_in_worker, portions, send_small_batches
 
 SIGNS = 64  # of the language model: 0 boundary, 1 digit or sign, 2-27 a-z, then ß … ÿ, 61 other letters
 BOUNDARY, SIGN, OTHER = 0, 1, 61
@@ -169,26 +168,13 @@ def features_of(words: list[str]) -> list[str]:
 
 
 class Features(dict):
-    """What each token of a text contributes; of the tokens seen, the last ``room`` to twice as many are kept.
-
-    ``of_worker`` gives the one of the query at work, which lives as long as the Python worker.
-    """
-
-    HELD: ClassVar[dict[str, Features]] = {}
+    """What each token of a text contributes; of the tokens seen, the last ``room`` to twice as many are kept."""
 
     def __init__(self, decoder: Decoder, known: dict[str, int] | None = None, room: int = 150_000):
         super().__init__()
         self.decoder, self.known, self.room = decoder, known, room
         self.before: dict[str, tuple] = {}
 
-    @classmethod
-    def of_worker(cls, key: str, decoder: Decoder, known: dict[str, int] | None = None) -> Features:
-        if key not in cls.HELD:
-            cls.HELD.clear()
-            # without a list of features their names are kept, which take more room
-            cls.HELD[key] = cls(decoder, known) if known is not None else cls(decoder, known, 50_000)
-        return cls.HELD[key]
-
     def __missing__(self, token: str) -> tuple:
         value = self.before.get(token)
         if value is None:
@@ -232,7 +218,7 @@ def feature_counts(rows: DataFrame, model: list[float], channel: Channel) -> Dat
     sent, key = rows.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, counts = Features.of_worker(key, Decoder(sent.value, channel)), (Counter(), Counter())
+        cache, counts = kept_in_worker(key, lambda: Features(Decoder(sent.value, channel), room=50_000)), (Counter(), Counter())
 
         def flush() -> pa.RecordBatch:
             names = list(counts[0].keys() | counts[1].keys())
@@ -331,7 +317,7 @@ def fit(documents: DataFrame, labels: DataFrame, channel: Channel = Channel()) -
     sent, key = documents.sparkSession.sparkContext.broadcast(language), uuid.uuid4().hex
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Features.of_worker(key, Decoder(sent.value, channel), known)
+        cache = kept_in_worker(key, lambda: Features(Decoder(sent.value, channel), known))
         for batch in batches:
             found = [sorted(cache.of(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("toxic")], ["found", "toxic"])
@@ -348,7 +334,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
-        cache, weights = Features.of_worker(key, Decoder(held.language, held.channel), held.known), held.weights
+        cache, weights = kept_in_worker(key, lambda: Features(Decoder(held.language, held.channel), held.known)), held.weights
         for batch in portions(batches):
             z = np.array([held.bias + sum(weights[i] for i in sorted(cache.of(t.as_py()))) for t in batch.column("text")])
             score = pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64())
