@@ -13,7 +13,9 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from math import log
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,9 @@ SPACED = re.compile(r"(?<!\S)[^\s,;:?\"](?:[ \t]+[^\s,;:?\"]){2,}(?!\S)")
 LATIN, FOREIGN = re.compile("[a-z]"), re.compile("[Ͱ-ӿ]")
 RUN = re.compile(r"(.)\1+", re.DOTALL)
 WORDS = re.compile(r"[^\W\d_]+")
-LONGEST = 64  # characters of a token that can be one obfuscated word; longer ones are read as they stand
+GAP = re.compile(r"[ \t]+")
+LONGEST = 64  # characters of a token whose features are cached; longer ones are decoded every time
+SETTLED = 64  # runs decoded before what all readings share is put aside
 STARTS = (4, 5, 6)
 
 
@@ -111,7 +115,11 @@ class Decoder:
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
         """For each run of equal characters: what it may stand for, with its cost."""
-        out, at = [], 0
+        return list(self.steps(token))
+
+    def steps(self, token: str) -> Iterator[list[tuple[str, float]]]:
+        """The lattice of ``token``, one run at a time."""
+        at = 0
         while at < len(token):
             c, end = token[at], at + 1
             while end < len(token) and token[end] == c:
@@ -126,15 +134,18 @@ class Decoder:
                 options = [(c, 0.0)] + [(r * k, extra) for r in READS[c] for k in range(1, min(n, 2) + 1)]
             else:
                 options = [(" ", 0.0), ("", self.channel.drop)]
-            out.append(options)
+            yield options
             at = end
-        return out
 
     def decode(self, token: str) -> str:
-        """The best reading of ``token``; marks that stay are spaces."""
-        model = self.model
+        """The best reading of ``token``; marks that stay are spaces.
+
+        What all readings still in question begin with is final, so of a long token only the open ends
+        are held.
+        """
+        model, done = self.model, []
         states = {(BOUNDARY, BOUNDARY): (0.0, "")}
-        for options in [*self.lattice(token), [(" ", 0.0)]]:
+        for at, options in enumerate(chain(self.steps(token), [[(" ", 0.0)]]), 1):
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, text) in states.items():
                 for written, cost in options:
@@ -146,7 +157,11 @@ class Decoder:
                     if (x, y) not in after or after[x, y][0] < total:
                         after[x, y] = (total, text + written)
             states = after
-        return max(states.values())[1].strip()
+            if at % SETTLED == 0:
+                common = commonprefix([text for _, text in states.values()])
+                done.append(common)
+                states = {k: (score, text[len(common) :]) for k, (score, text) in states.items()}
+        return ("".join(done) + max(states.values())[1]).strip()
 
     def restore(self, token: str) -> list[str]:
         """Words of a lower-case token without white space."""
@@ -158,7 +173,7 @@ class Decoder:
         if plain.isalpha() and not RUN.search(plain):
             return [plain]
         token = token.lstrip(TRIM.replace("!", "").replace("(", "").replace("{", "")).rstrip(TRIM)
-        if not token or len(token) > LONGEST or not any(c.isalpha() for c in token):
+        if not token or not any(c.isalpha() for c in token):
             return WORDS.findall(token)
         return WORDS.findall(self.decode(token))
 
@@ -196,6 +211,9 @@ class Features(dict):
         for spaced in SPACED.findall(lower):
             out.update(self["".join(spaced.split())])
             out.update(self[".".join(spaced.split())])
+            narrow = min(map(len, GAP.findall(spaced)))
+            for word in re.split(rf"[ \t]{{{narrow + 1},}}", spaced):  # wider gaps may be ends of words
+                out.update(self["".join(word.split())])
         return out
 
 

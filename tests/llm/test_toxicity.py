@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from hostledger.llm.toxicity import Channel, Decoder, Features, best_cut, fit, fit_logistic, language_model, score_documents, trigram_counts
+from hostledger.llm.toxicity import OTHER, SIGN_OF, SIGNS, Channel, Decoder, Features, best_cut, fit, fit_logistic, language_model, score_documents, trigram_counts
 
 WORDS = "the cat sat on a mat and saw that it was not so bad to be here with all of them".split()
 
@@ -44,6 +44,35 @@ def test_restored_words(decoder, token, words):
     assert decoder.restore(token) == words
 
 
+def test_long_tokens_are_decoded(decoder):
+    assert decoder.restore("gr" + "u" * 100 + "mble") == ["grumble"]
+    marked = ".".join("the cat was a dimwit and a grumble on that mat".replace(" ", ""))
+    assert len(marked) > 64 and {"dimwit", "grumble"} <= set(decoder.restore(marked))
+    long = "sn0tf4ce-" * 5_000  # over many steps, with the same result as word by word
+    assert decoder.restore(long) == ["snotface"] * 5_000
+    for token in ["d1mw1t.4nd-" * 9, "gr.u" * 40, "1!0$" * 30 + "a"]:
+        states = {(0, 0): (0.0, "")}  # without putting anything aside
+        for options in [*decoder.lattice(token), [(" ", 0.0)]]:
+            after = {}
+            for (a, b), (score, text) in states.items():
+                for written, cost in options:
+                    x, y, total = a, b, score + cost
+                    for c in written:
+                        z = SIGN_OF.get(c, OTHER)
+                        total += decoder.model[(x * SIGNS + y) * SIGNS + z]
+                        x, y = y, z
+                    if (x, y) not in after or after[x, y][0] < total:
+                        after[x, y] = (total, text + written)
+            states = after
+        assert decoder.decode(token) == max(states.values())[1].strip()
+
+
+def test_words_of_spaced_out_text(decoder):
+    found = Features(decoder).of("  ".join(" ".join(w) for w in "that cat was not a dimwit but it sat on a grumble".split()))
+    assert {"dimwit", "grumble"} <= found
+    assert {"dimwit", "grumble"} <= Features(decoder).of(" ".join("thatcatwasadimwitandthatmatwasagrumble"))
+
+
 def test_viterbi_finds_the_best_of_all_readings(decoder):
     def readings(lattice):
         if not lattice:
