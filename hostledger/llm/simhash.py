@@ -223,15 +223,18 @@ def first_of_groups(documents: DataFrame, bits: int = 2, words_per_shingle: int
 
     A null doc_id comes last; rows of one doc_id are told apart by their text, of equal rows one stays.
     """
-    columns = documents.columns
     marked = fingerprints(documents, words_per_shingle, mark=True)
     hashed = cut_lineage(marked)
     rooted = grouped_fingerprints(hashed, bits, block)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     firsts = hashed.groupBy("fp").agg(F.min(row).alias("first")).join(rooted, "fp")
-    kept = firsts.groupBy("root").agg(F.min("first").alias("first")).select(
-        F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_of")
-    )
+    return rows_of(documents, firsts.groupBy("root").agg(F.min("first").alias("first")))
+
+
+def rows_of(documents: DataFrame, firsts: DataFrame) -> DataFrame:
+    """One row of ``documents`` for each ``first`` (none, doc_id, mark) of ``firsts``."""
+    columns = documents.columns
+    kept = firsts.select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_of"))
     own = documents.withColumn("_mark", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of"))
     found = own.join(kept, same, "left_semi").groupBy("doc_id", "_mark").agg(F.min(F.struct(*columns)).alias("_row"))
