@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +29,7 @@ from .batches import send_small_batches
 from .reputation import url_host
 
 SALTS = 32  # first round of merging a host's templates
-DEEPEST = 200  # elements nested deeper are taken as siblings; their text stays
+DEEPEST = 200  # depth of a template; in it, what is nested deeper belongs to the node there, pages are read at any depth
 SIBLINGS = 200  # different children of a template node that are told apart, the most frequent ones
 
 # Elements by role in the HTML standard.
@@ -99,6 +100,12 @@ def parse(page: str) -> Node:
     """The DOM of ``page``; unclosed elements end where the standard says or at the end of their parent."""
     root = Node("html", "html", False)
     stack, at, n = [root], 0, len(page)
+    opened: Counter = Counter()  # names on the stack, so that it is searched for those only
+
+    def close(depth: int) -> None:
+        opened.subtract(x.name for x in stack[depth:])
+        del stack[depth:]
+
     while at < n:
         tag = TAG.search(page, at)
         if not tag:
@@ -111,20 +118,24 @@ def parse(page: str) -> Node:
             continue
         if tag[1]:
             for depth in range(len(stack) - 1, 0, -1):
+                if not opened[name]:
+                    break
                 if stack[depth].name == name:
-                    del stack[depth:]
+                    close(depth)
                     break
             continue
         if name == "html":
             continue
         if name == "body" or (stack[-1].name == "head" and name not in HEADED | RAW | {"noscript", "template"}):
             while len(stack) > 1 and stack[-1].name == "head":
-                stack.pop()
+                close(len(stack) - 1)
         if name in ENDS_P or name in ENDS:
             gone = ENDS.get(name, set()) | ({"p"} if name in ENDS_P else set())
             for depth in range(len(stack) - 1, 0, -1):
+                if not any(opened[g] for g in gone):
+                    break
                 if stack[depth].name in gone:
-                    del stack[depth:]
+                    close(depth)
                 elif stack[depth].name in CONTAINERS:
                     break
         label, other = declared(name, tag[3])
@@ -136,8 +147,8 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(page, at)
             node.parts.append(page[at : end.start() if end else n])
             at = end.start() if end else n
-        if len(stack) < DEEPEST:
-            stack.append(node)
+        stack.append(node)
+        opened[name] += 1
     rest = page[at:]
     if rest:
         cut = re.search(r"<[/!?]?[a-zA-Z!?][^>]*$", rest)  # a tag that never ends
@@ -190,10 +201,10 @@ def folded(node: Node) -> list:
     """The tree of ``node`` with runs of like siblings as one node, and hash and size of the texts of its own."""
     texts: dict[int, list[str]] = {}
     todo, top = [node], [node.label, 1, "", 0, node.other, []]
-    holders = {id(node): top}
+    holders = {id(node): (top, 0)}
     while todo:
         current = todo.pop()
-        here = holders[id(current)]
+        here, depth = holders[id(current)]
         for part in current.parts:
             if isinstance(part, str):
                 if part and not part.isspace():
@@ -201,14 +212,19 @@ def folded(node: Node) -> list:
             elif part.name in BLOCKS or part.other or part.name in ("br", "img"):
                 if part.name in VOID:
                     continue
+                if depth == DEEPEST:
+                    if not part.other:
+                        holders[id(part)] = here, depth
+                        todo.append(part)
+                    continue
                 like = next((c for c in here[5] if c[0] == part.label), None)
                 if like is None:
                     like = [part.label, 1, "", 0, part.other, []]
                     here[5].append(like)
-                holders[id(part)] = like
+                holders[id(part)] = like, depth + 1
                 todo.append(part)
             else:  # inline elements belong to the text around them
-                holders[id(part)] = here
+                holders[id(part)] = here, depth
                 todo.append(part)
 
     def finish(tree: list) -> None:

@@ -1,3 +1,4 @@
+import json
 import re
 from html import unescape
 
@@ -99,3 +100,12 @@ def test_odd_rows(frame):
          (5, "\n".join("x" * 3000), 5999, "x")], key=str,
     )
     assert extract_text(frame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_text_after_a_deep_part():
+    deep = "<div>" * 1500 + "<nav>menu far below</nav>word" + "</div>" * 1500
+    page = f"<body><div class=box><div class=story><p>first part</p>{deep}<p>last part</p></div></div><div class=foot>other</div></body>"
+    assert main_text(page, ["html", "body", "div.box", "div.story"]) == "first part\nword\nlast part"
+    spans = "<div class=story><p>first part</p><div>" + "<font>" * 5000 + "deep</div><p>last part</p></div><div class=foot>other</div>"
+    assert main_text(spans, ["html", "div.story"]) == "first part\ndeep\nlast part"
+    json.dumps(merge(folded(parse(page)), folded(parse(page.replace("word", "term")))))
