@@ -30,7 +30,8 @@ from .reputation import url_host
 
 SALTS = 32  # first round of merging a host's templates
 DEEPEST = 200  # depth of a template; in it, what is nested deeper belongs to the node there, pages are read at any depth
-SIBLINGS = 200  # different children of a template node that are told apart, the most frequent ones
+SIBLINGS = 200  # children of a template node that are told apart if they are not on all pages; rarer ones share a slot
+SLOT = ". "  # ends the label of a slot; no class or id has white space
 
 # Elements by role in the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -275,15 +276,44 @@ def merge(a: list, b: list) -> list:
         if x < len(a[5]) and y < len(b[5]):
             children.append(merge(a[5][x], b[5][y]))
         i, j = x + 1, y + 1
-    if len(children) > SIBLINGS:
-        least = sorted((c[1] for c in children), reverse=True)[SIBLINGS - 1]
-        children = [c for c in children if c[1] >= least][:SIBLINGS]
+    pages = a[1] + b[1]
+    plain = [c for c in children if not c[0].endswith(SLOT)]
+    if len(plain) > SIBLINGS:
+        least = sorted((c[1] for c in plain), reverse=True)[SIBLINGS - 1]
+        if sum(c[1] >= least for c in plain) > SIBLINGS and least < pages:
+            least += 1
+        children = slotted(children, least)
+    elif len(plain) < len(children):
+        children = slotted(children, 0)
     same = a[2] == b[2]
-    return [a[0], a[1] + b[1], a[2] if same else "*", a[3] + b[3], a[4] and b[4], children]
+    return [a[0], pages, a[2] if same else "*", a[3] + b[3], a[4] and b[4], children]
 
 
-def wrapper_of(template: list) -> list[str]:
-    """Labels from the root to the node that holds the article.
+def slotted(children: list, least: int) -> list:
+    """``children`` with those on fewer than ``least`` pages merged into one slot for each element name, at the end.
+
+    Parts that are set apart have slots of their own, so that they do not hide or join the others.
+    """
+    kept, slots = [], {}
+    for c in children:
+        if c[0].endswith(SLOT) or c[1] < least:
+            label = c[0] if c[0].endswith(SLOT) else f"{c[0].split('.')[0]}{'.other' * c[4]}{SLOT}"
+            c = [label, *c[1:]]
+            slots[label] = merge(slots[label], c) if label in slots else c
+        else:
+            kept.append(c)
+    return kept + [slots[label] for label in sorted(slots)]
+
+
+def rare_slotted(template: list) -> list:
+    """The children of a node for choosing a wrapper: labels on less than half of its pages are slots, if there are several."""
+    rare = Counter((c[0].split(".")[0], c[4]) for c in template[5] if 2 * c[1] < template[1])
+    single = [c for c in template[5] if 2 * c[1] >= template[1] or rare[c[0].split(".")[0], c[4]] < 2]
+    return single + slotted([c for c in template[5] if not any(c is s for s in single)], template[1])
+
+
+def wrapper_of(template: list) -> list:
+    """Steps from the root to the node that holds the article: labels, or of a slot [element name, labels that are not in it].
 
     From the root down, the child with most varying text is entered while it holds over two thirds of
     what varies below. A node that says it is the article is taken where it holds most of it. With one
@@ -291,14 +321,16 @@ def wrapper_of(template: list) -> list[str]:
     """
     alone = template[1] < 2
 
-    def varying(t: list) -> int:
+    def varying(t: list, sure: bool = True) -> int:
+        """Characters that vary; what is on fewer pages than its parent does."""
         if t[4]:
             return 0
-        own = t[3] if alone or t[2] == "*" else 0
-        return own + sum(varying(c) for c in t[5])
+        own = t[3] if alone or t[2] == "*" or not sure else 0
+        return own + sum(varying(c, sure and c[1] >= t[1]) for c in t[5])
 
     path, here = [template[0]], template
     while True:
+        here = [*here[:5], here[5] if alone else rare_slotted(here)]
         if here[0].split(".")[0] in ARTICLE_NAMES:
             inner = [c for c in here[5] if c[0].split(".")[0] in ARTICLE_NAMES and not c[4]]
             if not inner:
@@ -306,12 +338,17 @@ def wrapper_of(template: list) -> list[str]:
         live = [c for c in here[5] if not c[4]]
         named = [c for c in live if c[0].split(".")[0] in ARTICLE_NAMES]
         total = varying(here)
-        best = max(named or live, key=varying, default=None)
-        if best is None or total == 0 or varying(best) < (0.34 if named else 0.67) * total:
+        size = lambda c: varying(c, c[1] >= here[1])  # noqa: E731, B023
+        best = max(named or live, key=size, default=None)
+        if best is None or total == 0 or size(best) < (0.34 if named else 0.67) * total:
             return path
         if best[0].split(".")[0] in BLOCKS - {"div", "section", "article", "main", "body", "table", "tbody", "tr", "td", "center"}:
             return path  # a paragraph is no region
-        path.append(best[0])
+        if best[0].endswith(SLOT):
+            name = best[0].split(".")[0]
+            path.append([name, sorted(c[0] for c in here[5] if c[0].split(".")[0] == name and not c[0].endswith(SLOT))])
+        else:
+            path.append(best[0])
         here = best
 
 
@@ -322,7 +359,8 @@ def located(root: Node, path: list[str]) -> list[Node]:
         below, todo = [], [p for n in reversed(here) for p in reversed(n.parts) if not isinstance(p, str)]
         while todo:
             node = todo.pop()
-            if node.label == label and not node.other:
+            fits = node.label == label if isinstance(label, str) else node.name == label[0] and node.label not in label[1]
+            if fits and not node.other:
                 below.append(node)
             elif node.name not in BLOCKS and not node.other:
                 todo += [p for p in reversed(node.parts) if not isinstance(p, str)]

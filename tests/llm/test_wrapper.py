@@ -109,3 +109,34 @@ def test_text_after_a_deep_part():
     spans = "<div class=story><p>first part</p><div>" + "<font>" * 5000 + "deep</div><p>last part</p></div><div class=foot>other</div>"
     assert main_text(spans, ["html", "div.story"]) == "first part\ndeep\nlast part"
     json.dumps(merge(folded(parse(page)), folded(parse(page.replace("word", "term")))))
+
+
+def slug(n):
+    return "x" + "".join(chr(97 + int(d)) for d in str(n))
+
+
+def induced(pages):
+    template = folded(parse(pages[0]))
+    for page in pages[1:]:
+        template = merge(template, folded(parse(page)))
+    return template, wrapper_of(json.loads(json.dumps(template)))
+
+
+def test_article_after_many_siblings_with_labels_of_their_own():
+    pages = []
+    for p in range(4):
+        boxes = "".join(f"<div class={slug(1000 * p + i)}>box</div>" for i in range(250))
+        pages.append(f"<body>{boxes}<div class=story><p>story number {p} {slug(p) * 400}</p></div></body>")
+    template, path = induced(pages)
+    assert [main_text(p, path) for p in pages] == [f"story number {p} {slug(p) * 400}" for p in range(4)]
+    body = template[5][0]
+    assert any(c[0] == "div.story" and c[1] == 4 for c in body[5]) and len(body[5]) <= 202
+
+
+def test_article_container_with_a_label_of_its_own():
+    pages = [
+        f"<body><div class=top>same</div><div class={slug(p)}><p>a long story of {slug(p)}</p></div><div class=box><p>{p} {p}</p></div></body>"
+        for p in range(100, 106)
+    ]
+    path = induced(pages)[1]
+    assert [main_text(p, path) for p in pages] == [f"a long story of {slug(p)}" for p in range(100, 106)]
