@@ -257,9 +257,17 @@ def linked_classes(classes: DataFrame, least: float, block: int) -> DataFrame:
         big = sizes.where(F.col("count") > block)
         fits = members.join(sizes.where(F.col("count") <= block).select("node"), "node", "left_semi")
         leaves = fits if leaves is None else leaves.unionByName(fits)
-        if level == MOST_LEVELS or big.isEmpty():
+        if big.isEmpty():
             break
         level += 1
+        if level > MOST_LEVELS:  # what centres have not parted is dealt out evenly, and compared with all that its parent is
+            many = F.ceil(2 * F.col("count") / block)
+            dealt = members.join(big, "node").withColumn("child", F.xxhash64("node", F.pmod(F.xxhash64("cid"), many)))
+            dealt = cut_lineage(dealt.select(*[c for c in members.columns if c != "node"], F.col("child").alias("node"), F.col("node").alias("parent")))
+            none = F.lit(None).cast("array<double>").alias("centre")
+            tables.append(cut_lineage(dealt.select("node", "parent").distinct().select("node", "parent", none, F.lit(4.0).alias("radius"))))
+            leaves = leaves.unionByName(dealt.drop("parent"))
+            break
         members, nodes = split_nodes(members, big, level, block)
         tables.append(cut_lineage(nodes))
     packed = cut_lineage(

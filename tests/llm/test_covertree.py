@@ -63,3 +63,16 @@ def test_odd_rows(frame):
         tuple(x if i != 3 else r[0] == r[2] for i, x in enumerate(r)) for r in by_hand(rows, 0.93)
     ]
     assert near_duplicates(frame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("levels", [0, 1])
+def test_no_vector_is_lost_at_the_last_level(spark, monkeypatch, levels):
+    from hostledger.llm import covertree
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 8))
+    rows = [(i, (base[i % 40] + rng.normal(size=8) * 0.1).tolist(), "x") for i in range(400)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    wanted = sorted(map(tuple, covertree.near_duplicates(vectors).collect()))
+    monkeypatch.setattr(covertree, "MOST_LEVELS", levels)
+    assert sorted(map(tuple, covertree.near_duplicates(vectors, block=20).collect())) == wanted
