@@ -60,6 +60,57 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN m + 1.645 * sqrt(m *
 FROM ruled JOIN m3 USING (host)
 """
 
+# Trees level by level, the siblings of every leaf, and the digests folded along them.
+OP12 = """
+WITH RECURSIVE d AS (
+    SELECT doc_id, lang, n_chars, '|' || coalesce(strlen(text) || ':' || text, '-') AS shown,
+      coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+        || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+      xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda crc, b:
+        list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, i:
+          xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 7 = 0 AS altered
+    FROM documents
+), claimed AS (
+    SELECT *, n_chars::HUGEINT + CASE WHEN altered THEN 1 ELSE 0 END AS claim FROM d
+), leaves AS (
+    SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || shown[2:]) AS leaf,
+      sha256(head || coalesce(strlen(claim::VARCHAR) || ':' || claim, '-') || shown[2:]) AS claimed_leaf
+    FROM claimed
+), ranked AS (
+    SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, leaf) AS id,
+      dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+      row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+), nodes(tree, level, n, pos, h) AS (
+    SELECT tree, 0, count(*) OVER (PARTITION BY tree), pos, leaf FROM ranked
+    UNION ALL
+    SELECT tree, level + 1, (n + 1) // 2, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1
+    GROUP BY tree, level, n, pos // 2
+), crown(level, n, pos, h) AS (
+    SELECT 0, count(*) OVER (), tree, h FROM nodes WHERE n = 1
+    UNION ALL
+    SELECT level + 1, (n + 1) // 2, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM crown WHERE n > 1 GROUP BY level, n, pos // 2
+), steps AS (
+    SELECT r.id, l.level AS k, CASE WHEN s.pos < r.pos >> l.level THEN s.h ELSE '' END || '|' ||
+      CASE WHEN s.pos > r.pos >> l.level THEN s.h ELSE '' END AS step
+    FROM ranked r JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) l USING (tree)
+    LEFT JOIN nodes s ON s.tree = r.tree AND s.level = l.level AND s.pos = xor(r.pos >> l.level, 1)
+    UNION ALL
+    SELECT r.id, 1000 + l.level, CASE WHEN s.pos < r.tree >> l.level THEN s.h ELSE '' END || '|' ||
+      CASE WHEN s.pos > r.tree >> l.level THEN s.h ELSE '' END
+    FROM ranked r CROSS JOIN (SELECT DISTINCT level FROM crown WHERE n > 1) l
+    LEFT JOIN crown s ON s.level = l.level AND s.pos = xor(r.tree >> l.level, 1)
+), paths AS (
+    SELECT id, list(coalesce(step, '|') ORDER BY k) AS path FROM steps GROUP BY id
+), proved AS (
+    SELECT r.doc_id, r.leaf, c.h AS subroot, (SELECT h FROM crown WHERE n = 1) AS root,
+      sha256(replace(array_to_string(coalesce(path, []), ''), '|', '')) AS proof_sha256,
+      list_reduce(list_prepend(r.claimed_leaf, coalesce(path, [])), lambda h, s:
+        sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))) AS folded_root
+    FROM ranked r JOIN crown c ON c.level = 0 AND c.pos = r.tree LEFT JOIN paths p USING (id)
+)
+SELECT *, folded_root = root AS verified FROM proved
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5, "op9_embedding_duplicates": OP9}
+    return {"op5_url_filter": OP5, "op9_embedding_duplicates": OP9, "op12_merkle": OP12}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import covertree, lines, mixing, neighbours, packing, reputation, simhash, tokens, toxicity, wrapper
+from . import covertree, lines, merkle, mixing, neighbours, packing, reputation, simhash, tokens, toxicity, wrapper
 
 URL_RULES = [
     reputation.Rule("allow", "com/"),
@@ -72,5 +72,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh document, by its checksum, claims one character more than it was recorded with."""
+    altered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    more = F.col("n_chars").cast("decimal(20,0)") + F.when(altered, 1).otherwise(0)
+    proved = merkle.prove(table(spark, sf_dir, "documents"), changed={"n_chars": more})
+    found = merkle.folded(F.coalesce("changed_leaf", "leaf"), F.col("path"))
+    rows = proved.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), found.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and "_" in name}

@@ -10,7 +10,7 @@ from verification import compare
 
 def test_one_query_for_each_operator():
     names = list(queries.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert entry.queries()["pipeline"] is corpus_pipeline.run and set(names) <= set(entry.queries())
 
 
