@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import covertree, lines, merkle, mixing, neighbours, packing, reputation, simhash, tokens, toxicity, wrapper
+from . import alignment, covertree, lines, merkle, mixing, neighbours, packing, reputation, simhash, tokens, toxicity, wrapper
 
 URL_RULES = [
     reputation.Rule("allow", "com/"),
@@ -82,5 +82,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_documents(documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and "_" in name}
