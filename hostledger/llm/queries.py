@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, covertree, lines, merkle, mixing, neighbours, packing, reputation, simhash, tokens, toxicity, wrapper
+from . import alignment, covertree, lines, merkle, mixing, neighbours, packing, personal, reputation, simhash, tokens, toxicity, wrapper
 
 URL_RULES = [
     reputation.Rule("allow", "com/"),
@@ -72,6 +72,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts are those of base spans."""
+    found = personal.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(base) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in personal.KINDS]
+    digest = F.sha2(personal.shown(base), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, personal.shown(F.col("spans")).alias("spans"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh document, by its checksum, claims one character more than it was recorded with."""
     altered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
