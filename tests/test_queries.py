@@ -5,10 +5,10 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from verification import compare, oracle, queries
+from verification import compare, features_sql, oracle, queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = queries.queries(), oracle.oracle_sql()
+QUERIES, ORACLES = queries.queries(), oracle.oracle_sql() | features_sql.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are missing")
 

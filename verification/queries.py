@@ -25,6 +25,7 @@ from hostledger.session import cut_lineage, scratch_path
 from hostledger.sources import exports, snapshots
 from hostledger.streaming import streams
 
+from . import features
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -724,4 +725,4 @@ def queries() -> dict[str, Query]:
         inventory_scan,
     ):
         found[run.__name__] = run
-    return found
+    return found | features.queries()
