@@ -18,6 +18,8 @@ from ..functions.urls import (
     normalize_url,
     resolve_parts,
 )
+from ..session import cut_lineage
+from .hostrules import with_host_verdict
 from .preprocess import cap_per_pattern, with_normalized
 
 # The attribute that holds the link of each tag.
@@ -112,10 +114,14 @@ def mark_scope(
     name: str = "in_scope",
     disallowed_hosts: tuple = (),
     disallowed_subdomains: tuple = (),
+    rules: DataFrame | None = None,
     **path_rules,
 ) -> DataFrame:
     """Add whether ``url`` is in scope. ``seed_hosts`` is a frame of distinct ``host`` values.
 
+    ``rules`` is a table of host rules, see ``judge_hosts``; ``df`` with its hosts is then written once, as it is
+    read for the hosts and for the rows.
+
     The host table joins by equality: small ones are broadcast at run time, large ones shuffle and a
     host with very many links is split by the adaptive skew join.
     """
@@ -129,9 +135,12 @@ def mark_scope(
         staged = staged.join(known, F.lower("_host") == F.col("_seed_host"), "left")
         is_seed = F.coalesce(F.col("_is_seed"), F.lit(False))
     inside = in_scope_host(host, is_seed, disallowed_hosts, disallowed_subdomains)
+    if rules is not None:
+        staged = with_host_verdict(cut_lineage(staged), rules, "_host", "_by_rules")
+        inside = inside & F.coalesce(F.col("_by_rules"), F.lit(False))
     inside = parts.valid & (host != "") & inside & in_scope_path(parts.plain_path, **path_rules)
     out = staged.withColumn(name, F.coalesce(inside, F.lit(False)))
-    return drop_parts(out, "_s_").drop("_host", "_seed_host", "_is_seed")
+    return drop_parts(out, "_s_").drop("_host", "_seed_host", "_is_seed", "_by_rules")
 
 
 def asset_inventory(links: DataFrame, keys: tuple = ("page_id",)) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hostledger.functions import urls as U
 from hostledger.operators import content as C
 from hostledger.operators import editscript as E
+from hostledger.operators import hostrules as H
+from hostledger.operators import links as L
 
 from . import fixtures as fx
 
@@ -55,5 +58,37 @@ def edit_replay(spark, sf):
     return rebuilt.select("url", F.sha2("old_text", 256).alias("old_hash"), F.sha2("new_text", 256).alias("new_hash"))
 
 
+# ---- host rules --------------------------------------------------------------------------------
+
+
+def host_rules(spark, sf) -> DataFrame:
+    """Rules made from the hosts of all pages: a blocked domain, exceptions from it, blocked hosts and subdomain parts."""
+    hosts = fx.pages(spark, sf).select("page_id", U.extract_host("url").alias("host"))
+    one = hosts.select(
+        F.when(F.col("page_id") % 4 == 1, "allow").when(F.col("page_id") % 4 == 2, "block").when(F.col("page_id") % 25 == 4, "subdomain").alias("kind"),
+        F.when(F.col("page_id") % 4 != 0, F.upper("host")).otherwise(F.regexp_replace("host", r"\.example\.[a-z]+$", "")).alias("value"),
+    )
+    return one.where("kind is not null").union(hosts.select(F.lit("block"), F.lit("example.net")).limit(1)).union(
+        hosts.where("page_id % 4 = 3").select(F.lit("block"), F.regexp_replace("host", "^.*(example)[.](org)$", "$2.$1"))
+    )
+
+
+def in_scope_host_rules(spark, sf):
+    hosts = fx.url_variants(spark, sf).select(U.extract_host("url").alias("host"))
+    return H.judge_hosts(hosts, host_rules(spark, sf))
+
+
+def discovered_by_rules(spark, sf):
+    links = L.extract_links(fx.pages(spark, sf))
+    scope = {"disallowed_subdomains": ("spam-farm", "blog.ththan"), "rules": host_rules(spark, sf)}
+    return L.discovered_urls(links, fx.seeds(spark, sf), scope=scope)
+
+
 def queries():
-    return {run.__name__: run for run in (line_edit_script, edit_segments, edit_summary, edit_replay)}
+    return {
+        run.__name__: run
+        for run in (
+            line_edit_script, edit_segments, edit_summary, edit_replay,
+            in_scope_host_rules, discovered_by_rules,
+        )
+    }
