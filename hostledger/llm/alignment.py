@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 from ..session import cut_lineage
 from .batches import kept_in_worker, portions, send_small_batches
 from .packing import as_ids
-from .tokens import ALPHABET, BYTE_SPLIT, CACHE_SIZE, LONGEST_KEPT, PLAIN, as_bytes, chunks
+from .tokens import ALPHABET, BYTE_SPLIT, CACHE_SIZE, DIGITS, LETTERS, LONGEST_KEPT, PLAIN, as_bytes, chunks
 
 AT_ONCE = 1 << 20  # characters aligned at a time
 LINKS_AT_ONCE = 1 << 22  # links expanded at a time
@@ -33,31 +33,14 @@ LARGE_GROUP = 1 << 12  # links of a group from which equal ids are merged first
 FREQUENT = 1 << 18  # id pairs looked up without a join, 5 MB when sent
 ID_BITS = 20  # of a token id; both vocabularies must be smaller
 DOT = "▁"
-UNIT = re.compile(" +[^ ]*")
+LETTER = re.compile(f"[{LETTERS}{DIGITS}]")
+UNIT = re.compile(rf"\s*(?<! )'(?:[sdmt]|ll|ve|re)[{LETTERS}]*|\s*(?:[{LETTERS}]+|[{DIGITS}]+|[^\s{LETTERS}{DIGITS}]+)|\s+")
 
 
-class Pieces(dict):
-    """Token ids of a unit of text as little-endian 32-bit bytes; two generations are kept."""
-
-    def __init__(self):
-        super().__init__()
-        self.before: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.before.get(piece) or as_ids(self.encoded(piece))
-        if len(piece) <= LONGEST_KEPT:
-            if len(self) >= CACHE_SIZE:
-                self.before = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
-class ByteLevel(Pieces):
+class ByteLevel:
     """A byte-level BPE file of the tokenizers library; strings of special tokens are plain text."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         back = {c: b for b, c in ALPHABET.items()}
@@ -67,25 +50,21 @@ class ByteLevel(Pieces):
             if all(c in back for c in entry):
                 self.bytes[at] = bytes(back[c] for c in entry)
 
-    def encoded(self, piece: str) -> Iterator[int]:
-        return (t.id for t in self.tokenizer.model.tokenize(as_bytes(piece)))
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        tokenize = self.tokenizer.model.tokenize
+        return [as_ids([t.id for piece in BYTE_SPLIT.findall(unit) for t in tokenize(as_bytes(piece))]) for unit in units]
 
     def encode(self, chunk: str) -> bytes:
-        if not PLAIN.fullmatch(chunk):
-            return as_ids(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        return b"".join(map(self.__getitem__, BYTE_SPLIT.findall(chunk)))
+        return as_ids(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
 
-class WithSpace(Pieces):
-    """A sentencepiece model that puts a space before a text, and none of whose pieces has one inside.
-
-    No piece crosses from a word to the next space, so the units between are encoded one by one.
-    """
+class WithSpace:
+    """A sentencepiece model that puts a space before a text, and none of whose pieces spans words."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes = []
+        self.bytes: list[bytes] = []
+        self.across: set[str] = set()  # pairs of characters that a piece joins over the end of a unit
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             if self.model.is_control(i) or self.model.is_unknown(i):
@@ -95,15 +74,60 @@ class WithSpace(Pieces):
             else:
                 if DOT in piece.lstrip(DOT):
                     raise ValueError("a piece spans words")
-                self.bytes.append(piece.replace(DOT, " ").encode())
-        self.ahead = len(self.model.encode("x"))
-
-    def encoded(self, piece: str) -> list[int]:
-        return self.model.encode("x" + piece)[self.ahead :]
+                text = piece.replace(DOT, " ")
+                self.bytes.append(text.encode())
+                ends = [m.end() for m in UNIT.finditer(text)][:-1]
+                self.across |= {text[end - 1 : end + 1] for end in ends}
+        self.ahead = {before: len(self.model.encode(before)) for before in "x."}
+
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of units, each behind a character that no piece joins with its first one."""
+        before = ["." if LETTER.match(unit) else "x" for unit in units]
+        found = self.model.encode([x + unit for x, unit in zip(before, units, strict=True)], num_threads=1)
+        return [as_ids(ids[self.ahead[x] :]) for x, ids in zip(before, found, strict=True)]
 
     def encode(self, chunk: str) -> bytes:
         """The ids of a chunk that starts with a space."""
-        return b"".join(map(self.__getitem__, UNIT.findall(chunk)))
+        return as_ids(self.model.encode(chunk[1:]))
+
+
+class Encoder:
+    """Ids of chunks on both sides, unit by unit from a cache of two generations.
+
+    A unit is a word, a number or a run of signs with the white space before it. Both tokenizers end
+    a token where a unit ends, in chunks of characters that all sides class alike and without the
+    pairs of characters over which a piece of side b goes on; other chunks are encoded whole.
+    """
+
+    def __init__(self, path_a: str, path_b: str):
+        self.a, self.b = ByteLevel(path_a), WithSpace(path_b)
+        self.held: dict[str, tuple[bytes, bytes]] = {}
+        self.before: dict[str, tuple[bytes, bytes]] = {}
+
+    def look_up(self, units: list[str]) -> list[tuple[bytes, bytes]]:
+        found = list(map(self.held.get, units))
+        if None not in found:
+            return found
+        missing = {unit: self.before.get(unit) for unit, ids in zip(units, found, strict=True) if ids is None}
+        fresh = [unit for unit, ids in missing.items() if ids is None]
+        missing |= zip(fresh, zip(self.a.encode_units(fresh), self.b.encode_units(fresh), strict=True), strict=True)
+        if len(self.held) + len(missing) > CACHE_SIZE:
+            self.before, self.held = self.held, {}
+        self.held |= {unit: ids for unit, ids in missing.items() if len(unit) <= LONGEST_KEPT}
+        return [missing[unit] if ids is None else ids for unit, ids in zip(units, found, strict=True)]
+
+    def encode(self, parts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """The ids of every chunk on side a and on side b."""
+        plain = [bool(PLAIN.fullmatch(part)) and not any(pair in part for pair in self.b.across) for part in parts]
+        units = [UNIT.findall(part) if good else [] for part, good in zip(parts, plain, strict=True)]
+        found = self.look_up([unit for own in units for unit in own])
+        at, out = 0, ([], [])
+        for part, own, good in zip(parts, units, plain, strict=True):
+            ids = found[at : at + len(own)] if good else [(self.a.encode(part), self.b.encode(part))]
+            at += len(own)
+            for side in (0, 1):
+                out[side].append(b"".join([pair[side] for pair in ids]))
+        return out
 
 
 @dataclass
@@ -212,9 +236,10 @@ class Aligner:
     """Both tokenizers with the bytes of their ids, and the text forms of groups."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = ByteLevel(path_a), WithSpace(path_b)
-        self.tables = [pa.array(side.bytes, pa.binary()) for side in (self.a, self.b)]
-        self.sizes = [np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b)]
+        self.encoder = Encoder(path_a, path_b)
+        sides = self.encoder.a, self.encoder.b
+        self.tables = [pa.array(side.bytes, pa.binary()) for side in sides]
+        self.sizes = [np.array([len(x) for x in side.bytes], np.int64) for side in sides]
         if max(map(len, self.sizes)) > 1 << ID_BITS:
             raise ValueError("a vocabulary is too large")
         forms = [f"{i}{mark}" for side, end in zip(self.sizes, "|;", strict=True) for i in range(len(side)) for mark in ("," + end)]
@@ -223,8 +248,7 @@ class Aligner:
     def align(self, parts: list[tuple[int, str]], found: list[Found]) -> None:
         """Add the ``parts`` (document, chunk that starts with a space) to what is known of their documents."""
         ids, docs = [], []
-        for side in (self.a, self.b):
-            data = [side.encode(chunk) for _, chunk in parts]
+        for data in self.encoder.encode([chunk for _, chunk in parts]):
             ids.append(np.frombuffer(b"".join(data), np.uint32).astype(np.int64))
             docs.append(np.repeat([doc for doc, _ in parts], [len(d) // 4 for d in data]))
         whole = [chunk.encode("utf-8", "surrogatepass") for _, chunk in parts]

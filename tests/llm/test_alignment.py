@@ -26,7 +26,7 @@ def plain_tokens(text):
     for i in B.encode(text):
         piece = B.id_to_piece(i)
         side_b.append((i, bytes([int(piece[3:5], 16)]) if B.is_byte(i) else piece.replace("▁", " ").encode()))
-    return [(i, ALIGNER.a.bytes[i]) for i in A.encode(" " + text, add_special_tokens=False).ids], side_b
+    return [(i, ALIGNER.encoder.a.bytes[i]) for i in A.encode(" " + text, add_special_tokens=False).ids], side_b
 
 
 def plain_groups(text):
@@ -69,6 +69,7 @@ def plain_rows(texts):
 TEXTS = [
     "", "a", " ", "  two  spaces ", "Hello world, it's fine.", "line\nline\n\n\tx", "<|endoftext|> and </s> <s> <unk>", "a▁b c", "x" * 999, "日本語のテキスト 一二三", "😀🙂 emoji 🙂",
     "naïve café – “quoted”", "nul\x00byte", "1234567 89", "ﬁ ①", "​﻿", "aaaa" * 50 + " " + "ab" * 300, "é", "<0x41> [x]", "\r\n", "tab\tend ", "ü" * 40, "▁", " ▁x", "don’t I'll", "а б в",
+    "d'tune l'reau ''s 'ss' x'lle", "5². 5².² a;\r\nb),\r", "\n\nword \n word\r\r", "a1b22c.d,e(f)g", "x\n 's", "12.34,5", "...?!”, “a”.", "\t\t if (x) {\r\n}",
 ]
 
 
@@ -79,7 +80,7 @@ def test_groups_of_texts(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(st.sampled_from("aeZé '’slt1² \n\t.-<>|▁\xa0日😀"), max_size=40), max_size=6))
+@given(st.lists(st.text(st.sampled_from("aeZé '’slt1² \n\t\r.-;<>|▁\xa0日😀"), max_size=40), max_size=6))
 def test_groups_of_any_texts(texts):
     for text, found in zip(texts, aligned(texts, ALIGNER), strict=True):
         assert found.row()[:5] == tuple(plain_rows([text])[0][i] for i in (0, 1, 2, 3, 6))
@@ -94,6 +95,20 @@ def test_overlaps_are_the_tokens_that_share_a_byte():
     assert set(zip(*overlaps(a, b), strict=True)) == want
 
 
+@settings(max_examples=1500, deadline=None)
+@given(st.text(st.sampled_from("aesltvrdéß''’12½²  \n\t\r.;,)(-“”–€x"), max_size=30))
+def test_units_give_the_ids_of_whole_texts(text):
+    ids = [np.frombuffer(b"".join(side), np.uint32).tolist() for side in ALIGNER.encoder.encode([" " + text])]
+    assert ids == [A.encode(" " + text, add_special_tokens=False).ids, B.encode(text) if text else B.encode("x ")[-1:]]
+
+
+def test_cache_of_two_generations(monkeypatch):
+    monkeypatch.setattr(alignment, "CACHE_SIZE", 12)
+    small, texts = Aligner(*PATHS), [" ".join(f"w{i * i % 90} and" for i in range(n)) for n in range(60)]
+    assert [f.row()[4] for t in texts for f in aligned([t], small)] == [f.row()[4] for f in aligned(texts, ALIGNER)]
+    assert len(small.encoder.held) <= 24
+
+
 def test_small_portions_give_the_same(monkeypatch):
     texts = ["some words, and  more  words\n\nit's 12 " * 30, "x▁" * 99 + " end " * 99, "plain text " * 50 + "x" * 300, None, "aa"]
     want = [tuple(map(str, f.row()[:5])) + (f.row()[5].tolist(), f.row()[6].tolist()) for f in aligned(texts, ALIGNER)]
