@@ -7,12 +7,14 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ..operators.diff import diff_every_session, fold_inventory, fold_sessions, session_inventory
 from ..operators.preprocess import with_normalized
 from ..operators.probes import with_diff_keys
-from ..session import cut_lineage
+from ..session import SETTINGS, cut_lineage
+
+PATTERN_AGE_MS = 30 * 24 * 3600 * 1000  # a pattern is forgotten after thirty days without a new URL
 
 
 def stream_dedupe_urls(urls: DataFrame, ts: str, delay: str = "1 hour", url: str = "url") -> DataFrame:
@@ -22,30 +24,50 @@ def stream_dedupe_urls(urls: DataFrame, ts: str, delay: str = "1 hour", url: str
 
 
 def _pattern_cap(max_similar: int, ttl_ms: int | None):
-    """Lets the first ``max_similar`` URLs of a pattern pass; the state holds the URLs that passed.
+    """Lets the first ``max_similar`` URLs of a pattern pass.
 
-    The function is local, so that workers get it by value.
+    A value holds how many have passed, a map which ones. The value expires ``ttl_ms`` after the last
+    one that passed, and a timer then clears the map. The class is local, so that workers get it by value.
     """
 
-    def cap(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known = list(state.get[0]) if state.exists else []
-        room = max_similar - len(known)
-        best = None
-        for pdf in batches:
-            if room > 0:
+    class PatternCap(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.passed = handle.getValueState("passed", "n int", ttl_ms)
+            self.seen = handle.getMapState("seen", "norm string", "pos bigint")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            n = self.passed.get()[0] if self.passed.exists() else 0
+            if not n and self.seen.exists():  # expired, and the timer is still to come
+                self.seen.clear()
+            if n >= max_similar:
+                return
+            known = [norm for (norm,) in self.seen.keys()] if n else []
+            best = None
+            for pdf in rows:
                 fresh = pdf[~pdf["norm"].isin(known)]
                 both = fresh if best is None else pd.concat([best, fresh])
-                best = both.sort_values("pos").drop_duplicates("norm").head(room)
-        if best is not None and len(best):
-            state.update((known + best["norm"].tolist(),))
+                best = both.sort_values("pos").drop_duplicates("norm").head(max_similar - n)
+            if best is None or not len(best):
+                return
+            for norm, pos in zip(best["norm"], best["pos"], strict=True):
+                self.seen.updateValue((norm,), (int(pos),))
+            self.passed.update((n + len(best),))
+            if ttl_ms:
+                for (at,) in [(t,) if isinstance(t, int) else t for t in self.handle.listTimers()]:
+                    self.handle.deleteTimer(at)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + ttl_ms)
             yield best[["pattern", "norm", "pos"]]
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
 
-    return cap
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.passed.clear()
+            self.seen.clear()
+            yield pd.DataFrame()
+
+        def close(self) -> None:
+            pass
+
+    return PatternCap()
 
 
 def _thin_out(max_similar: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -59,12 +81,15 @@ def _thin_out(max_similar: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
 
 def stream_cap_per_pattern(
     urls: DataFrame, max_similar: int = 1, url: str = "url", pos: str = "pos", mode: str = "preprocess",
-    ttl_ms: int | None = None,
+    ttl_ms: int | None = PATTERN_AGE_MS,
 ) -> DataFrame:
     """The URLs of a stream, look-alikes capped, in order of micro-batch and then ``pos``.
 
     Each Arrow batch is thinned to ``max_similar`` URLs per pattern before the shuffle, so a pattern
-    with most rows sends few of them to its task, which holds ``max_similar`` URLs at a time.
+    with most rows sends few of them to its task, which holds ``max_similar`` URLs at a time. A
+    pattern is forgotten ``ttl_ms`` after its last URL that passed; with None it is kept forever. Needs
+    the RocksDB state store. While there is a limit of age, Spark makes micro-batches without data to
+    look after timers, without end under ``availableNow``; ``run_available`` turns them off.
     """
     rows = (
         with_normalized(urls, url, mode)
@@ -75,16 +100,39 @@ def stream_cap_per_pattern(
     return (
         rows.mapInPandas(_thin_out(max_similar), schema)
         .groupBy("pattern")
-        .applyInPandasWithState(
+        .transformWithStateInPandas(
             _pattern_cap(max_similar, ttl_ms),
             outputStructType=schema,
-            stateStructType="norms array<string>",
-            outputMode="append",
-            timeoutConf="ProcessingTimeTimeout" if ttl_ms else "NoTimeout",
+            outputMode="Append",
+            timeMode="ProcessingTime" if ttl_ms else "None",
         )
     )
 
 
+def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Append what ``stream`` makes of the input there is to the Parquet table at ``path``, then stop.
+
+    Micro-batches without data are off for this query, and the state store is RocksDB, as stateful processors need.
+    """
+    spark = stream.sparkSession
+    wanted = {
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+        "spark.sql.streaming.stateStore.providerClass": SETTINGS["spark.sql.streaming.stateStore.providerClass"],
+    }
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        query = (
+            stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    query.awaitTermination()
+
+
 GENERATION = 16  # micro-batches that are kept apart before they are folded into one
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 from hostledger.operators import diff as D
 from hostledger.operators.preprocess import preprocess_urls
@@ -15,8 +16,7 @@ def feed(spark, source, rows, schema):
 
 
 def drain(stream, spark, out, state):
-    (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
-     .trigger(availableNow=True).start().awaitTermination())
+    streams.run_available(stream, out, state)
     return spark.read.schema(stream.schema).parquet(out).collect()
 
 
@@ -42,6 +42,38 @@ def test_cap_equals_batch_cap(spark):
     assert sorted((r["norm"], r["pos"]) for r in rows) == sorted((r["norm"], r["pos"]) for r in batch)
 
 
+def stored_state(spark, state, variable):
+    return spark.read.format("statestore").option("path", state).option("stateVarName", variable).load().collect()
+
+
+def test_a_pattern_is_forgotten_after_its_age(spark):
+    """Two patterns fill up; once their age has passed, the state is gone and their URLs pass again."""
+    source, out, state = (scratch_path(spark, n) for n in ("src", "out", "state"))
+    at = dt.datetime(2024, 1, 1)
+    page = lambda i, p: (i, f"http://h/{p}/{i}", at)
+    cap = lambda stream: streams.stream_cap_per_pattern(stream, max_similar=2, ttl_ms=6000)
+    rows = drain(cap(feed(spark, source, [page(1, "a"), page(2, "a"), page(3, "a"), page(4, "b")], URLS)), spark, out, state)
+    assert sorted(r["pos"] for r in rows) == [1, 2, 4]
+    assert len(stored_state(spark, state, "passed")) == 2 and len(stored_state(spark, state, "seen")) == 3
+    time.sleep(7)
+    rows = drain(cap(feed(spark, source, [page(5, "a"), page(6, "c")], URLS)), spark, out, state)
+    assert sorted(r["pos"] for r in rows) == [1, 2, 4, 5, 6]  # a starts anew
+    time.sleep(7)
+    drain(cap(feed(spark, source, [page(7, "d")], URLS)), spark, out, state)
+    assert [r["key"]["pattern"] for r in stored_state(spark, state, "passed")] == [r["key"]["pattern"] for r in stored_state(spark, state, "seen")]
+    assert len(stored_state(spark, state, "seen")) == 1
+
+
+def test_a_pattern_is_kept_without_an_age(spark):
+    source, out, state = (scratch_path(spark, n) for n in ("src", "out", "state"))
+    for first in (0, 20, 40):
+        stream = feed(spark, source, urls(first, 20), URLS)
+        rows = drain(streams.stream_cap_per_pattern(stream, ttl_ms=None), spark, out, state)
+    batch = preprocess_urls(spark.createDataFrame(urls(0, 60), URLS), max_similar=1).collect()
+    assert sorted(r["norm"] for r in rows) == sorted(r["norm"] for r in batch)
+    assert sum(r["value"]["n"] for r in stored_state(spark, state, "passed")) == len(rows)
+
+
 PROBES = "probe_id bigint, input_url string, final_url string, status_code int, error string, scan_session_id string, scan_ts timestamp"
 
 

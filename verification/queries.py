@@ -587,15 +587,7 @@ def line_diff_counts(spark, sf):
 def _run_to_table(spark, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there and read what it wrote."""
     out = scratch_path(spark, name)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", scratch_path(spark, name + "-state"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    streams.run_available(stream, out, scratch_path(spark, name + "-state"))
     return spark.read.schema(stream.schema).parquet(out)
 
 
