@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hostledger.sources.tables import read_table
 
-CURRENT_SESSION = "2024-01-30"
 ORDER = ["scan_ts", "probe_id"]
 
 
@@ -54,6 +53,11 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def current_session(spark: SparkSession, sf_dir: str) -> str | None:
+    """The last session of ``probes``."""
+    return table(spark, sf_dir, "events").agg(F.date_format(F.max("ts"), "yyyy-MM-dd")).first()[0]
+
+
 def mixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages with links in other tags, quotes and spellings in place of their own, as (page_id, url, html)."""
     n = F.col("page_id").cast("string")

@@ -329,14 +329,15 @@ def roots(urls: str, edges: str, seeds: str) -> str:
 
 # ---- diff --------------------------------------------------------------------------------------
 
+LAST_SESSION = "(SELECT max(CAST(CAST(ts AS DATE) AS VARCHAR)) FROM events)"
 KEYED = rf"""
     SELECT *, regexp_extract(input_url, '^https?://([^/?#:]+)', 1) AS host,
       coalesce(nullif(final_url, ''), input_url) AS url_key FROM ({PROBES})
 """
-NOW = f"SELECT * FROM ({KEYED}) WHERE scan_session_id = '2024-01-30'"
+NOW = f"SELECT * FROM ({KEYED}) WHERE scan_session_id = {LAST_SESSION}"
 BEFORE_ALL = f"""
     SELECT k.* FROM ({KEYED}) k JOIN (SELECT host, max(scan_session_id) AS last FROM ({KEYED})
-      WHERE scan_session_id < '2024-01-30' GROUP BY host) m ON m.host = k.host AND m.last = k.scan_session_id
+      WHERE scan_session_id < {LAST_SESSION} GROUP BY host) m ON m.host = k.host AND m.last = k.scan_session_id
 """
 BEFORE = f"SELECT * FROM ({BEFORE_ALL}) WHERE host IN (SELECT host FROM ({NOW}))"
 DIFF = f"""
@@ -521,6 +522,16 @@ MIXED = r"""
 """
 
 
+def dashboard(rows: str) -> str:
+    return f"""
+    SELECT total, good AS success_count, total - good AS error_count,
+      CASE WHEN total = 0 THEN 0 ELSE CAST(floor(100.0 * good / total + 0.5) AS BIGINT) END AS success_rate,
+      CASE WHEN total = 0 THEN 0 ELSE CAST(floor(100.0 * (total - good) / total + 0.5) AS BIGINT) END AS error_rate, unique_hosts,
+      (SELECT count(DISTINCT t) FROM (SELECT unnest(string_split(tech_csv, ',')) AS t FROM ({rows}))) AS unique_technologies
+    FROM (SELECT count(*) AS total, count(*) FILTER (status_code BETWEEN 200 AND 399) AS good,
+      count(DISTINCT host) AS unique_hosts FROM ({rows}))"""
+
+
 def oracle_sql() -> dict[str, str]:
     host_of_norm = r"regexp_extract(url, '^https?://([^/?#:]+)', 1)"
     return {
@@ -529,7 +540,7 @@ def oracle_sql() -> dict[str, str]:
         "target_report": f"""SELECT count(*) AS total, (SELECT count(*) FROM ({CLEAN_TARGETS})) AS ok,
             count(*) - (SELECT count(*) FROM ({CLEAN_TARGETS})) AS skipped FROM ({TARGETS})""",
         "read_snapshot": f"""SELECT original_url, host, status_code, host AS root_target_url, scan_timestamp,
-            scan_session_id FROM ({STORED}) WHERE scan_session_id = '2024-01-30'""",
+            scan_session_id FROM ({STORED}) WHERE scan_session_id = {LAST_SESSION}""",
         "read_snapshot_page": f"""SELECT original_url, scan_session_id, scan_timestamp, (SELECT count(*) FROM ({STORED})) AS n_total FROM ({STORED})
             ORDER BY scan_session_id, scan_timestamp, original_url, final_url LIMIT 25 OFFSET 50""",
         "write_snapshot": f"SELECT scan_session_id, count(*) AS n_rows FROM ({STORED}) GROUP BY 1",
@@ -546,6 +557,7 @@ def oracle_sql() -> dict[str, str]:
             {MS} AS timestamp_ms FROM ({PROBES})""",
         "scan_history_append": HISTORY,
         "last_completed_scan": f"SELECT max(start_ts) AS last_scan_start FROM ({HISTORY}) WHERE status = 'COMPLETED'",
+        "export_rows_json": f"SELECT probe_id, input_url, status_code, coalesce(tech_csv, '') AS technologies FROM ({PROBES})",
         "export_rows": f"""SELECT probe_id, input_url, status_code, CASE WHEN tech_csv IS NULL THEN '' ELSE
             concat('["', replace(tech_csv, ',', '","'), '"]') END AS technologies FROM ({PROBES})""",
         "report_parts": f"""SELECT probe_id, rn, CAST((rn + 999) // 1000 AS BIGINT) AS part, n_parts,
@@ -678,15 +690,13 @@ def oracle_sql() -> dict[str, str]:
               concat('s', probe_id % 3) AS server FROM ({PROBES}))""",
         "facets": facets(DIFF, "url_status"),
         "facets_all_sessions": facets(KEYED, "NULL"),
-        "dashboard_stats": f"""
-            SELECT total, good AS success_count, total - good AS error_count,
-              CAST(floor(100.0 * good / total + 0.5) AS BIGINT) AS success_rate,
-              CAST(floor(100.0 * (total - good) / total + 0.5) AS BIGINT) AS error_rate, unique_hosts,
-              (SELECT count(DISTINCT t) FROM (SELECT unnest(string_split(tech_csv, ',')) AS t FROM ({PROBES}))) AS unique_technologies
-            FROM (SELECT count(*) AS total, count(*) FILTER (status_code BETWEEN 200 AND 399) AS good,
-              count(DISTINCT host) AS unique_hosts FROM ({KEYED}))""",
+        "dashboard_stats": dashboard(KEYED),
         "status_distribution": f"SELECT {STATUS_CLASS} AS status_class, count(*) AS n_rows FROM ({PROBES}) GROUP BY 1",
         "diff_distribution": f"SELECT url_status, count(*) AS n_rows FROM ({DIFF}) GROUP BY 1",
+        "report_facets": facets(DIFF, "url_status"),
+        "report_stats": dashboard(DIFF),
+        "report_status": f"SELECT {STATUS_CLASS} AS status_class, count(*) AS n_rows FROM ({DIFF}) GROUP BY 1",
+        "report_distribution": f"SELECT url_status, count(*) AS n_rows FROM ({DIFF}) GROUP BY 1",
         "search_report": f"""SELECT probe_id, input_url, status_code, content_length FROM ({PROBES})
             WHERE (contains(lower(input_url), 'example.org') OR coalesce(contains(lower(final_url), 'example.org'), false))
               AND contains(lower(input_url), '/en/') AND status_code IN (200, 301) AND tech_csv IS NOT NULL

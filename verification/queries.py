@@ -89,7 +89,7 @@ def _snapshot_table(spark, sf, codec="zstd"):
 
 def read_snapshot(spark, sf):
     """One session out of the stored table."""
-    table = snapshots.read_snapshot(spark, _snapshot_table(spark, sf), session=fx.CURRENT_SESSION)
+    table = snapshots.read_snapshot(spark, _snapshot_table(spark, sf), session=fx.current_session(spark, sf))
     return table.select(
         "original_url", "host", "status_code", "root_target_url", "scan_timestamp", "scan_session_id"
     )
@@ -145,6 +145,16 @@ def export_rows(spark, sf):
     )
 
 
+def export_rows_json(spark, sf):
+    path = scratch_path(spark, "export")
+    rows = fx.probes(spark, sf).select("probe_id", "input_url", "status_code", "technologies")
+    exports.export_rows(rows, path, "json")
+    schema = "probe_id bigint, input_url string, status_code int, technologies array<string>"
+    return spark.read.schema(schema).json(path).select(
+        "probe_id", "input_url", "status_code", F.coalesce(F.array_join("technologies", ","), F.lit("")).alias("technologies")
+    )
+
+
 def report_parts(spark, sf):
     parts = R.report_parts(fx.probes(spark, sf).select("probe_id", "scan_ts"), ["scan_ts", "probe_id"])
     return parts.select("probe_id", "rn", "part", "n_parts", "part_info", "part_name")
@@ -346,7 +356,7 @@ def _keyed(spark, sf):
 
 
 def _diff(spark, sf):
-    return D.diff_sessions(_keyed(spark, sf), fx.CURRENT_SESSION, fx.ORDER)
+    return D.diff_sessions(_keyed(spark, sf), fx.current_session(spark, sf), fx.ORDER)
 
 
 def group_by_host(spark, sf):
@@ -359,12 +369,12 @@ def latest_per_key(spark, sf):
 
 
 def previous_snapshot(spark, sf):
-    rows = D.previous_snapshot(_keyed(spark, sf), fx.CURRENT_SESSION)
+    rows = D.previous_snapshot(_keyed(spark, sf), fx.current_session(spark, sf))
     return rows.select("probe_id", "host", "scan_session_id", "url_key")
 
 
 def previous_snapshot_all_hosts(spark, sf):
-    rows = D.previous_snapshot(_keyed(spark, sf), fx.CURRENT_SESSION, include_vanished_hosts=True)
+    rows = D.previous_snapshot(_keyed(spark, sf), fx.current_session(spark, sf), include_vanished_hosts=True)
     return rows.select("probe_id", "host", "scan_session_id", "url_key")
 
 
@@ -386,7 +396,7 @@ def diff_every_session(spark, sf):
 
 
 def apply_status(spark, sf):
-    probes = _keyed(spark, sf).where(F.col("scan_session_id") == fx.CURRENT_SESSION)
+    probes = _keyed(spark, sf).where(F.col("scan_session_id") == fx.current_session(spark, sf))
     return D.apply_status(probes, _diff(spark, sf)).select("probe_id", "url_status")
 
 
@@ -394,8 +404,8 @@ def diff_and_store(spark, sf):
     """The stored rows of the current session after the job."""
     probes = fx.probes(spark, sf)
     keyed = PR.with_host(probes)
-    previous = D.previous_snapshot(keyed, fx.CURRENT_SESSION)
-    current = keyed.where(F.col("scan_session_id") == fx.CURRENT_SESSION)
+    previous = D.previous_snapshot(keyed, fx.current_session(spark, sf))
+    current = keyed.where(F.col("scan_session_id") == fx.current_session(spark, sf))
     base = scratch_path(spark, "diffed")
     no_names = lambda df: df.drop("technologies")
     pipelines.diff_and_store(no_names(current), no_names(previous), base, fx.ORDER)
@@ -544,10 +554,30 @@ def sample_targets(spark, sf):
     return S.sample_targets(_targets(spark, sf))
 
 
+def _report(spark, sf) -> dict[str, DataFrame]:
+    """All tables of a report of the last session."""
+    return pipelines.report(_diff(spark, sf), ["url_status", "input_url", "timestamp", "content_length"], 100)
+
+
 def report(spark, sf):
     """Rows per part and status of a whole report."""
-    tables = pipelines.report(_diff(spark, sf), ["url_status", "input_url", "timestamp", "content_length"], 100)
-    return tables["parts"].groupBy("part", "n_parts", "url_status").agg(F.count("*").alias("n_rows"))
+    return _report(spark, sf)["parts"].groupBy("part", "n_parts", "url_status").agg(F.count("*").alias("n_rows"))
+
+
+def report_facets(spark, sf):
+    return _report(spark, sf)["facets"]
+
+
+def report_stats(spark, sf):
+    return _report(spark, sf)["stats"]
+
+
+def report_status(spark, sf):
+    return _report(spark, sf)["status"]
+
+
+def report_distribution(spark, sf):
+    return _report(spark, sf)["diff"]
 
 
 # ---- content -----------------------------------------------------------------------------------
@@ -712,6 +742,7 @@ def queries() -> dict[str, Query]:
         to_report_view, facets, facets_all_sessions, dashboard_stats, status_distribution, diff_distribution,
         search_report, probe_stats, scan_summary, validate_summary, assign_batches, batching_stats,
         merge_summaries, top_errors, clean_probes, sample_targets, report,
+        report_facets, report_stats, report_status, report_distribution, export_rows_json,
         content_history, last_known_record, records_for_url, content_changes, version_changes, line_diff_counts,
         stream_dedupe_urls, stream_cap_per_pattern, stream_url_inventory, stream_snapshots, stream_progress,
         inventory_scan,
