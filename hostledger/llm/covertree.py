@@ -5,7 +5,8 @@ upper levels are tables: nodes with too many members for one block are split aro
 sampled centres, level by level, and pairs of nodes are followed down while their covering radii
 allow a link. What is left are pairs of blocks; each is one unit of work, two cover trees in memory
 traversed together. A pair of nodes too far apart is dropped, one close enough is counted whole, and
-a unit reports per vector its number of links and one link into its group, never all pairs.
+a unit reports per vector its number of links and one link into its group, never all pairs. Two
+leaves are compared by one product in single precision, and what that cannot decide in double precision.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ CHUNK = 1024  # members of a node that are assigned together
 CENTRES = 64  # most centres that split a node at once; more only means more pairs of blocks
 MARGIN = 1e-9  # of the bounds; what is that close is compared itself
 MOST_LEVELS = 24
+LEAF = 256  # vectors of a leaf in memory, compared by one product
+POOR = 32  # centres with too few rows around them after which a node is not split further
+EXACT = 1 << 14  # pairs checked in double precision at a time
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -37,40 +41,55 @@ def chord(cosines: np.ndarray) -> np.ndarray:
 
 
 class CoverTree:
-    """Nodes over the rows of a unit matrix; node i < n is the row itself, the last node is the root."""
+    """Nodes over the rows of a unit matrix, each with a centre and the radius that covers its rows; the last one is the root.
+
+    A node of up to ``LEAF`` rows is a leaf. A larger one is split around rows that are over half the
+    radius apart; rows around which too few others lie are dealt into leaves of their own, so a node
+    whose rows lie far from each other does not fall apart into single rows.
+    """
 
     def __init__(self, x: np.ndarray):
-        self.x, n = x, len(x)
-        self.centre = list(range(n))
-        self.radius = [0.0] * n
-        self.children: list[list[int]] = [[] for _ in range(n)]
-        self.members: list[np.ndarray] = [np.array([i]) for i in range(n)]
-        self.far = chord(x @ x.T)
-        self.root = self._cover(np.arange(n), 2.0)
-        del self.far
+        self.x, self.short = x, x.astype(np.float32)
+        self.centre: list[int] = []
+        self.radius: list[float] = []
+        self.children: list[list[int]] = []
+        self.members: list[np.ndarray] = []
+        self.root = self._cover(np.arange(len(x)), 2.0)
+
+    def _node(self, rows: np.ndarray, far: np.ndarray, children: list[int]) -> int:
+        """A node whose centre is its first row, and ``far`` the distances to it."""
+        self.centre.append(int(rows[0]))
+        self.radius.append(float(far.max()))
+        self.children.append(children)
+        self.members.append(rows)
+        return len(self.centre) - 1
+
+    def _far(self, rows: np.ndarray, centre: int) -> np.ndarray:
+        far = chord(self.x[rows] @ self.x[centre])
+        far[rows == centre] = 0.0
+        return far
 
     def _cover(self, rows: np.ndarray, radius: float) -> int:
         """The node of ``rows``, which lie within ``radius`` of the first of them."""
-        if len(rows) == 1:
-            return int(rows[0])
-        centre, own = int(rows[0]), self.far[rows[0], rows]
-        least = own[1:].max()
-        while radius / 2 >= least > 0:  # levels at which nothing would be split
+        own = self._far(rows, rows[0])
+        if len(rows) <= LEAF or own.max() == 0:
+            return self._node(rows, own, [])
+        while radius / 2 >= own.max():  # levels at which nothing would be split
             radius /= 2
-        children, rest = [], rows
-        if len(rows) <= 8 or least == 0:
-            children = [int(r) for r in rows]
-        else:
-            while len(rest):
-                near = self.far[rest[0], rest] <= radius / 2
-                near[0] = True
+        children, loose, rest, poor = [], [], rows, 0
+        while len(rest) and poor < POOR:
+            near = self._far(rest, rest[0]) <= radius / 2
+            if near.sum() * 8 >= LEAF:
                 children.append(self._cover(rest[near], radius / 2))
-                rest = rest[~near]
-        self.centre.append(centre)
-        self.radius.append(float(least))
-        self.children.append(children)
-        self.members.append(rows)
-        return len(self.centre) - 1
+            else:
+                loose.append(rest[near])
+                poor += 1
+            rest = rest[~near]
+        loose = np.concatenate([*loose, rest])
+        for at in range(0, len(loose), LEAF):
+            part = loose[at : at + LEAF]
+            children.append(self._node(part, self._far(part, part[0]), []))
+        return self._node(rows, own, children)
 
 
 class DualTraversal:
@@ -81,8 +100,11 @@ class DualTraversal:
         self.a = CoverTree(unit(vectors[0]))
         self.b = self.a if same else CoverTree(unit(vectors[1]))
         self.least, self.reach = least, float(np.sqrt(2 - 2 * least))
+        # of a product of unit vectors in single precision: each component and each sum is rounded once
+        self.doubt = 4 * (vectors[0].shape[1] + 4) * float(np.finfo(np.float32).eps)
         self.links = (np.zeros(len(self.a.x), dtype=np.int64), np.zeros(len(self.b.x), dtype=np.int64))
         self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+        self.compared = 0  # pairs of rows whose product was taken
 
     def run(self) -> None:
         stack = [(self.a.root, self.b.root)]
@@ -107,44 +129,58 @@ class DualTraversal:
         self.links[0 if self.same else 1][j] += self.weights[0][i].sum()
         self.edges += [(i, np.full(len(i), j[0])), (np.full(len(j), i[0]), j)]
 
+    def _compare(self, p: int, q: int) -> None:
+        """Every pair of a row of leaf p and one of leaf q: single precision first, double where that could decide."""
+        rows, columns = self.a.members[p], self.b.members[q]
+        self.compared += len(rows) * len(columns)
+        i, j = np.nonzero(self.a.short[rows] @ self.b.short[columns].T >= self.least - self.doubt)
+        i, j = rows[i], columns[j]
+        if self.same and p == q:
+            i, j = i[i < j], j[i < j]
+        if len(i):
+            keep = self.exact(i, j)
+            if keep.any():
+                self._link(i[keep], j[keep])
+
     def _expand(self, p: int, q: int) -> list[tuple[int, int]]:
+        """What is left to do for a pair of nodes whose rows may lie within reach."""
         a, b = self.a, self.b
         if self.same and p == q:
-            if not a.children[p]:
-                return []
             if 2 * a.radius[p] <= self.reach - MARGIN:
                 self._link_all(p, p)
                 return []
-        left, right = a.children[p] or [p], b.children[q] or [q]
-        ra, rb = np.array([a.radius[k] for k in left]), np.array([b.radius[k] for k in right])
-        xa, xb = a.x[[a.centre[k] for k in left]], b.x[[b.centre[k] for k in right]]
-        cosine = xa @ xb.T
-        far, room = chord(cosine), ra[:, None] + rb[None, :]
-        alive = far <= self.reach + room + MARGIN
-        points = (ra == 0)[:, None] & (rb == 0)[None, :]
-        points &= np.array([not a.children[k] for k in left])[:, None] & np.array([not b.children[k] for k in right])[None, :]
-        if self.same and p == q:
-            alive &= np.triu(np.ones_like(alive), 1)
-        whole = alive & ~points & (far + room <= self.reach - MARGIN)
-        for i, j in np.argwhere(whole):
-            self._link_all(left[i], right[j])
-        i, j = np.nonzero(alive & points & (cosine >= self.least - MARGIN))
-        if len(i):
-            doubt = np.flatnonzero(np.abs(cosine[i, j] - self.least) <= MARGIN)
-            keep = np.ones(len(i), dtype=bool)
-            for k in doubt:
-                keep[k] = self.exact(left[i[k]], right[j[k]])
-            left_, right_ = np.array(left), np.array(right)
-            self._link(left_[i[keep]], right_[j[keep]])
-        more = [(left[i], right[j]) for i, j in np.argwhere(alive & ~points & ~whole)]
-        if self.same and p == q:
-            more += [(k, k) for k in left if a.children[k]]
-        return more
-
-    def exact(self, i: int, j: int) -> bool:
-        """The cosine of two rows as given, where rounding could decide."""
-        x, y = self.originals[0][i], self.originals[1][j]
-        return float(np.dot(x, y) / (np.sqrt(np.dot(x, x)) * np.sqrt(np.dot(y, y)))) >= self.least
+            if not a.children[p]:
+                self._compare(p, p)
+                return []
+            below = a.children[p]
+            return [(c, c) for c in below] + self._near([(c, d) for k, c in enumerate(below) for d in below[k + 1 :]])
+        if not a.children[p] and not b.children[q]:
+            self._compare(p, q)
+            return []
+        return self._near([(c, d) for c in a.children[p] or [p] for d in b.children[q] or [q]])
+
+    def _near(self, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The pairs that may lie within reach; those that do with all their rows are counted at once."""
+        if not pairs:
+            return []
+        a, b = self.a, self.b
+        left, right = (np.array(side) for side in zip(*pairs, strict=True))
+        xa, xb = (tree.x[np.array(tree.centre)[side]] for tree, side in ((a, left), (b, right)))
+        far = chord(np.einsum("ij,ij->i", xa, xb))
+        room = np.array(a.radius)[left] + np.array(b.radius)[right]
+        whole = far + room <= self.reach - MARGIN
+        for k in np.flatnonzero(whole):
+            self._link_all(*pairs[k])
+        return [pairs[k] for k in np.flatnonzero(~whole & (far <= self.reach + room + MARGIN))]
+
+    def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the cosine of the rows as given, in double precision, is ``least`` or more."""
+        keep = np.empty(len(i), dtype=bool)
+        for at in range(0, len(i), EXACT):
+            x, y = self.originals[0][i[at : at + EXACT]], self.originals[1][j[at : at + EXACT]]
+            dot, xx, yy = (np.einsum("ij,ij->i", u, v) for u, v in ((x, y), (x, x), (y, y)))
+            keep[at : at + EXACT] = dot / (np.sqrt(xx) * np.sqrt(yy)) >= self.least
+        return keep
 
 
 def unit_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:

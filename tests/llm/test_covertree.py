@@ -76,3 +76,28 @@ def test_no_vector_is_lost_at_the_last_level(spark, monkeypatch, levels):
     wanted = sorted(map(tuple, covertree.near_duplicates(vectors).collect()))
     monkeypatch.setattr(covertree, "MOST_LEVELS", levels)
     assert sorted(map(tuple, covertree.near_duplicates(vectors, block=20).collect())) == wanted
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.06])
+def test_blocks_of_distant_vectors_with_planted_links(spread):
+    """Random directions cannot be pruned; their leaves are compared whole, each pair of leaves once."""
+    from hostledger.llm.covertree import LEAF, CoverTree, DualTraversal, unit
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1800, 64)).astype(np.float32).astype(np.float64)
+    x[1500:] = x[rng.integers(0, 1500, 300)] + spread * rng.normal(size=(300, 64)) * np.abs(x).mean()
+    y = x[::3] * 2 + 1e-3 * rng.normal(size=(600, 64))
+    tree = CoverTree(unit(x))
+    assert sorted(tree.members[tree.root].tolist()) == list(range(len(x)))
+    leaves = [m for m, c in zip(tree.members, tree.children, strict=True) if not c]
+    assert sorted(np.concatenate(leaves).tolist()) == list(range(len(x))) and len(leaves) <= 2 * len(x) / LEAF + 64
+    for node, (centre, radius) in enumerate(zip(tree.centre, tree.radius, strict=True)):
+        assert np.linalg.norm(tree.x[tree.members[node]] - tree.x[centre], axis=1).max() <= radius + 1e-9
+    for a, b, same in ((x, x, True), (x, y, False)):
+        work = DualTraversal((a, b), (np.ones(len(a), np.int64), np.ones(len(b), np.int64)), same, 0.93)
+        work.run()
+        near = (a @ b.T) / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(b, axis=1)[None, :] >= 0.93
+        if same:
+            np.fill_diagonal(near, False)
+        assert work.links[0].tolist() == near.sum(axis=1).tolist() and (same or work.links[1].tolist() == near.sum(axis=0).tolist())
+        assert near.any() and work.compared <= len(a) * len(b)
