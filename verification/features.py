@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hostledger.functions import urls as U
@@ -9,6 +11,8 @@ from hostledger.operators import content as C
 from hostledger.operators import editscript as E
 from hostledger.operators import hostrules as H
 from hostledger.operators import links as L
+from hostledger.operators import sketches as K
+from hostledger.session import scratch_path
 
 from . import fixtures as fx
 
@@ -84,11 +88,52 @@ def discovered_by_rules(spark, sf):
     return L.discovered_urls(links, fx.seeds(spark, sf), scope=scope)
 
 
+# ---- sketches ----------------------------------------------------------------------------------
+
+
+def _days_before_last(spark, sf, days: int) -> str:
+    return str(datetime.date.fromisoformat(fx.current_session(spark, sf)) - datetime.timedelta(days=days))
+
+
+def _sketch_table(spark, sf) -> DataFrame:
+    """Sketches of all sessions, stored in two runs; the second one reads the probes of new sessions alone."""
+    base = scratch_path(spark, "sketches")
+    probes = fx.probes(spark, sf)
+    K.write_sketches(probes.where(F.col("scan_session_id") <= _days_before_last(spark, sf, 15)), base)
+    K.write_sketches(probes, base)
+    return K.stored(spark, base)
+
+
+def dashboard_sketch(spark, sf):
+    return K.dashboard_sketch(_sketch_table(spark, sf))
+
+
+def dashboard_sketch_by_session(spark, sf):
+    rows = K.dashboard_sketch(_sketch_table(spark, sf), "session")
+    return rows.select(F.col("session").cast("string").alias("scan_session_id"), "total", "success_count", "unique_hosts", "unique_urls", "unique_technologies")
+
+
+def probe_errors(spark, sf) -> DataFrame:
+    """Error messages by session, made from the status of every probe row, as (scan_session_id, message)."""
+    host = F.regexp_extract("input_url", "^https?://([^/?#:]+)", 1)
+    status = F.coalesce(F.col("status_code").cast("string"), F.lit("no status"))
+    return fx.probes(spark, sf).select("scan_session_id", F.concat(F.lit("probe of "), host, F.lit(" gave "), status, F.lit("\n at loop")).alias("message"))
+
+
+def top_errors_between(spark, sf):
+    """The most frequent errors of the twenty days that end five days before the last session, from stored sketches."""
+    base = scratch_path(spark, "error-sketches")
+    K.write_error_sketches(probe_errors(spark, sf), base, "scan_session_id", "message")
+    table = K.within(K.stored(spark, base), _days_before_last(spark, sf, 24), _days_before_last(spark, sf, 5))
+    return K.top_errors_between(table, k=20)
+
+
 def queries():
     return {
         run.__name__: run
         for run in (
             line_edit_script, edit_segments, edit_summary, edit_replay,
             in_scope_host_rules, discovered_by_rules,
+            dashboard_sketch, dashboard_sketch_by_session, top_errors_between,
         )
     }
