@@ -27,7 +27,7 @@ from .batches import kept_in_worker, portions, send_small_batches
 from .packing import as_ids
 from .tokens import ALPHABET, BYTE_SPLIT, CACHE_SIZE, DIGITS, LETTERS, LONGEST_KEPT, PLAIN, as_bytes, chunks
 
-AT_ONCE = 1 << 20  # characters aligned at a time
+AT_ONCE = 1 << 18  # characters aligned at a time
 LINKS_AT_ONCE = 1 << 22  # links expanded at a time
 LARGE_GROUP = 1 << 12  # links of a group from which equal ids are merged first
 FREQUENT = 1 << 18  # id pairs looked up without a join, 5 MB when sent
