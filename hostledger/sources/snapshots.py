@@ -30,6 +30,85 @@ def _bucket() -> Column:
     return F.pmod(F.xxhash64("host"), F.lit(HOST_BUCKETS)).cast("int")
 
 
+INDEX_SCHEMA = "host string, host_bucket int, n_rows bigint, scan_session_id string"
+
+
+def in_folders(folders: list[tuple[str, int]]) -> Column:
+    """A partition filter for (session, host bucket) pairs: one set of values, however many there are."""
+    return F.concat_ws("/", F.col("scan_session_id"), F.col("host_bucket").cast("string")).isin([f"{s}/{b}" for s, b in folders])
+
+
+def host_sessions(spark: SparkSession, base: str) -> DataFrame:
+    """The index of the table at ``base``: host, scan_session_id, host_bucket and n_rows, a row per host and session.
+
+    ``write_snapshot`` keeps it beside the rows, in a folder that readers of the table do not see. A
+    table without one is indexed from its rows.
+    """
+    try:
+        return spark.read.schema(INDEX_SCHEMA).parquet(f"{base}/_hosts")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    table = _stored(spark, base)
+    if table is None:
+        return spark.createDataFrame([], INDEX_SCHEMA)
+    return table.groupBy("scan_session_id", "host_bucket", "host").agg(F.count("*").alias("n_rows")).select("host", "host_bucket", "n_rows", "scan_session_id")
+
+
+def _write_index(written: DataFrame, base: str) -> None:
+    """Put what ``written`` holds in place of what the index has of its folders; a file per session."""
+    spark = written.sparkSession
+    columns = ["host", "host_bucket", "n_rows", "scan_session_id"]
+    counted = cut_lineage(written.groupBy("scan_session_id", "host_bucket", "host").agg(F.count("*").alias("n_rows")).select(*columns))
+    try:
+        known = spark.read.schema(INDEX_SCHEMA).parquet(f"{base}/_hosts").select(*columns)
+        touched = counted.select("scan_session_id", "host_bucket").distinct()
+        known = known.join(touched.select("scan_session_id").distinct(), "scan_session_id", "left_semi")
+        counted = counted.unionByName(cut_lineage(known.join(touched, ["scan_session_id", "host_bucket"], "left_anti")))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    (
+        counted.hint("rebalance", "scan_session_id").sortWithinPartitions("scan_session_id", "host")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_session_id").parquet(f"{base}/_hosts")
+    )
+
+
+def sessions_before(index: DataFrame, current_session: str, include_vanished_hosts: bool = False) -> DataFrame:
+    """host, scan_session_id and host_bucket of every host's latest session before ``current_session``."""
+    before = index.where(F.col("scan_session_id") < current_session)
+    latest = before.groupBy("host", "host_bucket").agg(F.max("scan_session_id").alias("scan_session_id"))
+    if include_vanished_hosts:
+        return latest
+    present = index.where(F.col("scan_session_id") == current_session).select("host").distinct()
+    return latest.join(present, "host", "left_semi")
+
+
+def rows_of(spark: SparkSession, base: str, wanted: DataFrame) -> DataFrame:
+    """The stored rows of the ``wanted`` (host, scan_session_id, host_bucket), reading their folders alone.
+
+    The list of folders goes through the driver, which lists the folders of a table anyway.
+    """
+    wanted = cut_lineage(wanted.select("host", "scan_session_id", "host_bucket").distinct())
+    folders = [tuple(r) for r in wanted.select("scan_session_id", "host_bucket").distinct().collect()]
+    table = _stored(spark, base)
+    if table is None:
+        table = spark.createDataFrame([], TABLE_SCHEMA)
+    return table.where(in_folders(folders)).join(wanted.drop("host_bucket"), ["host", "scan_session_id"], "left_semi").drop("host_bucket")
+
+
+def read_previous_snapshot(
+    spark: SparkSession, base: str, current_session: str, include_vanished_hosts: bool = False
+) -> DataFrame:
+    """The stored rows of each host's latest session before ``current_session``, looked up in the index.
+
+    Hosts without a row in the current session are left out unless asked for. Only folders that hold
+    a row of the answer's hosts and sessions are read, however long the history is.
+    """
+    index = host_sessions(spark, base)
+    return rows_of(spark, base, sessions_before(index, current_session, include_vanished_hosts))
+
+
 def _stored(spark: SparkSession, base: str, skip_broken: bool = False) -> DataFrame | None:
     """The table at ``base``; None if there is none yet."""
     reader = spark.read.schema(TABLE_SCHEMA)
@@ -76,6 +155,8 @@ def write_snapshot(rows: DataFrame, base: str, codec: str = "zstd") -> None:
         .partitionBy("scan_session_id", "host_bucket")
         .parquet(base)
     )
+    # last, so that a write that broke off is repaired by running it again
+    _write_index(written, base)
 
 
 def read_snapshot(

@@ -13,6 +13,7 @@ from hostledger.operators import hostrules as H
 from hostledger.operators import links as L
 from hostledger.operators import sketches as K
 from hostledger.session import scratch_path
+from hostledger.sources import snapshots
 
 from . import fixtures as fx
 
@@ -128,6 +129,30 @@ def top_errors_between(spark, sf):
     return K.top_errors_between(table, k=20)
 
 
+# ---- host and session index --------------------------------------------------------------------
+
+
+def _snapshot_table(spark, sf) -> str:
+    from .queries import stored_rows
+
+    base = scratch_path(spark, "indexed")
+    snapshots.write_snapshot(stored_rows(spark, sf), base)
+    return base
+
+
+def host_sessions(spark, sf):
+    """The index after the last session was written once more."""
+    base = _snapshot_table(spark, sf)
+    snapshots.write_snapshot(snapshots.read_snapshot(spark, base, session=fx.current_session(spark, sf)), base)
+    return snapshots.host_sessions(spark, base).select("host", "scan_session_id", "n_rows")
+
+
+def previous_snapshot_stored(spark, sf):
+    base = _snapshot_table(spark, sf)
+    rows = snapshots.read_previous_snapshot(spark, base, fx.current_session(spark, sf))
+    return rows.select("original_url", "host", "scan_session_id", "scan_timestamp")
+
+
 def queries():
     return {
         run.__name__: run
@@ -135,5 +160,6 @@ def queries():
             line_edit_script, edit_segments, edit_summary, edit_replay,
             in_scope_host_rules, discovered_by_rules,
             dashboard_sketch, dashboard_sketch_by_session, top_errors_between,
+            host_sessions, previous_snapshot_stored,
         )
     }
