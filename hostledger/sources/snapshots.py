@@ -26,8 +26,8 @@ def codec_or_default(codec: str | None) -> str:
     return codec if codec in CODECS else "zstd"
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("host"), F.lit(HOST_BUCKETS)).cast("int")
+def bucket_of(host: str, buckets: int = HOST_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(buckets)).cast("int")
 
 
 INDEX_SCHEMA = "host string, host_bucket int, n_rows bigint, scan_session_id string"
@@ -137,7 +137,7 @@ def write_snapshot(rows: DataFrame, base: str, codec: str = "zstd") -> None:
         missing = F.coalesce(F.col(name), F.lit("")) == ""
         rows = rows.withColumn(name, F.when(missing, F.raise_error(F.lit(f"a snapshot row has no {name}"))).otherwise(F.col(name)))
     # computed once: the rows to keep are read from the folders that are then rewritten
-    fresh = cut_lineage(rows.select(*[f.name for f in TABLE_SCHEMA if f.name != "host_bucket"]).withColumn("host_bucket", _bucket()))
+    fresh = cut_lineage(rows.select(*[f.name for f in TABLE_SCHEMA if f.name != "host_bucket"]).withColumn("host_bucket", bucket_of("host")))
     written = fresh
     stored = _stored(rows.sparkSession, base)
     if stored is not None:

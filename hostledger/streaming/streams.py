@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
@@ -13,6 +13,7 @@ from ..operators.diff import diff_every_session, fold_inventory, fold_sessions,
 from ..operators.preprocess import with_normalized
 from ..operators.probes import with_diff_keys
 from ..session import SETTINGS, cut_lineage
+from ..sources.snapshots import bucket_of, in_folders
 
 PATTERN_AGE_MS = 30 * 24 * 3600 * 1000  # a pattern is forgotten after thirty days without a new URL
 
@@ -171,30 +172,81 @@ def read_inventory(spark: SparkSession, base: str) -> DataFrame:
     return fold_inventory(fold_sessions(parts.where(F.col("generation") == last).drop("generation", "cycle")))
 
 
-def stream_snapshots(probes: DataFrame, base: str, checkpoint: str, order: list[str]):
+def _with_text_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path`` with its sessions as text, whatever they look like in folder names."""
+    found = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType() if f.name == "scan_session_id" else f.dataType) for f in found.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def _versions(diff: DataFrame) -> DataFrame:
+    """The last version of every folder of compared rows; only names of folders are looked at."""
+    return diff.groupBy("scan_session_id", "host_bucket").agg(F.max("at").alias("at"))
+
+
+def _version_filter(versions: list) -> Column:
+    name = F.concat_ws("/", F.col("scan_session_id"), F.col("host_bucket").cast("string"), F.col("at").cast("string"))
+    return name.isin([f"{s}/{b}/{at}" for s, b, at in versions])
+
+
+def _session_index(spark: SparkSession, base: str, cycle: int) -> DataFrame:
+    """host, host_bucket and scan_session_id of all micro-batches up to ``cycle``."""
+    index = _with_text_sessions(spark, f"{base}/index")
+    generation = cycle // GENERATION
+    # a generation starts with what the one before it held
+    return index.where((F.col("generation") == generation) & (F.col("cycle") <= cycle)).select("host", "host_bucket", "scan_session_id").distinct()
+
+
+def _write_folders(df: DataFrame, path: str, *folders: str) -> None:
+    """Replace the folders that ``df`` has rows of; its rows are gathered by folder, large ones in several files."""
+    rebalanced = df.hint("rebalance", *folders)
+    rebalanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
+
+
+def stream_snapshots(probes: DataFrame, base: str, checkpoint: str, order: list[str], buckets: int = 4):
     """Diff every session of a probe stream with each host's session before, whatever way its rows arrive.
 
-    Rows are stored under ``base``/rows, a folder per micro-batch. The sessions of the hosts in a batch,
-    and the sessions that follow them, are then compared again with all rows stored so far, and take
-    the place of what ``base``/diff held for that host and session. Both steps give the same when a
-    batch runs again.
+    Rows lie under ``base``/rows, by session, bucket of hosts and micro-batch; ``base``/index knows which
+    host has which sessions. A micro-batch compares the sessions of its hosts, and the sessions that
+    follow them, with the ones before, and reads the folders of these alone. ``base``/diff takes the result as a
+    new version of every folder touched, with what the last version has of other hosts. All
+    steps give the same when a batch runs again. ``vacuum_snapshots`` deletes superseded versions.
     """
 
     def run_cycle(batch: DataFrame, cycle: int) -> None:
         spark = batch.sparkSession
-        keyed = with_diff_keys(batch)
-        keyed.write.mode("overwrite").parquet(f"{base}/rows/cycle={cycle}")
-        schema = T.StructType([*keyed.schema.fields, T.StructField("cycle", T.IntegerType())])
-        rows = spark.read.schema(schema).parquet(f"{base}/rows").where(F.col("cycle") <= cycle).drop("cycle")
-        touched = spark.read.parquet(f"{base}/rows/cycle={cycle}").select("host", "scan_session_id").distinct()
+        place = ["scan_session_id", "host_bucket"]
+        keyed = with_diff_keys(batch).where(F.col("host").isNotNull() & F.col("scan_session_id").isNotNull()).withColumn("host_bucket", bucket_of("host", buckets))
+        keyed = keyed.drop("cycle", "at").withColumn("cycle", F.lit(cycle))
+        _write_folders(keyed, f"{base}/rows", *place, "cycle")
+        generation = cycle // GENERATION
+        if generation and cycle % GENERATION == 0:
+            _write_part(_session_index(spark, base, cycle - 1), f"{base}/index", generation, -1)
+        _write_part(keyed.select("host", *place).distinct(), f"{base}/index", generation, cycle)
+        touched = _with_text_sessions(spark, f"{base}/index/generation={generation}/cycle={cycle}").select("host", "scan_session_id")
+        sessions = _session_index(spark, base, cycle).join(touched.select("host").distinct(), "host", "left_semi")
         # a session that comes before a stored one changes what that one is compared with
-        sessions = rows.select("host", "scan_session_id").distinct()
         ahead = Window.partitionBy("host").orderBy("scan_session_id")
         marked = sessions.join(touched.withColumn("_touched", F.lit(True)), ["host", "scan_session_id"], "left")
-        marked = marked.withColumn("_before", F.lag("_touched").over(ahead))
-        wanted = cut_lineage(marked.where("_touched or _before").select("host", "scan_session_id"))
+        marked = marked.withColumn("_wanted", F.coalesce(F.col("_touched") | F.lag("_touched").over(ahead), F.lag("_touched").over(ahead), F.lit(False)))
+        needed = marked.withColumn("_needed", F.col("_wanted") | F.coalesce(F.lead("_wanted").over(ahead), F.lit(False)))
+        needed = cut_lineage(needed.where("_needed").select("host", *place, "_wanted"))
+        folders = [tuple(r) for r in needed.select(*place).distinct().collect()]  # of the hosts in the batch
+        if not folders:
+            return
+        schema = T.StructType([f for f in keyed.schema.fields if f.name not in (*place, "cycle")] + [keyed.schema[c] for c in (*place, "cycle")])
+        rows = spark.read.schema(schema).parquet(f"{base}/rows").where(in_folders(folders) & (F.col("cycle") <= cycle)).drop("cycle")
+        rows = rows.join(needed.select("host", "scan_session_id"), ["host", "scan_session_id"], "left_semi")
+        wanted = needed.where("_wanted").select("host", "scan_session_id")
         diff = diff_every_session(rows, order, only=wanted)
-        diff.withColumn("cycle", F.lit(cycle)).write.mode("overwrite").parquet(f"{base}/diff/at={cycle}")
+        changed = [tuple(r) for r in needed.where("_wanted").select(*place).distinct().collect()]
+        if cycle and _exists(spark, f"{base}/diff"):
+            before = spark.read.schema(T.StructType([*diff.schema.fields, T.StructField("at", T.IntegerType())])).parquet(f"{base}/diff")
+            before = before.where(in_folders(changed) & (F.col("at") < cycle))
+            last = [tuple(r) for r in _versions(before).collect()]
+            kept = before.where(_version_filter(last)).join(wanted, ["host", "scan_session_id"], "left_anti").drop("at")
+            diff = diff.unionByName(kept)
+        _write_folders(diff.withColumn("at", F.lit(cycle)), f"{base}/diff", *place, "at")
 
     return (
         probes.writeStream.foreachBatch(run_cycle)
@@ -204,11 +256,32 @@ def stream_snapshots(probes: DataFrame, base: str, checkpoint: str, order: list[
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
 def read_snapshots(spark: SparkSession, base: str) -> DataFrame:
-    """The compared rows of every session: of each host and session, those of the last micro-batch that compared it."""
-    diff = spark.read.parquet(f"{base}/diff").drop("at")
-    last = diff.groupBy("host", "scan_session_id").agg(F.max("cycle").alias("cycle"))
-    return diff.join(last, ["host", "scan_session_id", "cycle"], "left_semi").drop("cycle")
+    """The compared rows of every session, from the last version of each folder."""
+    diff = _with_text_sessions(spark, f"{base}/diff")
+    return diff.join(_versions(diff), ["scan_session_id", "host_bucket", "at"], "left_semi").drop("at", "host_bucket")
+
+
+def vacuum_snapshots(spark: SparkSession, base: str) -> int:
+    """Delete the versions of compared rows before the last two of every folder, and say how many.
+
+    The one before the last stays, since a batch that runs again reads it. Not while the stream runs.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/diff")
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    versions: dict[str, list] = {}
+    for status in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/diff/*/*/at=*")) or []:
+        path = status.getPath()
+        versions.setdefault(path.getParent().toString(), []).append((int(path.getName()[3:]), path))
+    old = [path for found in versions.values() for _, path in sorted(found, key=lambda v: v[0])[:-2]]
+    for path in old:
+        system.delete(path, True)
+    return len(old)
 
 
 class ProgressCounters(StreamingQueryListener):

@@ -106,6 +106,44 @@ def test_snapshots_and_inventory(spark):
         assert D.url_inventory(whole).exceptAll(streams.read_inventory(spark, base)).isEmpty()
 
 
+def test_a_batch_reads_the_folders_of_its_hosts(spark, tmp_path, monkeypatch):
+    """Twenty batches, a session each; what a batch reads of rows and compared rows stays the same."""
+    monkeypatch.setattr(streams, "GENERATION", 4)
+    source, state = (str(tmp_path / n) for n in ("src", "state"))
+    base = f"file:{tmp_path}/cycles"
+    rows, opened = [], []
+    real = streams.in_folders
+    monkeypatch.setattr(streams, "in_folders", lambda folders: opened.append(set(folders)) or real(folders))
+    for n in range(20):
+        fresh = [(100 * n + i, f"http://h{i % 3}.test/{(i + n) % 5}", None, 200, None, f"2024-03-{n + 1:02d}", dt.datetime(2024, 3, 1 + n, 0, 0, i)) for i in range(9)]
+        rows += fresh
+        feed(spark, source, fresh, PROBES)
+    stream = spark.readStream.schema(PROBES).option("maxFilesPerTrigger", 1).parquet(source)
+    streams.stream_snapshots(stream, base, state, ["scan_ts", "probe_id"], buckets=16).awaitTermination()
+    sizes = [len(x) for x in opened]
+    # this session's and the last one's folders of three hosts for the rows, this session's for what was compared
+    assert sizes == [3] + 19 * [6, 3]
+    columns = ["scan_session_id", "host", "url_key", "probe_id", "url_status"]
+    wanted = D.diff_every_session(with_diff_keys(spark.createDataFrame(rows, PROBES)), ["scan_ts", "probe_id"]).select(*columns)
+    got = streams.read_snapshots(spark, base).select(*columns)
+    assert got.exceptAll(wanted).isEmpty() and wanted.exceptAll(got).isEmpty()
+    index = spark.read.parquet(f"{base}/index")
+    assert index.where("generation = 4 and cycle = -1").count() == 16 * 3 and index.agg({"generation": "max"}).first()[0] == 4
+
+
+def test_superseded_versions_are_deleted(spark, tmp_path):
+    source, state, base = str(tmp_path / "src"), str(tmp_path / "state"), f"file:{tmp_path}/cycles"
+    for n in range(4):
+        feed(spark, source, [probe(n, f"http://a/{n}", 1), probe(10 + n, f"http://b/{n}", 2)], PROBES)
+    stream = spark.readStream.schema(PROBES).option("maxFilesPerTrigger", 1).parquet(source)
+    streams.stream_snapshots(stream, base, state, ["scan_ts", "probe_id"]).awaitTermination()
+    columns = ["scan_session_id", "host", "url_key", "probe_id", "url_status"]
+    before = sorted(map(tuple, streams.read_snapshots(spark, base).select(*columns).collect()))
+    assert len(before) == 8 and streams.vacuum_snapshots(spark, base) == 2 * 2 and streams.vacuum_snapshots(spark, base) == 0
+    spark.catalog.refreshByPath(f"{base}/diff")
+    assert sorted(map(tuple, streams.read_snapshots(spark, base).select(*columns).collect())) == before
+
+
 def test_inventory_is_folded(spark, monkeypatch):
     monkeypatch.setattr(streams, "GENERATION", 2)
     source, base, state = (scratch_path(spark, n) for n in ("src", "inv", "state"))
