@@ -40,3 +40,15 @@ def number_rows(
         .drop("_at", "_part", "_offset")
     )
     return numbered.withColumnRenamed("_total", total) if total else numbered.drop("_total")
+
+
+def running_total(df: DataFrame, order: Sequence[Column | str], value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over the rows before each row in ``order`` (which must be total), spread over all tasks."""
+    placed = cut_lineage(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", LOCAL_BITS))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_part").agg(F.sum(value).alias("_sum"))  # one row per partition
+    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_inside")).drop("_at", "_part", "_offset", "_inside")

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from ..operators.numbering import running_total
 from ..operators.probes import STORAGE_SCHEMA
 from ..session import cut_lineage
 
@@ -195,3 +196,82 @@ def read_snapshot(
         table = table.offset(offset) if offset else table
         table = table.limit(limit) if limit is not None else table
     return table
+
+
+PAGE_KEY = ["scan_session_id", "host", "original_url", "scan_timestamp", "final_url", "row_hash"]
+
+
+def _page_of(spark: SparkSession, base: str, groups: list, skip: int, n: int, after: dict | None = None) -> DataFrame:
+    """``n`` rows of the hosts in ``groups`` (session, bucket, host), in the order of ``PAGE_KEY``, from ``skip`` or ``after`` on."""
+    table = _stored(spark, base)
+    if table is None:
+        table = spark.createDataFrame([], TABLE_SCHEMA)
+    sessions: dict[str, set] = {}
+    for session, _, host in groups:
+        sessions.setdefault(session, set()).add(host)
+    table = table.where(in_folders(sorted({(s, b) for s, b, _ in groups})) & F.col("host").isin(sorted({h for _, _, h in groups})))
+    # a host of one session may be in the folders of another one
+    wanted = [F.struct(F.lit(s), F.lit(h)) for s, hosts in sessions.items() for h in sorted(hosts)]
+    table = table.where(F.struct("scan_session_id", "host").isin(wanted) if wanted else F.lit(False)).drop("host_bucket")
+    plain = [f.name for f in table.schema.fields if not isinstance(f.dataType, T.MapType)]
+    rows = table.withColumn("row_hash", F.xxhash64(*plain))
+    if after is not None:
+        there = (F.col("scan_session_id") == after["scan_session_id"]) & (F.col("host") == after["host"])
+        url = F.col("original_url")
+        rows = rows.where(~there | (url >= after["original_url"]))  # reaches the scan
+        rest = [("scan_timestamp", after["scan_timestamp"]), ("final_url", after["final_url"] or ""), ("row_hash", after["row_hash"])]
+        later, equal = url > after["original_url"], url == after["original_url"]
+        for name, value in rest:
+            at = F.coalesce(F.col(name), F.lit("")) if name == "final_url" else F.coalesce(F.col(name), F.lit(-(1 << 63)))
+            value = -(1 << 63) if value is None else value
+            later, equal = later | (equal & (at > value)), equal & (at == value)
+        rows = rows.where(~there | later)
+    order = ["scan_session_id", "host", "original_url", F.coalesce("scan_timestamp", F.lit(-(1 << 63))), F.coalesce("final_url", F.lit("")), "row_hash"]
+    rows = rows.orderBy(*order)
+    return (rows.offset(skip) if skip else rows).limit(n)
+
+
+def snapshot_page(spark: SparkSession, base: str, n: int, offset: int = 0) -> DataFrame:
+    """``n`` rows from position ``offset`` on, in the order of ``PAGE_KEY``, with ``row_hash``.
+
+    The index tells which hosts of which session the page shows; only their folders are read, and of
+    these only row groups that can hold such a host. So a page deep in the table costs what the
+    first one does, but for a host larger than a page, which is read as a whole: go on from row to row with ``snapshot_page_after``.
+    """
+    index = host_sessions(spark, base)
+    sums = sorted((r["scan_session_id"], r["n"]) for r in index.groupBy("scan_session_id").agg(F.sum("n_rows").alias("n")).collect())  # a row per session
+    before, sessions, first = 0, [], None
+    for session, rows in sums:
+        if before < offset + n and before + rows > offset:
+            first = before if first is None else first
+            sessions.append(session)
+        before += rows
+    if not sessions:
+        return _page_of(spark, base, [], 0, n)
+    placed = running_total(index.where(F.col("scan_session_id").isin(sessions)), ["scan_session_id", "host"], "n_rows", "rows_before")
+    start = offset - first
+    groups = placed.where((F.col("rows_before") < start + n) & (F.col("rows_before") + F.col("n_rows") > start)).collect()  # n hosts at most
+    skip = start - min(g["rows_before"] for g in groups)
+    return _page_of(spark, base, [(g["scan_session_id"], g["host_bucket"], g["host"]) for g in groups], skip, n)
+
+
+def snapshot_page_after(spark: SparkSession, base: str, n: int, after: dict) -> DataFrame:
+    """The ``n`` rows that follow ``after``, a row of a page: the values of ``PAGE_KEY``.
+
+    Reads the rest of that row's host, from its URL on, and of the next hosts as many as fill the page.
+    Rows that are equal in every column follow each other as one: none of them comes after another.
+    """
+    index = host_sessions(spark, base)
+    at = (F.col("scan_session_id") > after["scan_session_id"]) | ((F.col("scan_session_id") == after["scan_session_id"]) & (F.col("host") >= after["host"]))
+    groups, filled = [], 0
+    for g in index.where(at).orderBy("scan_session_id", "host").limit(n + 1).collect():  # every host has a row
+        groups.append((g["scan_session_id"], g["host_bucket"], g["host"]))
+        filled += g["n_rows"] if (g["scan_session_id"], g["host"]) != (after["scan_session_id"], after["host"]) else 0
+        if filled >= n:
+            break
+    return _page_of(spark, base, groups, 0, n, after)
+
+
+def snapshot_total(spark: SparkSession, base: str) -> int:
+    """How many rows the table has, from its index."""
+    return host_sessions(spark, base).agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]

@@ -73,3 +73,38 @@ def test_a_table_without_an_index_is_indexed_from_its_rows(spark):
 def test_no_table_and_no_session_before(spark, history):
     assert S.read_previous_snapshot(spark, scratch_path(spark, "none"), "x").count() == 0
     assert S.read_previous_snapshot(spark, history[0], "2024-01-01 10:00").count() == 0
+
+
+def keys(rows):
+    return [(r.scan_session_id, r.host, r.original_url, r.scan_timestamp, r.row_hash) for r in rows]
+
+
+def test_pages_laid_end_to_end_are_the_table(spark, history):
+    base, rows = history
+    total = S.snapshot_total(spark, base)
+    assert total == len(rows) == 60
+    by_place = [S.snapshot_page(spark, base, 17, at).collect() for at in range(0, total + 17, 17)]
+    assert [len(p) for p in by_place] == [17, 17, 17, 9, 0]
+    seen = keys([r for p in by_place for r in p])
+    assert seen == sorted(seen) and len(set(seen)) == 60
+    page, chained = by_place[0], list(by_place[0])
+    while page:
+        page = S.snapshot_page_after(spark, base, 17, page[-1].asDict()).collect()
+        chained += page
+    assert keys(chained) == seen
+
+
+def test_a_page_reads_the_folders_of_its_hosts(spark, history):
+    page = S.snapshot_page(spark, history[0], 4, 31)
+    plan = page._jdf.queryExecution().optimizedPlan().toString()
+    folders = plan.split("concat_ws(/")[1].split(" IN (")[1].split(")")[0] if " IN (" in plan.split("concat_ws(/")[1][:90] else plan.split("concat_ws(/")[1].split("= ")[1].split(")")[0]
+    assert 1 <= len(folders.split(",")) <= 2 and len(page.collect()) == 4
+
+
+def test_pages_of_ties_and_of_no_table(spark):
+    base = scratch_path(spark, "snapshots")
+    same = [probe(7, "a", 1)] * 5 + [probe(8, "a", 1)]
+    S.write_snapshot(stored(spark, same), base)
+    first = S.snapshot_page(spark, base, 4).collect()
+    assert len(first) == 4 and [r.original_url for r in S.snapshot_page(spark, base, 9, 4).collect()] == ["http://a.test/7", "http://a.test/8"]
+    assert S.snapshot_page(spark, scratch_path(spark, "none"), 5).count() == 0 and S.snapshot_total(spark, scratch_path(spark, "none")) == 0

@@ -153,6 +153,15 @@ def previous_snapshot_stored(spark, sf):
     return rows.select("original_url", "host", "scan_session_id", "scan_timestamp")
 
 
+def snapshot_page(spark, sf):
+    """The third page by its position, and the one after its last row."""
+    base = _snapshot_table(spark, sf)
+    page = snapshots.snapshot_page(spark, base, 25, 50).orderBy(*snapshots.PAGE_KEY)
+    last = page.collect()[-1].asDict()
+    both = page.unionByName(snapshots.snapshot_page_after(spark, base, 25, last))
+    return both.select("scan_session_id", "host", "original_url", "scan_timestamp", F.lit(snapshots.snapshot_total(spark, base)).cast("long").alias("n_total"))
+
+
 def queries():
     return {
         run.__name__: run
@@ -160,6 +169,6 @@ def queries():
             line_edit_script, edit_segments, edit_summary, edit_replay,
             in_scope_host_rules, discovered_by_rules,
             dashboard_sketch, dashboard_sketch_by_session, top_errors_between,
-            host_sessions, previous_snapshot_stored,
+            host_sessions, previous_snapshot_stored, snapshot_page,
         )
     }
