@@ -38,7 +38,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 HEADED = set("head title meta link base".split())
 SKIPPED = set(
-    "script style template noscript head title nav header footer aside form button select option textarea input iframe object "
+    "script style template noscript head title nav header footer aside button select option textarea input iframe object "
     "svg canvas audio video map dialog menu fieldset datalist xmp noembed noframes math".split()
 )
 BLOCKS = set(
@@ -60,6 +60,12 @@ ROLES = set(
     "sidebar side aside widget widgets share sharing social related recommended comment comments disqus reply replies respond discussion "
     "toolbar pagination pager search complementary contentinfo".split()
 )
+# Words that say where such a part stands or how it looks, beside a word of ``ROLES`` in one name.
+PLACES = set(
+    "left right top bottom upper lower first last inner outer site page global main primary secondary box area block bar panel wrapper "
+    "container wrap section list item items link links unit slot zone inline wide text content mobile desktop fixed sticky post entry "
+    "blog user google".split()
+)
 ARTICLE_NAMES = {"article", "main"}
 TAG = re.compile(
     r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL
@@ -80,6 +86,15 @@ class Node:
     parts: list = field(default_factory=list)
 
 
+def names_part(value: str) -> bool:
+    """Whether one of the names in a class, id or role is that of a part, with nothing else in it: sidebar-left, not has-sidebar."""
+    for name in value.split():
+        found = WORD.findall(name)
+        if ROLES.intersection(found) and all(word in ROLES or word in PLACES for word in found):
+            return True
+    return False
+
+
 def declared(name: str, attributes: str) -> tuple[str, bool]:
     """The label of an element for alignment (name, first class word or id), and whether it is set apart."""
     if not attributes:
@@ -90,13 +105,32 @@ def declared(name: str, attributes: str) -> tuple[str, bool]:
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             other = True
         elif key != "aria-hidden" and value:
-            if name not in ("html", "body", *ARTICLE_NAMES) and ROLES.intersection(WORD.findall(value)):
+            if name not in ("html", "body", *ARTICLE_NAMES) and names_part(value):
                 other = True
             if key == "class" or label == name:
                 label = f"{name}.{DIGITS.sub('#', value.split()[0])}" if value.split() else label
     return label, other
 
 
+def set_forms_apart(root: Node) -> None:
+    """Set forms apart, but for those round an article or main element or round most of the page's text."""
+    order, at = [root], 0
+    while at < len(order):
+        order += [part for part in order[at].parts if not isinstance(part, str)]
+        at += 1
+    if not any(node.name == "form" for node in order):
+        return
+    chars: dict[int, int] = {}
+    holds: dict[int, bool] = {}
+    for node in reversed(order):
+        below = [part for part in node.parts if not isinstance(part, str) and not part.other]
+        chars[id(node)] = sum(len(part) for part in node.parts if isinstance(part, str)) + sum(chars[id(part)] for part in below)
+        holds[id(node)] = node.name in ARTICLE_NAMES or any(holds[id(part)] for part in below)
+    for node in order:
+        if node.name == "form" and not holds[id(node)] and 2 * chars[id(node)] <= chars[id(root)]:
+            node.other = True
+
+
 def parse(page: str) -> Node:
     """The DOM of ``page``; unclosed elements end where the standard says or at the end of their parent."""
     root = Node("html", "html", False)
@@ -154,6 +188,7 @@ def parse(page: str) -> Node:
     if rest:
         cut = re.search(r"<[/!?]?[a-zA-Z!?][^>]*$", rest)  # a tag that never ends
         stack[-1].parts.append(rest[: cut.start()] if cut else rest)
+    set_forms_apart(root)
     return root
 
 

@@ -140,3 +140,36 @@ def test_article_container_with_a_label_of_its_own():
     ]
     path = induced(pages)[1]
     assert [main_text(p, path) for p in pages] == [f"a long story of {slug(p)}" for p in range(100, 106)]
+
+
+ARTICLES = [" ".join(f"w{k * n % 97}" for k in range(2, 52)) for n in range(3, 11)]
+MENU = "<nav><a href=/>Home</a></nav>"
+SEARCH = "<form action=/s><label>Search here</label><input name=q></form>"
+CONTAINERS = {
+    "plain class": ("<div class=content><p>", "</p></div>"),
+    "state class": ('<div class="content has-sidebar"><p>', "</p></div>"),
+    "negated class": ('<div class="entry no-comments"><p>', "</p></div>"),
+    "tag class": ('<div class="post tag-social-media"><p>', "</p></div>"),
+    "topic class": ('<div class="news-alert story"><p>', "</p></div>"),
+    "slug id": ('<div id="side-effects-of-x"><p>', "</p></div>"),
+    "page form": ("<form id=aspnetForm><div><p>", "</p></div></form>"),
+    "form round an article": ("<form><article><p>", "</p></article></form>"),
+    "no class": ("<div><p>", "</p></div>"),
+}
+
+
+@pytest.mark.parametrize("kind", CONTAINERS)
+def test_articles_stay_whatever_their_container_is_called(frame, kind):
+    before, after = CONTAINERS[kind]
+    pages = [
+        (i, f"http://host.test/{i}", f'<html><body>{MENU}{SEARCH}<div class="sidebar-left">About us</div>{before}{a}{after}<div class="ad-box">Buy {i}</div>'
+         f'<div class="comments">Nice, {i}</div><footer>bye</footer></body></html>')
+        for i, a in enumerate(ARTICLES)
+    ]
+    got = {r.page_id: r.text for r in extract_text(frame(pages, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(ARTICLES))
+
+
+def test_forms_without_the_article_are_set_apart():
+    assert text(f"<p>{ARTICLES[0]}</p><form><p>Your name</p><input></form>") == ARTICLES[0]
+    assert text(f"<form><p>{ARTICLES[0]}</p><form>x</form></form><p>bye</p>").startswith(ARTICLES[0])
