@@ -163,14 +163,15 @@ def top_errors(errors: DataFrame, message: str = "error", max_length: int = 800)
     """The most frequent error digests as numbered lines within ``max_length`` characters.
 
     A line has at least four characters, so ``max_length`` digests are more than can fit and the
-    windows below run over that many rows at most.
+    windows below run over that many rows at most. The number of digests is taken from the same grouping,
+    counts and all: pruned to the digests alone it would be another plan, which reads ``errors`` again.
     """
     counted = (
         errors.where(F.col(message) != "")
         .groupBy(error_digest(message).alias("digest"))
         .agg(F.count("*").alias("n_errors"))
     )
-    whole = counted.agg(F.count("*").alias("_n")).withColumn("_one", F.lit(1))
+    whole = counted.agg(F.count_if(F.col("n_errors") > 0).alias("_n")).withColumn("_one", F.lit(1))
     by_count = [F.col("n_errors").desc(), F.col("digest")]
     top = counted.orderBy(*by_count).limit(max_length)
     ranked = top.withColumns({"rank": F.row_number().over(Window.orderBy(*by_count)), "_one": F.lit(1)})

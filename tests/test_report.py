@@ -131,6 +131,15 @@ def test_top_errors(spark):
     assert text(["w" * 140], max_length=100) == ["w" * 47 + "..."]
 
 
+def test_top_errors_reads_its_rows_once(spark):
+    errors = spark.range(3000).select(F.concat(F.lit("error "), (F.col("id") % 900).cast("string")).alias("error"))
+    top = S.top_errors(errors)
+    lines = [r["line"] for r in sorted(top.collect(), key=lambda r: r["rank"])]
+    assert lines[:3] == ["1. error 0", "2. error 1", "3. error 10"]
+    ran = top._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert ran.count("Range (") == 1
+
+
 def test_history(spark):
     log = spark.createDataFrame(
         [("s1", "STARTED", AT, None), ("s1", "COMPLETED", AT, "r.html"), ("s2", "STARTED", AT.replace(day=2), None)],

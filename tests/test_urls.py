@@ -122,6 +122,11 @@ def test_error_text(apply):
         "\n".join("abcdefghij"): "\n".join("abcdefgh"),
         "": "",
     })
+    check(apply, lambda s: TX.error_digest(s, max_lines=2), {
+        "\n\xa0\n \u3000a\t\n\n\x0b\nb\r\nc": "a\nb",
+        "x" * 200 + "\n \n" + "d/e.json\n" * 3: "x" * 147 + "...\ne.json",
+        "\n \n": "",
+    })
     check(apply, TX.is_cancellation, {
         "normal error": False, "context canceled": True, "error: context cancelled": True, "CONTEXT CANCELED": True,
         "Context Deadline Exceeded": True,
