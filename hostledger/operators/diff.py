@@ -100,6 +100,27 @@ def diff_every_session(
     return fresh.unionByName(gone)
 
 
+def diff_keys(keys: DataFrame, sessions: DataFrame, session: str = "scan_session_id") -> DataFrame:
+    """What ``diff_every_session`` says of every key, without its rows: ``host``, ``url_key``, the session and ``url_status``.
+
+    ``keys`` has every host, key and session once. ``sessions`` (host, session, ``_wanted``) lists the
+    sessions that are compared and the ones before them. An ``old`` key has the session that its last row is in, ``seen_in``.
+    """
+    ahead = Window.partitionBy("host").orderBy("seen_in")
+    following = sessions.select("host", F.col(session).alias("seen_in"), "_wanted").withColumns(
+        {"_next": F.lead("seen_in").over(ahead), "_compared": F.lead("_wanted").over(ahead)}
+    )
+    following = following.where("_compared").select("host", "seen_in", "_next")
+    place = [*KEYS, session]
+    before = keys.withColumnRenamed(session, "seen_in").join(following, ["host", "seen_in"])
+    before = before.select(*KEYS, F.col("_next").alias(session), "seen_in")
+    current = keys.join(sessions.where("_wanted"), ["host", session], "left_semi").select(*place, F.lit(True).alias("_current"))
+    status = F.when(F.col("_current").isNull(), "old").when(F.col("seen_in").isNull(), "new").otherwise("existing")
+    seen_in = F.when(F.col("_current").isNull(), F.col("seen_in"))
+    # a key is there once on either side, so no key can own many rows
+    return current.join(before, place, "full").select(*place, status.alias("url_status"), seen_in.alias("seen_in"))
+
+
 def diff_counts(diff: DataFrame) -> DataFrame:
     """new / old / existing per host, and in total where ``host`` is null."""
     return diff.rollup("host").agg(

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
-from ..operators.diff import diff_every_session, fold_inventory, fold_sessions, session_inventory
+from ..operators.diff import KEYS, diff_keys, fold_inventory, fold_sessions, session_inventory
 from ..operators.preprocess import with_normalized
-from ..operators.probes import with_diff_keys
+from ..operators.probes import latest_per_key, with_diff_keys
 from ..session import SETTINGS, cut_lineage
 from ..sources.snapshots import bucket_of, in_folders
 
@@ -135,6 +135,7 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 GENERATION = 16  # micro-batches that are kept apart before they are folded into one
+ORDER_KEY = "_order"  # what says which row of a key is the last, stored with the rows
 
 
 def _write_part(df: DataFrame, base: str, generation: int, cycle: int) -> None:
@@ -180,7 +181,7 @@ def _with_text_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _versions(diff: DataFrame) -> DataFrame:
-    """The last version of every folder of compared rows; only names of folders are looked at."""
+    """The last version of every folder of compared keys; only names of folders are looked at."""
     return diff.groupBy("scan_session_id", "host_bucket").agg(F.max("at").alias("at"))
 
 
@@ -208,21 +209,24 @@ def stream_snapshots(probes: DataFrame, base: str, checkpoint: str, order: list[
 
     Rows lie under ``base``/rows, by session, bucket of hosts and micro-batch; ``base``/index knows which
     host has which sessions. A micro-batch compares the sessions of its hosts, and the sessions that
-    follow them, with the ones before, and reads the folders of these alone. ``base``/diff takes the result as a
-    new version of every folder touched, with what the last version has of other hosts. All
-    steps give the same when a batch runs again. ``vacuum_snapshots`` deletes superseded versions.
+    follow them, with the ones before, and reads the keys in the folders of these alone. ``base``/diff takes the status of
+    every key as a new version of every folder touched, with what the last version has of other hosts. A row is written
+    once; ``read_snapshots`` puts the status to it. All steps give the same when a batch runs again.
+    ``vacuum_snapshots`` deletes superseded versions.
     """
 
     def run_cycle(batch: DataFrame, cycle: int) -> None:
         spark = batch.sparkSession
         place = ["scan_session_id", "host_bucket"]
         keyed = with_diff_keys(batch).where(F.col("host").isNotNull() & F.col("scan_session_id").isNotNull()).withColumn("host_bucket", bucket_of("host", buckets))
-        keyed = keyed.drop("cycle", "at").withColumn("cycle", F.lit(cycle))
+        keyed = keyed.drop("cycle", "at").withColumn(ORDER_KEY, F.struct(*order)).withColumn("cycle", F.lit(cycle))
         _write_folders(keyed, f"{base}/rows", *place, "cycle")
         generation = cycle // GENERATION
         if generation and cycle % GENERATION == 0:
             _write_part(_session_index(spark, base, cycle - 1), f"{base}/index", generation, -1)
-        _write_part(keyed.select("host", *place).distinct(), f"{base}/index", generation, cycle)
+        schema = T.StructType([f for f in keyed.schema.fields if f.name not in (*place, "cycle")] + [keyed.schema[c] for c in (*place, "cycle")])
+        stored = spark.read.schema(schema).parquet(f"{base}/rows")
+        _write_part(stored.where(F.col("cycle") == cycle).select("host", *place).distinct(), f"{base}/index", generation, cycle)
         touched = _with_text_sessions(spark, f"{base}/index/generation={generation}/cycle={cycle}").select("host", "scan_session_id")
         sessions = _session_index(spark, base, cycle).join(touched.select("host").distinct(), "host", "left_semi")
         # a session that comes before a stored one changes what that one is compared with
@@ -234,11 +238,10 @@ def stream_snapshots(probes: DataFrame, base: str, checkpoint: str, order: list[
         folders = [tuple(r) for r in needed.select(*place).distinct().collect()]  # of the hosts in the batch
         if not folders:
             return
-        schema = T.StructType([f for f in keyed.schema.fields if f.name not in (*place, "cycle")] + [keyed.schema[c] for c in (*place, "cycle")])
-        rows = spark.read.schema(schema).parquet(f"{base}/rows").where(in_folders(folders) & (F.col("cycle") <= cycle)).drop("cycle")
-        rows = rows.join(needed.select("host", "scan_session_id"), ["host", "scan_session_id"], "left_semi")
+        keys = stored.where(in_folders(folders) & (F.col("cycle") <= cycle)).select(*KEYS, "scan_session_id")
+        keys = keys.join(needed, ["host", "scan_session_id"], "left_semi").distinct()
         wanted = needed.where("_wanted").select("host", "scan_session_id")
-        diff = diff_every_session(rows, order, only=wanted)
+        diff = diff_keys(keys, needed).withColumn("host_bucket", bucket_of("host", buckets))
         changed = [tuple(r) for r in needed.where("_wanted").select(*place).distinct().collect()]
         if cycle and _exists(spark, f"{base}/diff"):
             before = spark.read.schema(T.StructType([*diff.schema.fields, T.StructField("at", T.IntegerType())])).parquet(f"{base}/diff")
@@ -262,13 +265,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_snapshots(spark: SparkSession, base: str) -> DataFrame:
-    """The compared rows of every session, from the last version of each folder."""
+    """The compared rows of every session, by the last version of each folder.
+
+    Every row takes the status of its key; of a key that is gone, the last row of the session before is
+    shown in the one it is missing from. Rows of a micro-batch that a version does not cover are left out.
+    """
     diff = _with_text_sessions(spark, f"{base}/diff")
-    return diff.join(_versions(diff), ["scan_session_id", "host_bucket", "at"], "left_semi").drop("at", "host_bucket")
+    diff = diff.join(_versions(diff), ["scan_session_id", "host_bucket", "at"], "left_semi")
+    rows = _with_text_sessions(spark, f"{base}/rows").drop("host_bucket", "url_status")
+    marks = diff.select(
+        F.col("host").alias("_host"), F.col("url_key").alias("_key"), F.coalesce("seen_in", "scan_session_id").alias("_seen_in"),
+        F.col("scan_session_id").alias("_session"), "url_status", "at",
+    )
+    same = (F.col("host") == F.col("_host")) & F.col("url_key").eqNullSafe(F.col("_key")) & (F.col("scan_session_id") == F.col("_seen_in"))
+    marked = lambda some: rows.join(marks.where(some), same & (F.col("cycle") <= F.col("at")))
+    fresh = marked(F.col("url_status") != "old")
+    gone = latest_per_key(marked(F.col("url_status") == "old"), [*KEYS, "_session"], [ORDER_KEY])
+    shown = [c for c in rows.columns if c not in ("scan_session_id", "cycle", ORDER_KEY)]
+    return fresh.unionByName(gone).select(F.col("_session").alias("scan_session_id"), *shown, "url_status")
 
 
 def vacuum_snapshots(spark: SparkSession, base: str) -> int:
-    """Delete the versions of compared rows before the last two of every folder, and say how many.
+    """Delete the versions of compared keys before the last two of every folder, and say how many.
 
     The one before the last stays, since a batch that runs again reads it. Not while the stream runs.
     """

@@ -1,6 +1,8 @@
 import datetime as dt
 import time
 
+from pyspark.sql import functions as F
+
 from hostledger.operators import diff as D
 from hostledger.operators.preprocess import preprocess_urls
 from hostledger.operators.probes import with_diff_keys
@@ -144,6 +146,28 @@ def test_superseded_versions_are_deleted(spark, tmp_path):
     assert sorted(map(tuple, streams.read_snapshots(spark, base).select(*columns).collect())) == before
 
 
+def test_a_row_is_written_once(spark, tmp_path):
+    """Compared keys lie apart from the rows, those without a URL too; rows of an unfinished batch are not shown."""
+    source, state, base = str(tmp_path / "src"), str(tmp_path / "state"), f"file:{tmp_path}/cycles"
+    order, columns = ["scan_ts", "probe_id"], ["scan_session_id", "host", "url_key", "probe_id", "url_status"]
+    rows = [r for rows in ARRIVALS for r in rows] + [probe(9, None, 1), probe(10, None, 1), probe(11, None, 2), (12, "http://a/1", None, 200, None, None, None)]
+    for part in (rows[11:], rows[:9:2], rows[1:9:2] + rows[9:]):
+        streams.stream_snapshots(feed(spark, source, part, PROBES), base, state, order).awaitTermination()
+    whole = with_diff_keys(spark.createDataFrame(rows[:11], PROBES))
+    wanted = D.diff_every_session(whole, order)
+    got = streams.read_snapshots(spark, base)
+    assert set(got.columns) == set(wanted.columns)
+    got, wanted = got.select(*columns), wanted.select(*columns)
+    assert got.exceptAll(wanted).isEmpty() and wanted.exceptAll(got).isEmpty()
+    stored = spark.read.parquet(f"{base}/diff")
+    assert set(stored.columns) == {"host", "url_key", "url_status", "seen_in", "scan_session_id", "host_bucket", "at"}
+    assert spark.read.parquet(f"{base}/rows").count() == 11
+    unfinished = spark.read.parquet(f"{base}/rows").where("probe_id = 1").withColumn("probe_id", F.lit(99).cast("bigint")).withColumn("cycle", F.lit(7))
+    unfinished.write.mode("append").partitionBy("scan_session_id", "host_bucket", "cycle").parquet(f"{base}/rows")
+    spark.catalog.refreshByPath(f"{base}/rows")
+    assert streams.read_snapshots(spark, base).where("probe_id = 99").isEmpty()
+
+
 def test_inventory_is_folded(spark, monkeypatch):
     monkeypatch.setattr(streams, "GENERATION", 2)
     source, base, state = (scratch_path(spark, n) for n in ("src", "inv", "state"))
