@@ -31,6 +31,8 @@ MIN_WORDS = 5  # one word of five: a similarity of 0.8 or more
 BITMAP = 1 << 26  # bits
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
+SPACES = b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \xc2\xe1\xe2\xe3"  # first UTF-8 bytes of all white space, and of more
+MAY_PART = bytes(byte in SPACES for byte in range(256))
 
 
 def halves_of(words: list[str]) -> list[int]:
@@ -47,17 +49,51 @@ def order_of() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")
 
 
-def worded_lines(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[int, int, list[str]]]:
-    """Row, number and words of each line of ``min_words`` words or more."""
-    for row, text in enumerate(batch.column("text")):
-        for number, line in enumerate((text.as_py() or "").lower().split("\n")):
-            words = line.split()
-            if len(words) >= min_words:
-                yield row, number, words
+def normal_lines(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All lines of ``texts`` as lower-cased words, one space between two and a newline at the end, in UTF-8.
 
-
-def signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+    With the places of the newlines and of the spaces. Only lines that may hold other white space than
+    single spaces between words are taken apart.
+    """
+    data = ("\n".join([text.lower() for text in texts]) + "\n").encode()
+    places = np.flatnonzero(np.frombuffer(data.translate(MAY_PART), bool))
+    kinds = np.frombuffer(data, np.uint8)[places]
+    space, newline = kinds == 32, kinds == 10
+    odd = ~(space | newline)
+    odd[1:] |= (np.diff(places) == 1) & (space[1:] | space[:-1])  # two spaces, or one at an end of a line
+    odd[0] |= places[0] == 0 and space[0]
+    if not odd.any():
+        return data, places[newline], places[space]
+    lines = data.split(b"\n")
+    for at in np.unique(np.searchsorted(places[newline], places[odd])):
+        lines[at] = " ".join(lines[at].decode().split()).encode()
+    data = b"\n".join(lines)
+    found = np.frombuffer(data, np.uint8)
+    return data, np.flatnonzero(found == 10), np.flatnonzero(found == 32)
+
+
+def hashes_of(data: bytes, starts: np.ndarray, ends: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    parts = zip(starts.tolist(), ends.tolist(), seeds.tolist(), strict=True)
+    return np.frombuffer(b"".join([xxhash.xxh64_digest(data[a:z], k) for a, z, k in parts]), ">u8").astype(np.uint64)
+
+
+def halves_within(data: bytes, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray, spaces: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``halves_of`` each line between ``starts`` and ``ends``, and where those of each line end.
+
+    ``sizes`` are the numbers of words, ``ahead`` those of the ``spaces`` before each line.
+    """
+    each = 2 + 2 * (sizes & 1)
+    stops = np.cumsum(each)
+    out = np.empty(each.sum(), dtype=np.uint64)
+    odd = np.flatnonzero(sizes & 1)
+    spaces = np.append(spaces, 0)  # lines without a space look up one that is not used
+    for lines, k, at in ((slice(None), sizes // 2, 0), (odd, (sizes + 1) // 2, 2)):
+        k, n, a, z, s, to = (x[lines] for x in (k, sizes, starts, ends, ahead, stops - each + at))
+        head = np.select([k == 0, k == n], [a, z], spaces[s + k - 1])
+        tail = np.select([k == 0, k == n], [z, a], spaces[s + n - k - 1] + 1)
+        out[to] = hashes_of(data, a, head, k) & ~np.uint64(1)
+        out[to + 1] = hashes_of(data, tail, z, k) | np.uint64(1)
+    return out, stops
 
 
 def hashed_lines(documents: DataFrame, min_words: int) -> DataFrame:
@@ -65,19 +101,24 @@ def hashed_lines(documents: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            rows, numbers, h, g, flat, ends = [], [], [], [], [], [0]
-            for row, number, words in worded_lines(batch, min_words):
-                whole = xxhash.xxh3_128_intdigest(" ".join(words))
-                rows.append(row)
-                numbers.append(number)
-                h.append(whole & 0xFFFFFFFFFFFFFFFF)
-                g.append(whole >> 64)
-                flat += halves_of(words)
-                ends.append(len(flat))
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            data, ends, spaces = normal_lines(texts)
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            until = np.searchsorted(spaces, ends)
+            ahead = np.concatenate([[0], until[:-1]])
+            sizes = np.where(ends > starts, until - ahead + 1, 0)
+            counts = np.array([text.count("\n") + 1 for text in texts])
+            rows = np.repeat(np.arange(len(texts)), counts)
+            numbers = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+            kept = np.flatnonzero(sizes >= min_words)
+            starts, ends, sizes, ahead = starts[kept], ends[kept], sizes[kept], ahead[kept]
+            whole = b"".join([xxhash.xxh3_128_digest(data[a:z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)])
+            h, g = np.frombuffer(whole, np.int64).reshape(-1, 2).T.copy()
+            flat, stops = halves_within(data, starts, ends, sizes, spaces, ahead)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), signed(h), signed(g),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(flat)),
+                    batch.column("doc_id").take(pa.array(rows[kept])), pa.array(numbers[kept].astype(np.int32)), pa.array(h), pa.array(g),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(flat.view(np.int64))),
                 ],
                 ["doc_id", "line", "h", "g", "halves"],
             )
@@ -120,8 +161,14 @@ def in_bitmap(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return hit
 
 
-def candidate_hashes(lines: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """The hash h of every line that has one of its halves in the bitmap, as ``key``."""
+def place_of(code: Column) -> Column:
+    """The key of a line: the hash ``code`` of its doc_id, with its number in either half."""
+    line = F.col("line").cast("long")
+    return code.bitwiseXOR(line).bitwiseXOR(F.shiftleft(line, 32))
+
+
+def candidate_places(lines: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """Of equal lines that have one of their halves in the bitmap, the ``key`` of the first one's place."""
     sent = lines.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,48 +177,56 @@ def candidate_hashes(lines: DataFrame, bitmap: np.ndarray) -> DataFrame:
             total = np.concatenate([[0], np.cumsum(in_bitmap(np.asarray(halves.flatten()), sent.value))])
             ends = np.concatenate([[0], np.cumsum(np.asarray(halves.value_lengths()))])
             hit = total[ends[1:]] > total[ends[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column("h").filter(pa.array(hit))], ["key"])
+            yield batch.drop_columns(["halves"]).filter(pa.array(hit))
 
-    return lines.select("h", "halves").mapInArrow(run, "key long").distinct()
+    kind = lines.schema["doc_id"].dataType.simpleString()
+    found = lines.mapInArrow(run, f"doc_id {kind}, line int, h long, g long")
+    first = found.groupBy("h", "g").agg(F.min(order_of()).alias("at")).select("at.doc_id", "at.line")
+    return first.select(place_of(F.xxhash64("doc_id")).alias("key"))
 
 
-def candidates(documents: DataFrame, hashes: np.ndarray, bitmap: np.ndarray, min_words: int) -> DataFrame:
+def candidates(documents: DataFrame, places: np.ndarray, bitmap: np.ndarray, min_words: int) -> DataFrame:
     """Distinct lines with a half that others share: doc_id, line, id (in the order of lines), words, first, last.
 
-    ``hashes`` is a bitmap of their hashes, ``bitmap`` one of the halves; first and last say which half
-    is shared.
+    ``places`` is a bitmap of the places of their first ones, ``bitmap`` one of the halves; first and
+    last say which half is shared.
     """
-    sent = documents.sparkSession.sparkContext.broadcast((hashes, bitmap))
+    sent = documents.sparkSession.sparkContext.broadcast((places, bitmap))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, shared = sent.value
         for batch in portions(batches):
-            found, hashed = [], []
-            for row, number, words in worded_lines(batch, min_words):
-                found.append((row, number, words))
-                hashed.append(xxhash.xxh3_128_intdigest(" ".join(words)) & 0xFFFFFFFFFFFFFFFF)
-            hit = np.flatnonzero(in_bitmap(np.array(hashed, dtype=np.uint64).view(np.int64), known))
-            rows, numbers, texts, sides = [], [], [], ([], [])
-            for i in hit:
-                row, number, words = found[i]
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            counts = np.array([text.count("\n") + 1 for text in texts])
+            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            hit = np.flatnonzero(in_bitmap(np.repeat(np.asarray(batch.column("code")), counts) ^ at ^ at << 32, known))
+            rows, numbers, found, sides = [], [], [], ([], [])
+            lines, opened = [], -1
+            for row, number in zip(np.repeat(np.arange(len(texts)), counts)[hit].tolist(), at[hit].tolist(), strict=True):
+                if row != opened:
+                    lines, opened = texts[row].split("\n"), row
+                words = lines[number].lower().split()
+                if len(words) < min_words:
+                    continue
                 keys = np.array(halves_of(words), dtype=np.uint64)
                 contested = keys[in_bitmap(keys.view(np.int64), shared)] & np.uint64(1)
                 if len(contested):
                     rows.append(row)
                     numbers.append(number)
-                    texts.append(" ".join(words))
+                    found.append(" ".join(words))
                     for side in (0, 1):
                         sides[side].append(bool((contested == side).any()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(texts, pa.string()),
+                    batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(found, pa.string()),
                     pa.array(sides[0], pa.bool_()), pa.array(sides[1], pa.bool_()),
                 ],
                 ["doc_id", "line", "words", "first", "last"],
             )
 
-    lines = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, words string, first boolean, last boolean")
+    coded = documents.select("doc_id", "text", F.xxhash64("doc_id").alias("code"))
+    lines = coded.mapInArrow(run, f"doc_id {kind}, line int, words string, first boolean, last boolean")
     distinct = lines.groupBy("words").agg(
         F.min(order_of()).alias("at"), F.bool_or("first").alias("first"), F.bool_or("last").alias("last")
     )
@@ -244,7 +299,7 @@ def verified(a, b):
 
 def near_repeats(lines: DataFrame, bitmap: int) -> DataFrame:
     """doc_id, line of each of the candidate ``lines`` that has an earlier near line."""
-    found = variants(lines)
+    found = cut_lineage(variants(lines))  # read several times
     missing, whole = found.where("place >= 0"), found.where("place < 0").select("key", F.col("id").alias("shorter"))
     # one word changed: equal variants with the same word missing
     earliest = missing.groupBy("key", "place").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -276,8 +331,8 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, bitmap: int
     # the smaller side is hashed, so neither lines nor texts are sorted
     exact = lines.select("doc_id", "line", "h", "g").join(same.hint("shuffle_hash"), ["h", "g"]).where(order_of() > F.col("first"))
     table = bitmap_of(contested_halves(lines), bitmap)
-    hashes = bitmap_of(candidate_hashes(lines, table), bitmap)
-    near = near_repeats(candidates(documents, hashes, table, min_words), bitmap)
+    places = bitmap_of(candidate_places(lines, table), bitmap)
+    near = near_repeats(candidates(documents, places, table, min_words), bitmap)
     dropped = cut_lineage(exact.select("doc_id", "line").unionByName(near))
     return dropped.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped"))  # no more than it has lines
 
@@ -311,10 +366,9 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, bitmap: int =
     drops = repeated_lines(documents.select("doc_id", "text"), min_words, bitmap)
     drops = drops.select(F.col("doc_id").alias("_id"), "dropped")
     joined = documents.join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
-    lines = F.when(F.col("text").isNull(), 0).otherwise(lines)
-    own = F.filter(F.col("dropped"), lambda i: i < lines)
-    sized = joined.withColumns({"n_lines": lines, "dropped": F.when(F.col("text").isNotNull(), own)})
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    joined = joined.withColumn("n_lines", F.coalesce(breaks + 1, F.lit(0)))
+    sized = joined.withColumn("dropped", F.when(F.col("text").isNotNull(), F.filter("dropped", lambda i: i < F.col("n_lines"))))
     cut = without_lines(F.when(F.size("dropped") > 0, F.col("text")), F.col("dropped"))
     cut = F.when(F.size("dropped") > 0, cut).otherwise(F.col("text"))
     return sized.withColumns(

@@ -3,8 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from hostledger.llm import queries
-from hostledger.llm.lines import dedup_lines, variant_hashes, within_one
+from hostledger.llm import lines, queries
+from hostledger.llm.lines import SPACES, dedup_lines, halves_of, hashed_lines, variant_hashes, within_one
 
 
 def edit_distance(a, b):
@@ -86,6 +86,41 @@ def test_odd_rows(frame):
     assert dedup_lines(frame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("min_words", [0, 1, 5])
+def test_hashed_lines_are_those_of_their_words(frame, min_words):
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    assert all(c.encode()[0] in SPACES for c in spaces)
+    rng = random.Random(2)
+    pieces = [*spaces, *[" "] * 20, *["\n"] * 5, *["A", "é", "Σ", "İ", "’", "Ω x", "Word", "two words"] * 6]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randrange(60)))) for i in range(60)] + [(60, None), (61, " a b"), (62, "")]
+    want = {(i, n): line.split() for i, t in rows for n, line in enumerate((t or "").lower().split("\n"))}
+    want = {at: words for at, words in want.items() if len(words) >= min_words}
+    got = {(r.doc_id, r.line): r for r in hashed_lines(frame(rows, "doc_id long, text string"), min_words).collect()}
+    assert got.keys() == want.keys()
+    assert all(sorted(h % 2**64 for h in got[at].halves) == sorted(halves_of(words)) for at, words in want.items())
+    hashes = {(tuple(words), got[at].h, got[at].g) for at, words in want.items()}
+    assert len(hashes) == len({h[0] for h in hashes}) == len({h[1:] for h in hashes})
+
+
+def test_only_lines_that_may_have_a_partner_are_read_again_and_variants_are_made_once(spark, frame, monkeypatch):
+    rows = [(i, "\n".join(f"w{i}x{j} b{i}x{j} c{i}x{j} d{i}x{j} e{i}x{j}" for j in range(20))) for i in range(50)]
+    rows += [(50 + i, f"this one line is there {'twice' if i else 'once'}") for i in range(2)]
+    taken, made = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted_halves(words, real=lines.halves_of):
+        taken.add(1)
+        return real(words)
+
+    def counted_hashes(values, real=lines.variant_hashes):
+        made.add(1)
+        return real(values)
+
+    monkeypatch.setattr(lines, "halves_of", counted_halves)
+    monkeypatch.setattr(lines, "variant_hashes", counted_hashes)
+    assert [r[2] for r in run(frame(rows, "doc_id long, text string")) if r[2]] == [[0]]
+    assert (taken.value, made.value) == (2, 2)
+
+
 def test_query(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in queries.table(spark, sf_dir, "documents").collect()]
     words = {}
