@@ -77,7 +77,9 @@ def hashes_of(data: bytes, starts: np.ndarray, ends: np.ndarray, seeds: np.ndarr
     return np.frombuffer(b"".join([xxhash.xxh64_digest(data[a:z], k) for a, z, k in parts]), ">u8").astype(np.uint64)
 
 
-def halves_within(data: bytes, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray, spaces: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def halves_within(
+    data: bytes, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray, spaces: np.ndarray, ahead: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """``halves_of`` each line between ``starts`` and ``ends``, and where those of each line end.
 
     ``sizes`` are the numbers of words, ``ahead`` those of the ``spaces`` before each line.
